@@ -338,17 +338,38 @@ SELECT lpad(id, 8, '0') || '-1111-4111-8111-111111111111' AS id, slug, status FR
 """
 
 
-def _needs(name: str) -> list[str]:
+# Helpers that only the check SQL uses: the public and trusted stores, and products as rows.
+CHECK_VIEWS: dict[str, str] = {
+    "ref_products": """
+SELECT store_id, unnest(from_json(payload, '{{"products": ["VARCHAR"]}}').products) AS product
+FROM store_external_refs WHERE provider = 'website_content'
+""",
+    "trusted_refs": """
+SELECT store_id FROM ref_products
+UNION SELECT store_id FROM store_external_refs WHERE provider = 'games_workshop'
+""",
+    "visible": """
+SELECT * FROM stores
+WHERE status IN ('active', 'verified', 'candidate') AND slug IS NOT NULL AND trim(slug) <> ''
+  AND NOT (status = 'candidate' AND wpn_id IS NULL AND id NOT IN (SELECT store_id FROM trusted_refs))
+""",
+    "online_ids": """
+SELECT DISTINCT store_id FROM online_presences WHERE sells_mtg_singles AND status = 'active'
+""",
+}
+
+
+def _needs(name: str, pool: dict[str, str]) -> list[str]:
     """Views that view ``name`` reads, in build order, itself last."""
     found: list[str] = []
-    for other in VIEWS:
-        if other != name and re.search(rf"\b(?:FROM|JOIN) {other}\b", VIEWS[name]):
-            found += [v for v in _needs(other) if v not in found]
+    for other in pool:
+        if other != name and re.search(rf"\b(?:FROM|JOIN) {other}\b", pool[name]):
+            found += [v for v in _needs(other, pool) if v not in found]
     return found + [name]
 
 
-def _text(name: str, engine: str, table) -> str:
-    text = VIEWS[name]
+def _text(name: str, engine: str, table, pool: dict[str, str]) -> str:
+    text = pool[name]
     for token, spelling in _TOKENS[engine].items():
         text = text.replace(token, spelling)
     for base in BASE_TABLES:
@@ -358,13 +379,14 @@ def _text(name: str, engine: str, table) -> str:
 
 def check_ctes(sql: str) -> str:
     """Put the view definitions that ``sql`` reads in front of it, in the check engine's spelling."""
+    pool = VIEWS | CHECK_VIEWS
     wanted: list[str] = []
-    for name in VIEWS:
+    for name in pool:
         if re.search(rf"\b{name}\b", sql):
-            wanted += [v for v in _needs(name) if v not in wanted]
+            wanted += [v for v in _needs(name, pool) if v not in wanted]
     if not wanted:
         return sql.strip()
-    parts = [f"{name} AS ({_text(name, 'duckdb', lambda t: t)})" for name in wanted]
+    parts = [f"{name} AS ({_text(name, 'duckdb', lambda t: t, pool)})" for name in wanted]
     body = sql.strip()
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
@@ -386,8 +408,8 @@ class Directory:
             return self.base(name)
         if name not in VIEWS:
             raise AttributeError(name)
-        chain = _needs(name)
         parts = [
-            f"{v} AS ({_text(v, 'spark', lambda t: f'parquet.`{self.sf_dir}/{t}.parquet`')})" for v in chain
+            f"{v} AS ({_text(v, 'spark', lambda t: f'parquet.`{self.sf_dir}/{t}.parquet`', VIEWS)})"
+            for v in _needs(name, VIEWS)
         ]
         return self.spark.sql("WITH " + ", ".join(parts) + f" SELECT * FROM {name}")
