@@ -341,7 +341,7 @@ SELECT lpad(id, 8, '0') || '-1111-4111-8111-111111111111' AS id, slug, status FR
 # Helpers that only the check SQL uses: the public and trusted stores, and products as rows.
 CHECK_VIEWS: dict[str, str] = {
     "ref_products": """
-SELECT store_id, unnest(from_json(payload, '{{"products": ["VARCHAR"]}}').products) AS product
+SELECT store_id, unnest(from_json(payload, '{"products": ["VARCHAR"]}').products) AS product
 FROM store_external_refs WHERE provider = 'website_content'
 """,
     "trusted_refs": """
@@ -374,7 +374,7 @@ def _text(name: str, engine: str, table, pool: dict[str, str]) -> str:
         text = text.replace(token, spelling)
     for base in BASE_TABLES:
         text = text.replace("{" + base + "}", table(base))
-    return text.replace("{{", "{").replace("}}", "}")
+    return text
 
 
 def check_ctes(sql: str) -> str:
