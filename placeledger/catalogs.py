@@ -330,3 +330,10 @@ PROXIMITY_MILES = 0.5
 PAGE_SIZE = 25
 SITEMAP_LIMIT = 50_000
 GRID = {"lat_min": 24, "lat_max": 50, "lng_min": -125, "lng_max": -66, "step": 2}
+TRUST_WEIGHTS = {
+    "wpn": 40, "products": 25, "confident": 15, "website": 10, "phone": 5, "place_id": 5,
+    "low_content": -20, "google_only": -10,
+}
+TRUST_HIGH_CONFIDENCE = 0.7
+TRUST_LOW_CONFIDENCE = 0.5
+OCS_PRIORITY_ACTIONS = ["suppress_or_enrich", "review_for_reactivation", "enrich_then_review", "manual_review"]

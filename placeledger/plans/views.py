@@ -332,6 +332,16 @@ SELECT o_orderkey AS request_id,
 FROM {{orders}} JOIN stores ON id = CAST(o_custkey AS STRING)
 """
 
+# A search-console export: one page per request, with formatted counts.
+VIEWS["search_pages"] = """
+SELECT request_id AS row_no,
+       CASE WHEN request_id % 3 = 0 THEN path ELSE 'https://directory.example.com' || path || '?utm=1' END AS page,
+       CASE WHEN request_id % 5 = 0 THEN '1,' || lpad(CAST(request_id % 1000 AS STRING), 3, '0')
+            WHEN request_id % 7 = 0 THEN 'n/a' WHEN request_id % 11 = 0 THEN '0'
+            ELSE CAST(request_id % 500 AS STRING) END AS impressions
+FROM requests
+"""
+
 # Stores seen under a UUID id, for the id redirects.
 VIEWS["uuid_stores"] = """
 SELECT lpad(id, 8, '0') || '-1111-4111-8111-111111111111' AS id, slug, status FROM stores
