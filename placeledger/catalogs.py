@@ -337,3 +337,8 @@ TRUST_WEIGHTS = {
 TRUST_HIGH_CONFIDENCE = 0.7
 TRUST_LOW_CONFIDENCE = 0.5
 OCS_PRIORITY_ACTIONS = ["suppress_or_enrich", "review_for_reactivation", "enrich_then_review", "manual_review"]
+TITLE_MAX = 60
+DESCRIPTION_MAX = 160
+# (path, priority, change frequency) of the fixed pages, and the category pages.
+SITEMAP_STATIC = [("", 1.0, "weekly"), ("/affiliate-disclosure", 0.3, "yearly"), ("/guides", 0.7, "weekly")]
+SITEMAP_CATEGORIES = ["/comics", "/retro-games", "/warhammer"]

@@ -58,14 +58,16 @@ _TOKENS = {
         "@enriched@": "date_format(timestampadd(DAY, CAST(-(k % 60) AS INT), TIMESTAMP_NTZ'2024-02-01 00:00:00'),"
                       " \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
         "@products@": "array_join(transform(array_sort(array_distinct(collect_set(tag))), t -> '\"' || t || '\"'), ', ')",
-        "@unix@": "unix_timestamp",
+        "@checked@": "TIMESTAMP_NTZ'1998-12-02 00:00:00'",
+        "@cut@": "TIMESTAMP_NTZ'2024-01-20 00:00:00'",
     },
     "duckdb": {
         "@hours@": "TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(k AS INT))",
         "@until@": "TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(k % 400 AS INT))",
         "@enriched@": "strftime(TIMESTAMP '2024-02-01 00:00:00' - to_days(CAST(k % 60 AS INT)), '%Y-%m-%dT%H:%M:%SZ')",
         "@products@": "string_agg(DISTINCT '\"' || tag || '\"', ', ' ORDER BY '\"' || tag || '\"')",
-        "@unix@": "epoch",
+        "@checked@": "TIMESTAMP '1998-12-02 00:00:00'",
+        "@cut@": "TIMESTAMP '2024-01-20 00:00:00'",
     },
 }
 
@@ -342,12 +344,39 @@ SELECT request_id AS row_no,
 FROM requests
 """
 
+# Places to search around, one per supplier.
+VIEWS["points"] = """
+SELECT s_suppkey AS point_id, 30 + (s_suppkey * 6113 % 1000) / 100.0e0 AS latitude,
+       -120 + (s_suppkey * 7723 % 4000) / 100.0e0 AS longitude
+FROM {supplier}
+"""
+
 # Stores seen under a UUID id, for the id redirects.
 VIEWS["uuid_stores"] = """
 SELECT lpad(id, 8, '0') || '-1111-4111-8111-111111111111' AS id, slug, status FROM stores
 """
 
 
+# One fetched page per presence for a health run, the place status service, and claims before and after a cut.
+VIEWS["http_checks"] = """
+SELECT CAST(o_orderkey AS STRING) AS presence_id, CASE WHEN o_orderkey % 6 <> 1 THEN CASE o_orderkey % 4
+         WHEN 1 THEN 404 WHEN 2 THEN 503 ELSE 200 END END AS status_code,
+       CASE WHEN o_orderkey % 12 = 1 THEN 'timeout' WHEN o_orderkey % 12 = 7 THEN 'connect' END AS error,
+       CASE WHEN o_orderkey % 10 = 5 THEN '<p>This  domain is for sale</p>' ELSE '<p>Welcome</p>' END AS html,
+       @checked@ AS checked_at
+FROM {orders}
+"""
+
+VIEWS["business_status"] = """
+SELECT 'G' || CAST(c_custkey AS STRING) AS google_place_id,
+       CASE c_custkey % 3 WHEN 0 THEN 'OPERATIONAL' WHEN 1 THEN 'CLOSED_TEMPORARILY' ELSE 'CLOSED_PERMANENTLY' END AS business_status
+FROM {customer}
+"""
+
+VIEWS["claims_past"] = "SELECT * FROM claims WHERE created_at < @cut@"
+VIEWS["claims_new"] = "SELECT * FROM claims WHERE created_at >= @cut@"
+
+
 # Helpers that only the check SQL uses: the public and trusted stores, and products as rows.
 CHECK_VIEWS: dict[str, str] = {
     "ref_products": """

@@ -46,7 +46,8 @@ RAW_COMMON = [
     ("source", "string"), ("external_id", "string"), ("name", "string"), ("street", "string"), ("city", "string"),
     ("state", "string"), ("zip_code", "string"), ("country", "string"), ("phone", "string"), ("email", "string"),
     ("website", "string"), ("latitude", "double"), ("longitude", "double"), ("wpn_id", "string"),
-    ("wpn_level", "string"), ("google_place_id", "string"), ("place_types", "array<string>"), ("seq", "bigint"),
+    ("wpn_level", "string"), ("google_place_id", "string"), ("place_types", "array<string>"), ("store_type", "string"),
+    ("seq", "bigint"),
 ]
 
 DOSSIER = """
@@ -56,3 +57,14 @@ has_events boolean, event_url string, events_next_30_days array<struct<title: st
 phones array<string>, hours_text array<string>, pages_fetched array<string>,
 skipped_urls array<struct<url: string, reason: string>>
 """
+
+CONTENT_EVENTS = """array<struct<title: string, start_date: string, end_date: string, timezone: string,
+  source_url: string, service_id: string, event_id: string, status: string, price: string, location: string,
+  product_url: string, description: string, is_not_bookable: boolean>>"""
+
+PERIODS = """array<struct<open: struct<day: int, hour: int, minute: int>, close: struct<day: int, hour: int, minute: int>>>"""
+
+PLACE_DETAILS = f"""
+regularOpeningHours struct<weekdayDescriptions: array<string>, periods: {PERIODS}>, rating double,
+userRatingCount bigint, photos array<struct<name: string>>
+"""
