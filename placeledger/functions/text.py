@@ -46,6 +46,19 @@ def present(text: Column) -> Column:
     return F.coalesce(F.length(text) > 0, F.lit(False))
 
 
+def fixed(number: Column, digits: int) -> Column:
+    """Text with ``digits`` decimals, rounded from the exact binary value, exact halves to even."""
+    return F.call_function("format_number", number.cast("double"), F.lit("0." + "0" * digits if digits else "0"))
+
+
+def fixed_up(number: Column, digits: int) -> Column:
+    """The same for positive numbers, but exact halves are rounded up."""
+    # Only multiples of 1/2 (no decimals) or 1/4 (one decimal) can be exact halves.
+    steps = {0: 2, 1: 4}[digits]
+    half = F.pmod(number * steps, F.lit(2.0)) == 1.0
+    return fixed(F.when(half, number + 0.1 / steps).otherwise(number), digits)
+
+
 # --- addresses and names -------------------------------------------------------------------------------------
 
 def validate_address(street, city, state, zip_code) -> Column:

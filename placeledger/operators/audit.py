@@ -26,7 +26,7 @@ def _signals(wpn_id, has_website, has_phone, place_id, source, products, confide
     """(condition, points, label) of every score part, in report order."""
     number = F.coalesce(F.size(products), F.lit(0))
     number = F.greatest(number, F.lit(0))
-    two = F.format_string("%.2f", confidence)
+    two = tx.fixed(confidence, 2)
     w = cat.TRUST_WEIGHTS
     return [
         (tx.present(wpn_id), w["wpn"], F.lit("wpn_registered")),

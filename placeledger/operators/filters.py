@@ -28,7 +28,7 @@ def content_gate(products, confidence, threshold: float = 0.5) -> Column:
     """Struct (should_reject, reason): no products and confidence under the threshold."""
     p, c = tx.col(products), tx.col(confidence)
     reject = F.coalesce((F.coalesce(F.size(p), F.lit(0)) <= 0) & (c < threshold), F.lit(False))
-    reason = F.format_string(f"0 products detected, confidence=%.2f (threshold={threshold})", c)
+    reason = F.concat(F.lit("0 products detected, confidence="), tx.fixed(c, 2), F.lit(f" (threshold={threshold})"))
     return F.struct(reject.alias("should_reject"), F.when(reject, reason).otherwise("").alias("reason"))
 
 

@@ -110,7 +110,7 @@ def status_counts(stores: DataFrame, column: str = "status") -> DataFrame:
     counts = stores.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("stores"))
     # The window runs over the counts (a handful of rows), not over the stores.
     total = F.sum("stores").over(Window.partitionBy())
-    return counts.withColumn("percent", F.format_string("%.1f", F.col("stores") / total * 100))
+    return counts.withColumn("percent", tx.fixed(F.col("stores") / total * 100, 1))
 
 
 def discovery_status(stores: DataFrame, categories: DataFrame, presences: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def read_dossiers(spark: SparkSession, path: str, min_confidence: float = 0.65)
     return parsed.select(
         text(d["store_id"]).alias("store_id"), text(d["store_name"]).alias("name"), text(d["slug"]).alias("slug"),
         text(d["address"]["city"]).alias("city"), text(d["address"]["state"]).alias("state"),
-        text(d["website_url"]).alias("website"), F.format_string("%.2f", confidence).alias("confidence"),
+        text(d["website_url"]).alias("website"), tx.fixed(confidence, 2).alias("confidence"),
         text(d["recommended_next_step"]).alias("recommended_next_step"), action.alias("action"),
         listed(d["products"]).alias("products"), events.cast("string").alias("has_events"),
         text(d["event_url"]).alias("event_url"), size(d["events_next_30_days"]).alias("events_next_30_days"),
