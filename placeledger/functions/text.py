@@ -29,6 +29,11 @@ def matches_any(text: Column, patterns: list[str], ignore_case: bool = True) ->
     return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the body uses it inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
