@@ -82,18 +82,20 @@ def can_transition(current: Column, target: Column) -> Column:
     return F.coalesce(F.concat(current, F.lit(">"), target).isin(pairs), F.lit(False))
 
 
-def assign_slugs(stores: DataFrame) -> DataFrame:
+def assign_slugs(stores: DataFrame, order=("first_seen", "id"), only: Column | None = None) -> DataFrame:
     """Fill empty slugs of public stores; slugs that exist never change.
 
-    The earliest store of a base slug gets it if no store holds it yet; the others get the base plus part of their id.
-    Who comes first is found by a pre-aggregated minimum per base, and joined back by store id, so a base that very
-    many stores share is no hot join key.
+    The earliest store (by ``order``) of a base slug gets it if no store holds it yet; the others get the base plus part
+    of their id. Who comes first is found by a pre-aggregated minimum per base, and joined back by store id, so a base
+    that very many stores share is no hot join key. ``only`` limits the stores that may get a slug.
     """
     base = tx.build_slug("name", "city", "state")
     open_slug = tx.blank(F.col("slug")) & F.col("status").isin(cat.PUBLIC_STATUSES)
-    todo = stores.filter(open_slug).select("id", "first_seen", base.alias("base"))
+    if only is not None:
+        open_slug = open_slug & F.coalesce(only, F.lit(False))
+    todo = stores.filter(open_slug).select("id", F.struct(*order).alias("turn"), base.alias("base"))
     held = stores.filter(F.col("slug").isNotNull()).select(F.col("slug").alias("base"))
-    first = todo.groupBy("base").agg(F.min_by("id", F.struct("first_seen", "id")).alias("id"))
+    first = todo.groupBy("base").agg(F.min_by("id", "turn").alias("id"))
     winners = first.join(held, "base", "left_anti").select("id", F.lit(True).alias("wins"))
     out = stores.join(winners, "id", "left")
     unique = F.when(F.coalesce("wins", F.lit(False)), base).otherwise(tx.disambiguate_slug(base, F.col("id")))
@@ -119,11 +121,7 @@ def apply_transitions(stores: DataFrame, targets: DataFrame, as_of: str, reason=
         "status": F.when(F.col("moves"), F.col("target")).otherwise(F.col("status")),
         "last_validated": F.when(F.col("moves"), now).otherwise(validated),
     })
-    # Only moved stores get a slug here; the others keep what they have.
-    named = assign_slugs(moved.drop("target", "reason"))
-    kept = stores.select("id", F.col("slug").alias("old_slug"))
-    named = named.join(kept, "id").withColumn("slug", F.when(F.col("moves"), F.col("slug")).otherwise(F.col("old_slug")))
-    return named.drop("old_slug", "moves"), logs
+    return assign_slugs(moved, only=F.col("moves")).drop("target", "reason", "moves"), logs
 
 
 def check_results(presences: DataFrame, stores: DataFrame, checks: DataFrame, limit: int | None = None) -> DataFrame:
