@@ -58,6 +58,7 @@ _TOKENS = {
         "@enriched@": "date_format(timestampadd(DAY, CAST(-(k % 60) AS INT), TIMESTAMP_NTZ'2024-02-01 00:00:00'),"
                       " \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
         "@products@": "array_join(transform(array_sort(array_distinct(collect_set(tag))), t -> '\"' || t || '\"'), ', ')",
+        "@minute@": "date_format(date_trunc('HOUR', ts), 'yyyy-MM-dd HH:mm')",
         "@checked@": "TIMESTAMP_NTZ'1998-12-02 00:00:00'",
         "@cut@": "TIMESTAMP_NTZ'2024-01-20 00:00:00'",
     },
@@ -66,6 +67,7 @@ _TOKENS = {
         "@until@": "TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(k % 400 AS INT))",
         "@enriched@": "strftime(TIMESTAMP '2024-02-01 00:00:00' - to_days(CAST(k % 60 AS INT)), '%Y-%m-%dT%H:%M:%SZ')",
         "@products@": "string_agg(DISTINCT '\"' || tag || '\"', ', ' ORDER BY '\"' || tag || '\"')",
+        "@minute@": "strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M')",
         "@checked@": "TIMESTAMP '1998-12-02 00:00:00'",
         "@cut@": "TIMESTAMP '2024-01-20 00:00:00'",
     },
@@ -309,6 +311,23 @@ SELECT page_id, url, CAST(page_id % 150 AS STRING) AS store_id,
 FROM {{pages}}
 """
 
+# Event calendars as store pages carry them, one page per supplier, and the events that the calendars list.
+VIEWS["calendar_pages"] = f"""
+SELECT CAST(s_suppkey AS STRING) AS store_id, 'https://www.shop' || CAST(s_suppkey AS STRING) || '.example.com/events?x=1' AS url,
+       '<script>window.cowEventCal1_config = {{"_id": "cal' || CAST(s_suppkey AS STRING) || '"' ||
+         CASE s_suppkey % 3 WHEN 0 THEN ', "timezone": "America/Chicago"' WHEN 1 THEN ', "timezone": "UTC"' ELSE '' END ||
+         '}};window.cowEventCal1_services=[{{"_id": "a", "title": "Draft", "product_url": "draft", "location": "Hall"}}, {{"_id": "b"}}];' ||
+         CASE WHEN s_suppkey % 4 = 0 THEN 'window.cowEventCal2_config = {{"_id": "bad"' ELSE '' END || '</script>' AS html
+FROM {{supplier}}
+"""
+VIEWS["calendar_events"] = """
+SELECT 'cal' || CAST(user_id AS STRING) AS calendar_id,
+       CASE event_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'a' ELSE 'unknown' END AS service_id,
+       CAST(event_id AS STRING) AS event_id, @minute@ AS start_date,
+       CASE WHEN event_id % 13 <> 0 THEN @minute@ END AS end_date, 'open' AS status, '5.00' AS price, false AS is_not_bookable
+FROM {events}
+"""
+
 VIEWS["found_prices"] = f"""
 SELECT CAST(l_orderkey AS STRING) AS presence_id, {pick(_CARDS, 'l_partkey % 8')} AS card_name,
        CAST(l_quantity * 4 + l_linenumber AS INT) AS price_cents
@@ -428,7 +447,8 @@ def check_ctes(sql: str) -> str:
     parts = [f"{name} AS ({_text(name, 'duckdb', lambda t: t, pool)})" for name in wanted]
     body = sql.strip()
     if body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+        # RECURSIVE only allows a view to name itself; the others are not changed by it.
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
