@@ -8,7 +8,6 @@ from placeledger import catalogs as cat
 from placeledger.functions import dates as dt
 from placeledger.functions import html as hm
 from placeledger.operators import filters as fl
-from placeledger.operators import lifecycle as lc
 from placeledger.operators import pages as pg
 from placeledger.plans.queries_directory import _re
 from placeledger.plans.registry import query
@@ -164,24 +163,6 @@ def extract_description(d):
     return rows.select("page_id", pg.extract_description("html", "t.tight").alias("description"))
 
 
-@query(f"""
-WITH v AS (SELECT store_id, bool_or(NOT failed) AS reached, bool_or(NOT failed AND (n >= 2)) AS sure FROM ({_WORDS}) GROUP BY store_id)
-SELECT store_id, reached, sure FROM v
-""")
-def validate_batch(d):
-    """Check, platform and singles of every page in one pass, reduced to one row per store."""
-    headers = F.create_map(F.lit("x-shopid"), F.col("x_shopid"))
-    rows = d.site_pages.withColumns({
-        "check": lc.check_status("status_code", F.lit(""), "error"), "platform": pg.detect_platform("html", headers, "url"),
-    })
-    rows = pg.detect_singles(rows, _product_pages(d))
-    live = F.col("check.status") == "active"
-    return rows.groupBy("store_id").agg(
-        F.bool_or(live).alias("reached"),
-        F.bool_or(live & F.coalesce((F.col("singles.confidence") == 0.85) & (F.col("singles.method") == "keyword"), F.lit(False))).alias("sure"),
-    )
-
-
 # --- dates ---------------------------------------------------------------------------------------------------
 
 @query("""

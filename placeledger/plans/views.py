@@ -311,6 +311,12 @@ SELECT page_id, url, CAST(page_id % 150 AS STRING) AS store_id,
 FROM {{pages}}
 """
 
+# The page fetched for a presence, where there is one.
+VIEWS["presence_pages"] = """
+SELECT id AS presence_id, site_pages.url, status_code, error, html, x_shopid, page_id
+FROM site_pages JOIN online_presences ON id = CAST(page_id AS STRING)
+"""
+
 # Event calendars as store pages carry them, one page per supplier, and the events that the calendars list.
 VIEWS["calendar_pages"] = f"""
 SELECT CAST(s_suppkey AS STRING) AS store_id, 'https://www.shop' || CAST(s_suppkey AS STRING) || '.example.com/events?x=1' AS url,

@@ -158,9 +158,9 @@ def read_search_export(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def read_dossiers(spark: SparkSession, path: str, min_confidence: float = 0.65) -> DataFrame:
-    """One report row per JSON dossier of a folder; fields of a wrong type count as missing."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("json_path"))
+def read_dossiers(spark: SparkSession, path: str, min_confidence: float = 0.65, whole_files: bool = True) -> DataFrame:
+    """One report row per JSON dossier of a folder (a document per file, or per line); wrong types count as missing."""
+    raw = spark.read.text(path, wholetext=whole_files).select("value", F.col("_metadata.file_path").alias("json_path"))
     parsed = raw.withColumn("d", F.from_json("value", schemas.DOSSIER))
     d = F.col("d")
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
@@ -194,7 +194,8 @@ def dossier_action(confidence: Column, products: Column, pages: Column, has_even
 
 def write_report(df: DataFrame, path: str, group: str | None = None) -> None:
     """CSV report with a header; with ``group`` one folder per value of that column."""
-    writer = df.write.mode("errorifexists").option("header", True)
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    writer = df.write.mode("errorifexists").options(**plain)
     (writer.partitionBy(group) if group else writer).csv(path)
 
 
