@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from placeledger import catalogs as cat
-from placeledger.functions.text import lookup
+from placeledger.functions.text import let, lookup
 
 _MONTHS = [
     "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
@@ -81,17 +81,24 @@ def parse_page_date(text: Column) -> Column:
 
 
 def page_timestamp(html: Column) -> Column:
-    """Struct (stamp, method): an "updated on" date, else Jan 1 of the highest © year from 2020 to 2030."""
-    dated = F.coalesce(
-        *[parse_page_date(F.regexp_extract(html, "(?iU)" + cat.UPDATED_PREFIX + p, 1)) for p in cat.UPDATED_PATTERNS]
-    )
-    years = F.regexp_extract_all(html, F.lit("(?U)" + cat.COPYRIGHT_PATTERN), F.lit(1))
-    top = F.array_max(years)
-    year = F.when(top.between("2020", "2030"), F.try_to_timestamp(F.concat(top, F.lit("-01-01"))))
-    method = (
-        F.when(dated.isNotNull(), F.lit("page_timestamp")).when(year.isNotNull(), F.lit("copyright")).otherwise("none")
-    )
-    return F.struct(F.coalesce(dated, year).alias("stamp"), method.alias("method"))
+    """Struct (stamp, method): an "updated on" date, else Jan 1 of the highest © year from 2020 to 2030.
+
+    Each pattern scans the page once; the pieces it finds are parsed from the short match.
+    """
+    def dated(pattern: str) -> Column:
+        return let(F.regexp_extract(html, "(?iU)" + cat.UPDATED_PREFIX + pattern, 1), parse_page_date)
+
+    def copied(top: Column) -> Column:
+        return F.when(top.between("2020", "2030"), F.try_to_timestamp(F.concat(top, F.lit("-01-01"))))
+
+    year = let(F.array_max(F.regexp_extract_all(html, F.lit("(?U)" + cat.COPYRIGHT_PATTERN), F.lit(1))), copied)
+
+    def chosen(found: Column) -> Column:
+        method = F.when(found["dated"].isNotNull(), F.lit("page_timestamp")).when(found["year"].isNotNull(), F.lit("copyright"))
+        return F.struct(F.coalesce(found["dated"], found["year"]).alias("stamp"), method.otherwise("none").alias("method"))
+
+    updated = F.coalesce(*[dated(p) for p in cat.UPDATED_PATTERNS])
+    return let(F.struct(updated.alias("dated"), year.alias("year")), chosen)
 
 
 def sitemap_lastmod(xml: Column, first: int = 20) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from placeledger import catalogs as cat
+from placeledger.functions.text import let
 
 WEEK_MINUTES = 7 * 1440
 
@@ -55,31 +56,38 @@ def status_from_periods(periods: Column, at: Column) -> Column:
         return F.when(same_day, within).otherwise(overnight)
 
     is_open = F.exists(periods, covers)
-    today = F.get(F.filter(periods, lambda p: p["open"]["day"] == day), F.lit(0))
-    today_hours = F.when(
-        today.isNotNull(),
-        F.concat(
-            clock(today["open"]["hour"], today["open"]["minute"]), F.lit(" – "),
-            clock(today["close"]["hour"], today["close"]["minute"]),
-        ),
-    ).otherwise("Closed")
+    def span(today: Column) -> Column:
+        return F.when(
+            today.isNotNull(),
+            F.concat(
+                clock(today["open"]["hour"], today["open"]["minute"]), F.lit(" – "),
+                clock(today["close"]["hour"], today["close"]["minute"]),
+            ),
+        ).otherwise("Closed")
+
+    today_hours = let(F.get(F.filter(periods, lambda p: p["open"]["day"] == day), F.lit(0)), span)
 
     def wait(p: Column) -> Column:
         ahead = F.pmod(p["open"]["day"] - day, F.lit(7)) * 1440 + opens(p) - minute
         ahead = F.when(ahead <= 0, ahead + WEEK_MINUTES).otherwise(ahead)
         return F.struct(ahead.alias("wait"), p["open"].alias("open"))
 
+    def soonest(waits: Column) -> Column:
+        least = F.array_min(F.transform(waits, lambda w: w["wait"]))
+        return F.get(F.filter(waits, lambda w: w["wait"] == least), F.lit(0))["open"]
+
+    def label(first: Column) -> Column:
+        at_text = clock(first["hour"], first["minute"])
+        later_today = (first["day"] == day) & (first["hour"] * 60 + first["minute"] > minute)
+        return F.when(later_today, F.concat(F.lit("Opens at "), at_text)).otherwise(
+            F.concat(F.lit("Opens "), _day_name(first["day"]), F.lit(" at "), at_text)
+        )
+
     waits = F.filter(F.transform(periods, wait), lambda w: w["wait"] < WEEK_MINUTES)
-    soonest = F.array_min(F.transform(waits, lambda w: w["wait"]))
-    first = F.get(F.filter(waits, lambda w: w["wait"] == soonest), F.lit(0))["open"]
-    at_text = clock(first["hour"], first["minute"])
-    later_today = (first["day"] == day) & (first["hour"] * 60 + first["minute"] > minute)
-    label = F.when(later_today, F.concat(F.lit("Opens at "), at_text)).otherwise(
-        F.concat(F.lit("Opens "), _day_name(first["day"]), F.lit(" at "), at_text)
-    )
-    return F.struct(
-        is_open.alias("is_open"), today_hours.alias("today_hours"), F.when(~is_open, label).alias("next_open")
-    )
+    next_open = let(let(waits, soonest), label)
+    return let(is_open, lambda o: F.struct(
+        o.alias("is_open"), today_hours.alias("today_hours"), F.when(~o, next_open).alias("next_open")
+    ))
 
 
 def _line_for(lines: Column, name: Column) -> Column:
@@ -148,17 +156,18 @@ def open_run(lines: Column) -> Column:
 
     def flag(day: str) -> Column:
         hits = F.filter(F.slice(lines, 1, 14), lambda x: F.lower(x).startswith(day.lower()))
-        last = F.get(hits, F.size(hits) - 1)
-        return F.when(last.isNotNull() & ~F.contains(F.lower(last), F.lit("closed")), "1").otherwise("0")
-
-    flags = F.concat(*[flag(d) for d in week])
-    names = F.array(*[F.lit(s) for s in short])
-    text = F.when(F.instr(flags, "1" * 7) > 0, F.lit("Open daily"))
-    for n in range(6, 1, -1):
-        at = F.instr(flags, "1" * n)
-        text = text.when(
-            at > 0, F.concat(F.lit("Open "), F.get(names, at - 1), F.lit("-"), F.get(names, at + n - 2))
-        )
-    at = F.instr(flags, "1")
-    text = text.when(at > 0, F.concat(F.lit("Open "), F.get(names, at - 1)))
-    return F.when(lines.isNotNull(), text)
+        last = let(hits, lambda h: F.get(h, F.size(h) - 1))
+        return let(last, lambda x: F.when(x.isNotNull() & ~F.contains(F.lower(x), F.lit("closed")), "1").otherwise("0"))
+
+    def named(flags: Column) -> Column:
+        names = F.array(*[F.lit(s) for s in short])
+        text = F.when(F.instr(flags, "1" * 7) > 0, F.lit("Open daily"))
+        for n in range(6, 1, -1):
+            at = F.instr(flags, "1" * n)
+            text = text.when(
+                at > 0, F.concat(F.lit("Open "), F.get(names, at - 1), F.lit("-"), F.get(names, at + n - 2))
+            )
+        at = F.instr(flags, "1")
+        return text.when(at > 0, F.concat(F.lit("Open "), F.get(names, at - 1)))
+
+    return F.when(lines.isNotNull(), let(F.concat(*[flag(d) for d in week]), named))

@@ -29,6 +29,56 @@ def matches_any(text: Column, patterns: list[str], ignore_case: bool = True) ->
     return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
+def required_text(pattern: str) -> str:
+    """The longest plain text (lower case) that every match of ``pattern`` holds; "" if there is none.
+
+    Groups, classes and optional characters are left out, so the answer can only be too short.
+    """
+    runs, run, i, depth = [], "", 0, 0
+    while i < len(pattern):
+        ch, step, plain = pattern[i], 1, None
+        if ch == "\\":
+            step, plain = 2, pattern[i + 1] if not pattern[i + 1].isalnum() else None
+        elif ch == "[":
+            step = pattern.index("]", i + 2) - i + 1
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            return ""
+        elif ch not in ".^$*+?{}|":
+            plain = ch
+        after = pattern[i + step:i + step + 1]
+        if ch == "{":  # a counted repeat: the character before it may be missing
+            step = pattern.index("}", i) - i + 1
+        optional = after in ("?", "*", "{") and after != ""
+        if plain is not None and depth == 0 and not optional:
+            run += plain
+        if plain is None or depth > 0 or optional or after == "+":
+            runs.append(run)
+            run = ""
+        i += step
+    return max([*runs, run], key=len).lower()
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the few letters that pattern matching takes for plain ones written as such."""
+    return F.lower(F.translate(text, "ſıİ\u212a", "siik"))
+
+
+def any_in_page(text: Column, plain: Column, patterns: list[str]) -> Column:
+    """True if any pattern occurs in a long text. ``plain`` is ``folded(text)``.
+
+    A pattern only runs where the plain text it needs occurs, which is a far cheaper search.
+    """
+    def one(pattern: str) -> Column:
+        hit, needed = text.rlike("(?iU)" + pattern), required_text(pattern)
+        return (F.contains(plain, F.lit(needed)) & hit) if needed.isascii() and len(needed) > 1 else hit
+
+    return reduce(lambda a, b: a | b, [one(p) for p in patterns])
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where the body uses it inside other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

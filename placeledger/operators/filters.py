@@ -82,11 +82,12 @@ def us_only(raw: DataFrame, state="state", country=None) -> DataFrame:
 def soft_404(html, patterns=cat.SOFT_404_PATTERNS, max_chars: int | None = None) -> Column:
     """A parked or dead page phrase occurs. The whole text is searched unless ``max_chars`` says otherwise."""
     c = tx.col(html)
-    return tx.matches_any(c if max_chars is None else F.substring(c, 1, max_chars), patterns)
+    c = c if max_chars is None else F.substring(c, 1, max_chars)
+    return tx.let(tx.folded(c), lambda plain: tx.any_in_page(c, plain, patterns))
 
 
 def parked(html, patterns=cat.PARKED_PATTERNS) -> Column:
-    return tx.matches_any(tx.col(html), patterns)
+    return tx.let(tx.folded(tx.col(html)), lambda plain: tx.any_in_page(tx.col(html), plain, patterns))
 
 
 def parse_enrichment_refs(refs: DataFrame) -> DataFrame:

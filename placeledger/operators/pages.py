@@ -23,22 +23,31 @@ def _any(text: Column, patterns) -> Column:
 def scan_categories(text, catalog=cat.PRODUCT_CATALOG) -> Column:
     """Keys of the catalog entries of which a pattern occurs, in catalog order."""
     c = tx.col(text)
-    return F.filter(F.array(*[F.when(_any(c, ps), F.lit(k)) for k, ps in catalog]), lambda k: k.isNotNull())
+    return tx.let(tx.folded(c), lambda plain: F.filter(
+        F.array(*[F.when(tx.any_in_page(c, plain, ps), F.lit(k)) for k, ps in catalog]), lambda k: k.isNotNull()
+    ))
 
 
 def scan_snippets(text, catalog=cat.WIDE_PRODUCT_CATALOG, around: int = 60) -> Column:
     """Array of (category, snippet): the first match of the first pattern that occurs, with its surroundings."""
     c = tx.col(text)
 
-    def snippet(pattern: str) -> Column:
-        p = "(?iU)" + pattern
-        start = F.regexp_instr(c, F.lit(p))
+    def around_match(pattern: str, start: Column) -> Column:
         left = F.greatest(start - around, F.lit(1))
-        right = F.least(start + F.length(F.regexp_extract(c, p, 0)) + around - 1, F.length(c))
+        right = F.least(start + F.length(F.regexp_extract(c, "(?iU)" + pattern, 0)) + around - 1, F.length(c))
         return F.when(start > 0, tx.collapse(F.substring(c, left, right - left + 1)))
 
-    entries = [F.struct(F.lit(k).alias("category"), F.coalesce(*[snippet(p) for p in ps]).alias("snippet")) for k, ps in catalog]
-    return F.filter(F.array(*entries), lambda e: e["snippet"].isNotNull())
+    def snippet(plain: Column, pattern: str) -> Column:
+        at = F.when(tx.any_in_page(c, plain, [pattern]), F.regexp_instr(c, F.lit("(?iU)" + pattern)))
+        return tx.let(at, lambda start: around_match(pattern, start))
+
+    def entries(plain: Column) -> Column:
+        return F.array(*[
+            F.struct(F.lit(k).alias("category"), F.coalesce(*[snippet(plain, p) for p in ps]).alias("snippet"))
+            for k, ps in catalog
+        ])
+
+    return F.filter(tx.let(tx.folded(c), entries), lambda e: e["snippet"].isNotNull())
 
 
 # --- description and links -----------------------------------------------------------------------------------
@@ -106,9 +115,8 @@ def detect_events(html, url) -> Column:
     first = F.slice(F.transform(hm.anchors(h), lambda a: a["href"]), 1, 20)
     usable = F.filter(first, lambda u: _any(u, cat.EVENT_PATH_PATTERNS) & (u.startswith("/") | u.startswith("http")))
     link = F.get(F.transform(usable, lambda u: F.when(u.startswith("/"), F.concat(base, u)).otherwise(u)), F.lit(0))
-    return tx.let(link, lambda u: F.struct(
-        (u.isNotNull() | _any(h, cat.EVENT_TEXT_PATTERNS)).alias("has_events"), u.alias("event_url")
-    ))
+    words = tx.let(tx.folded(h), lambda plain: tx.any_in_page(h, plain, cat.EVENT_TEXT_PATTERNS))
+    return tx.let(link, lambda u: F.struct((u.isNotNull() | words).alias("has_events"), u.alias("event_url")))
 
 
 def script_redirect(html, url) -> Column:
@@ -126,13 +134,16 @@ def detect_platform(html, headers, url) -> Column:
     URL patterns also run on the HTML, where the payment pattern needs the content folder next to it. A page with only
     the content folder still matches by its HTML signature.
     """
-    h, hd, u = tx.col(html), tx.col(headers), tx.col(url)
+    return tx.let(tx.folded(tx.col(html)), lambda plain: _platform(tx.col(html), plain, tx.col(headers), tx.col(url)))
+
+
+def _platform(h: Column, plain: Column, hd: Column, u: Column) -> Column:
     out = F.when(_any(u, [cat.MARKETPLACE_URL_PATTERN]), "custom")
     for platform, in_html, in_headers, in_url in cat.PLATFORM_SIGNATURES:
-        body = _any(h, in_html)
+        body = tx.any_in_page(h, plain, in_html)
         hit = body
         if in_url:
-            by_url = _any(h, in_url) | _any(u, in_url)
+            by_url = tx.any_in_page(h, plain, in_url) | _any(u, in_url)
             hit = hit | ((by_url & body) if platform == "wordpress_stripe" else by_url)
         for name, pattern in in_headers:
             value = hd[name]
@@ -144,7 +155,12 @@ def detect_platform(html, headers, url) -> Column:
 def _hits(text: Column, patterns) -> Column:
     """How many of the patterns occur; ``patterns`` are texts or (text, ignore case) pairs."""
     pairs = [p if isinstance(p, tuple) else (p, True) for p in patterns]
-    return reduce(lambda a, b: a + b, [F.coalesce(tx.matches_any(text, [p], i), F.lit(False)).cast("int") for p, i in pairs])
+
+    def one(plain: Column, pattern: str, ignore_case: bool) -> Column:
+        hit = tx.any_in_page(text, plain, [pattern]) if ignore_case else tx.matches_any(text, [pattern], False)
+        return F.coalesce(hit, F.lit(False)).cast("int")
+
+    return tx.let(tx.folded(text), lambda plain: reduce(lambda a, b: a + b, [one(plain, p, i) for p, i in pairs]))
 
 
 _VERDICT = "struct<sells: boolean, size: string, confidence: double, method: string>"

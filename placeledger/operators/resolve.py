@@ -119,7 +119,9 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: int = cat.FUZZY_
     total = F.length("l_name") + F.length("r_name")
     least = total * share
     long_enough = (F.least(F.length("l_name"), F.length("r_name")) > least) | (F.col("l_name") == F.col("r_name"))
-    met = keyed(left, "l_name").join(keyed(right, "r_name"), ["block", "sig"]).filter(long_enough)
+    # Most cells around a candidate are empty: only blocks that hold an offer get signatures.
+    held = left.join(right.select("block").distinct(), "block", "left_semi")
+    met = keyed(held, "l_name").join(keyed(right, "r_name"), ["block", "sig"]).filter(long_enough)
     pairs = met.select("block", "l_name", "r_name").distinct().filter(F.levenshtein("l_name", "r_name") <= total - 2 * least)
     return pairs.withColumn("score", name_ratio("l_name", "r_name")).filter(F.col("score") >= threshold)
 

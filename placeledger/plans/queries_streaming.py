@@ -41,9 +41,8 @@ def stream_failures(d):
     # One number that settles equal times the way the log order does.
     rank = F.col("seq") * 1000 + F.col("seq2")
     rows = logs.select("presence_id", F.get_json_object("result", "$.status").alias("status"), "ts", rank.alias("seq"))
-    changes = jobs.stream_failures(_as_stream(rows, folder, "ts"))
-    jobs.run_available(changes, f"{folder}/out", f"{folder}/state")
-    return jobs.failing_now(d.spark.read.schema(changes.schema).parquet(f"{folder}/out"))
+    jobs.stream_failures(_as_stream(rows, folder, "ts"), f"{folder}/out", f"{folder}/state")
+    return jobs.failing_now(d.spark.read.parquet(f"{folder}/out/changes"))
 
 
 @query("""

@@ -1,7 +1,7 @@
 """Streaming forms of the check log, subscriptions, claims and crawl drops.
 
-Each gives the result of the batch operator over the same rows. Keyed state lives in the state store, so a batch costs
-as much as its own rows; file outputs are written per epoch, so a replayed epoch replaces its own files.
+Each gives the result of the batch operator over the same rows. Outputs are written per epoch, so a replayed epoch
+replaces its own files.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,43 +29,48 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 # --- check failures ------------------------------------------------------------------------------------------
 
-def stream_failures(checks: DataFrame, n: int = 3) -> DataFrame:
-    """(presence_id, failing, micros) whenever "the last ``n`` checks all failed" becomes true or false for a presence.
+def _newest(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` newest checks per presence; cut per task before the shuffle, so a huge history sends n rows per task."""
+    w = Window.partitionBy("presence_id").orderBy(F.desc("ts"), F.desc("seq"))
+    return rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).drop("r")
 
-    ``checks`` has presence_id, status, ts and a tie column ``seq``. State is the ``n`` newest outcomes, ordered by event
-    time, so late rows take their right place. Every input batch is first cut to the ``n`` newest rows per presence, which
-    keeps a presence with very many checks from flooding one task.
-    """
-    rows = checks.select(
-        "presence_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.col("seq").cast("bigint").alias("seq"),
-        F.coalesce(F.col("status").isin(*FAILED), F.lit(False)).alias("bad"),
+
+def _failing(state: DataFrame, n: int) -> DataFrame:
+    return state.groupBy("presence_id").agg(
+        ((F.count("*") == n) & F.bool_and("bad")).alias("failing"), F.max("ts").alias("ts")
     )
 
-    def newest(batches):
-        for batch in batches:
-            yield batch.sort_values(["micros", "seq"], kind="stable").groupby("presence_id", sort=False).tail(n)
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        before = len(held) == n and all(bad for _, _, bad in held)
-        for frame in frames:
-            held += zip(frame["micros"].tolist(), frame["seq"].tolist(), frame["bad"].tolist(), strict=True)
-            held = sorted(held)[-n:]
-        after = len(held) == n and all(bad for _, _, bad in held)
-        state.update(tuple([h[i] for h in held] for i in range(3)))
-        if after != before:
-            yield pd.DataFrame({"presence_id": [key[0]], "failing": [after], "micros": [held[-1][0]]})
-
-    small = rows.mapInPandas(newest, rows.schema)
-    return small.groupBy("presence_id").applyInPandasWithState(
-        update, "presence_id string, failing boolean, micros bigint", "micros array<bigint>, seq array<bigint>, bad array<boolean>",
-        "append", GroupStateTimeout.NoTimeout,
-    )
+def stream_failures(checks: DataFrame, path: str, checkpoint: str, n: int = 3) -> None:
+    """Follow a check stream; when "the last ``n`` checks all failed" becomes true or false for a presence, say so.
+
+    ``checks`` has presence_id, status, ts and a tie column ``seq``. The state is the ``n`` newest outcomes per presence
+    by event time, so late rows take their right place. Epoch e reads state e - 1 and writes ``path``/state/epoch=e and
+    the changes (presence_id, failing, ts) under ``path``/changes/epoch=e; a replayed epoch writes the same again.
+    """
+    columns = ["presence_id", "ts", "seq", "bad"]
+
+    def follow(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        bad = F.coalesce(F.col("status").isin(*FAILED), F.lit(False))
+        fresh = batch.withColumn("bad", bad).select(*columns)
+        if epoch > 0:
+            old = spark.read.schema(fresh.schema).parquet(f"{path}/state/epoch={epoch - 1}")
+        else:
+            old = spark.createDataFrame([], fresh.schema)
+        target = f"{path}/state/epoch={epoch}"
+        _newest(old.unionByName(fresh), n).write.mode("overwrite").parquet(target)
+        now = _failing(spark.read.schema(fresh.schema).parquet(target), n)
+        before = _failing(old, n).select("presence_id", F.col("failing").alias("was"))
+        changed = now.join(before, "presence_id", "left").filter(F.col("failing") != F.coalesce("was", F.lit(False)))
+        changed.drop("was").write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
+
+    checks.writeStream.foreachBatch(follow).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def failing_now(changes: DataFrame) -> DataFrame:
-    """Presences whose changes so far leave them failing: they turn to failing once more often than back."""
-    last = changes.groupBy("presence_id").agg((F.count_if("failing") > F.count_if(~F.col("failing"))).alias("failing"))
+    """Presences whose last change (by epoch) says failing."""
+    last = changes.groupBy("presence_id").agg(F.max_by("failing", "epoch").alias("failing"))
     return last.filter("failing").select("presence_id")
 
 
