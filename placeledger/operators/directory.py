@@ -74,7 +74,10 @@ def nearby_cities(stores: DataFrame, presences: DataFrame, refs: DataFrame, limi
     targets = ranked.groupBy("state", F.col("city_key").alias("for_key")).agg(
         F.count("*").alias("spellings"), F.sort_array(F.collect_list("r")).alias("own_ranks")
     )
-    pairs = targets.join(ranked, "state").filter(
+    # A city needs the first ``limit`` ranks and one more per spelling of its own, so the rest never meets a city.
+    deepest = targets.groupBy("state").agg((F.max("spellings") + limit).alias("deepest"))
+    first = ranked.join(small(deepest), "state").filter(F.col("r") <= F.col("deepest")).drop("deepest")
+    pairs = targets.join(first, "state").filter(
         (F.col("r") <= F.col("spellings") + limit) & (F.col("city_key") != F.col("for_key"))
     )
     before = F.size(F.filter("own_ranks", lambda x: x < F.col("r")))

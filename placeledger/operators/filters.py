@@ -217,13 +217,18 @@ def enrichment_candidates(
 def lookup_by_name_city(stores: DataFrame, closing: DataFrame) -> DataFrame:
     """Open stores whose name contains a listed fragment in the listed city and state (any case).
 
-    City and state join by equality, so the substring test runs only within one city.
+    A name that contains a fragment contains its first three letters, so names and fragments meet by city and those
+    letters instead of all with all; fragments of one or two letters use their one or two.
     """
-    s = stores.filter(F.col("status") != "closed").withColumns(
-        {"city_key": F.upper("city"), "state_key": F.upper("state")}
-    )
-    c = closing.select(
-        F.col("fragment"), F.upper("city").alias("city_key"), F.upper("state").alias("state_key")
-    )
-    hit = F.contains(F.lower(s["name"]), F.lower(c["fragment"]))
-    return s.join(c, ["state_key", "city_key"]).filter(hit).select("fragment", "id", "name", "city", "state", "status")
+    keys = {"city_key": F.upper("city"), "state_key": F.upper("state")}
+    c = closing.select("fragment", F.lower("fragment").alias("needle"), "city", "state").withColumns(keys).drop("city", "state")
+    c = c.withColumn("piece", F.substring("needle", 1, 3))
+    s = stores.filter(F.col("status") != "closed").withColumns(keys)
+    s = s.join(c.select("state_key", "city_key").distinct(), ["state_key", "city_key"], "left_semi")
+    lower = F.lower("name")
+    starts = F.sequence(F.lit(1), F.length(lower))
+    pieces = F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(lower, i, F.lit(n)) for n in (1, 2, 3)])))
+    pieces = F.when(F.length("name") > 0, F.array_append(F.array_distinct(pieces), F.lit(""))).otherwise(F.array(F.lit("")))
+    s = s.select("id", "name", "city", "state", "status", "state_key", "city_key", F.explode(pieces).alias("piece"))
+    met = s.join(c, ["state_key", "city_key", "piece"]).filter(F.contains(F.lower("name"), F.col("needle")))
+    return met.select("fragment", "id", "name", "city", "state", "status")

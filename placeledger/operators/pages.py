@@ -347,39 +347,50 @@ def page_extract(pages: DataFrame) -> DataFrame:
     )
 
 
-def collapse_page_evidence(evidence: DataFrame) -> DataFrame:
-    """Page evidence to one row per store: unions, the first description and the first event link by page order."""
-    arrays = ["products", "event_types", "phones", "hours_text", "json_ld_types"]
-    # Values are made distinct per store before they are put into one array.
+def evidence_values(evidence: DataFrame) -> DataFrame:
+    """Distinct (store_id, kind, value) rows of all lists of the page evidence.
+
+    A site may have any number of pages, so phones, hours and types stay rows instead of one array per store.
+    """
     def marked(kind: str) -> Column:
         return F.transform(kind, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
-    marks = F.explode(F.concat(*[marked(c) for c in arrays]))
-    values = evidence.select("store_id", marks.alias("m")).select("store_id", "m.kind", "m.value").distinct()
-    unions = values.groupBy("store_id").agg(*[
-        _union_of(c) for c in arrays
-    ])
+    lists = ["products", "event_types", "phones", "hours_text", "json_ld_types"]
+    rows = evidence.select("store_id", F.explode(F.concat(*[marked(c) for c in lists])).alias("m"))
+    return rows.select("store_id", "m.kind", "m.value").distinct()
+
+
+def collapse_page_evidence(evidence: DataFrame) -> DataFrame:
+    """Page evidence to one row per store: products and event types, counts of the open-ended lists, and the first
+    description and event link by page order. The values behind the counts are in ``evidence_values``.
+    """
+    kind = F.col("kind")
+    listed = lambda k: F.array_sort(F.collect_set(F.when(kind == k, F.col("value")))).alias(k)
+    counted = lambda k: F.count_if(kind == k).alias(k)
+    # Products and event types come from catalogs, so their arrays are short.
+    unions = evidence_values(evidence).groupBy("store_id").agg(
+        listed("products"), listed("event_types"), counted("phones"), counted("hours_text"), counted("json_ld_types")
+    )
     first = lambda value: F.min(F.when(value.isNotNull(), F.struct(F.col("page_no"), value.alias("v"))))["v"]
     single = evidence.groupBy("store_id").agg(
         F.count("*").alias("pages"), first(F.col("description")).alias("description"),
         first(F.get("event_urls", F.lit(0))).alias("event_url"),
     )
-    out = single.join(unions, "store_id", "left")
-    empty = F.array().cast("array<string>")
-    return out.withColumns({c: F.coalesce(F.col(c), empty) for c in arrays})
-
-
-def _union_of(kind: str) -> Column:
-    return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(kind)
+    empty, none = F.array().cast("array<string>"), F.lit(0).cast("bigint")
+    return single.join(unions, "store_id", "left").withColumns({
+        "products": F.coalesce("products", empty), "event_types": F.coalesce("event_types", empty),
+        "phones": F.coalesce("phones", none), "hours_text": F.coalesce("hours_text", none),
+        "json_ld_types": F.coalesce("json_ld_types", none),
+    })
 
 
 def dossier_confidence(pages, description, products, has_events, dated_events, phones, hours_text) -> Column:
-    """Weight of the evidence, at most 1, in hundredths (whole numbers, so no rounding noise)."""
+    """Weight of the evidence, at most 1, in hundredths (whole numbers, so no rounding noise). The last three are counts."""
     points = (
         F.when(pages > 0, 20).otherwise(0) + F.when(tx.present(description), 10).otherwise(0)
         + F.least(F.lit(30), F.size(products) * 10) + F.when(has_events, 20).otherwise(0)
-        + F.when(dated_events > 0, 10).otherwise(0) + F.when(F.size(phones) > 0, 10).otherwise(0)
-        + F.when(F.size(hours_text) > 0, 10).otherwise(0)
+        + F.when(dated_events > 0, 10).otherwise(0) + F.when(phones > 0, 10).otherwise(0)
+        + F.when(hours_text > 0, 10).otherwise(0)
     )
     return F.least(points, F.lit(100)) / 100
 

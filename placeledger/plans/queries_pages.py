@@ -278,11 +278,16 @@ def page_extract(d):
 
 
 @query("""
-SELECT store_id, count(*) AS pages, max(CASE WHEN page_id % 7 = 0 THEN 'Product' ELSE '' END) AS types FROM site_pages GROUP BY store_id
+SELECT store_id, count(*) AS pages, max(CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END) AS types FROM site_pages GROUP BY store_id
 """)
 def collapse_page_evidence(d):
     out = pg.collapse_page_evidence(_evidence(d))
-    return out.select("store_id", "pages", F.array_join("json_ld_types", ",").alias("types"))
+    return out.select("store_id", "pages", F.col("json_ld_types").alias("types"))
+
+
+@query()
+def evidence_values(d):
+    return pg.evidence_values(_evidence(d))
 
 
 @query()
@@ -308,7 +313,7 @@ def dossier_scores(d):
         "pages": F.col("id").cast("bigint") % 3, "products": F.coalesce("content.products", F.array().cast("array<string>")),
         "has": F.coalesce("content.has_events", F.lit(False)),
     })
-    lines = F.when(F.col("phone").isNotNull(), F.array("phone")).otherwise(F.array().cast("array<string>"))
+    lines = F.col("phone").isNotNull().cast("int")
     j = j.withColumn("confidence", pg.dossier_confidence(
         F.col("pages"), F.col("content.description"), F.col("products"), F.col("has"), F.lit(0), lines, lines
     ))
