@@ -142,9 +142,7 @@ def read_search_export(spark: SparkSession, paths: list[str]) -> DataFrame:
     for number, path in enumerate(paths):
         df = spark.read.option("header", True).option("escape", '"').csv(path)
         df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-        # Names that differ only in case are told apart by position.
-        by_name = {c: F.col(f"`{c}_{i}`") for i, c in enumerate(df.columns)}
-        df = df.toDF(*[f"{c}_{i}" for i, c in enumerate(df.columns)])
+        by_name = {c: F.col(f"`{c}`") for c in df.columns}
         held = [F.when(tx.present(by_name[c]), by_name[c]) for c in PAGE_COLUMNS if c in by_name]
         page = F.coalesce(*held) if held else F.lit(None).cast("string")
         shown = by_name.get("Impressions", F.lit("0"))

@@ -124,7 +124,7 @@ def random_batch(rng, n_stores, n_cands):
     return stores, cands, refs
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 3])
 def test_same_as_one_by_one(spark, seed):
     rng = random.Random(seed)
     stores, cands, refs = random_batch(rng, 14, 60)
