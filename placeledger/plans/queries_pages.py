@@ -35,17 +35,28 @@ def scan_categories(d):
     return d.site_pages.select("page_id", F.array_join(pg.scan_categories("html"), ",").alias("products"))
 
 
-@query(f"SELECT doc_id, {_scan('text', cat.WIDE_PRODUCT_CATALOG)} AS products, {_scan('text', cat.EVENT_CATALOG)} AS events FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query(f"SELECT doc_id, {_scan('text', cat.WIDE_PRODUCT_CATALOG)} AS products, {_scan('text', cat.EVENT_CATALOG)} AS events FROM documents")
 def scan_documents(d):
-    """The wide catalogs over the texts written in plain letters."""
-    plain = d.documents.filter(F.col("text").rlike(r"^[\x00-\x7f]*\z"))
-    return plain.select(
+    return d.documents.select(
         "doc_id", F.array_join(pg.scan_categories("text", cat.WIDE_PRODUCT_CATALOG), ",").alias("products"),
         F.array_join(pg.scan_categories("text", cat.EVENT_CATALOG), ",").alias("events"),
     )
 
 
-@query()
+def _snippets(column: str, catalog) -> str:
+    """Check SQL: list of (category, first matching text) over a catalog."""
+    def first(patterns) -> str:
+        return "coalesce(" + ", ".join(f"nullif(regexp_extract({column}, '(?i){p}', 0), '')" for p in patterns) + ")"
+
+    return "[" + ", ".join(f"{{'k': '{k}', 'm': {first(ps)}}}" for k, ps in catalog) + "]"
+
+
+@query(f"""
+SELECT page_id, s.k AS category, trim(regexp_replace(substr(html, lo, hi - lo + 1), '\\s+', ' ', 'g')) AS snippet FROM (
+  SELECT *, greatest(pos - 60, 1) AS lo, least(pos + length(s.m) + 59, length(html)) AS hi FROM (
+    SELECT page_id, html, s, strpos(lower(html), lower(s.m)) AS pos FROM (
+      SELECT page_id, html, unnest({_snippets('html', cat.WIDE_PRODUCT_CATALOG)}) AS s FROM site_pages) WHERE s.m IS NOT NULL))
+""")
 def scan_snippets(d):
     return d.site_pages.select("page_id", F.explode(pg.scan_snippets("html")).alias("s")).select("page_id", "s.*")
 
@@ -71,7 +82,13 @@ def event_links(d):
     return d.site_pages.select("page_id", F.array_join(F.array_sort(pg.event_links("html", "url")), " ").alias("links"))
 
 
-@query()
+@query(f"""
+WITH tags AS (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS list FROM site_pages),
+one AS (SELECT page_id, url, unnest(list) AS a, generate_subscripts(list, 1) AS i FROM tags),
+found AS (SELECT page_id, {_ORIGIN} || regexp_extract(a, '<a href="([^"?#]*)', 1) AS link, min(i) AS i FROM one
+  WHERE regexp_matches(lower(regexp_extract(a, 'href="(.*)</a>', 1)), '{"|".join(cat.USEFUL_LINK_HINTS)}') GROUP BY ALL)
+SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS r FROM found) WHERE r <= 7
+""")
 def useful_links(d):
     return d.site_pages.select("page_id", F.explode(pg.useful_links("html", "url")).alias("link"))
 
@@ -263,9 +280,12 @@ def extract_phones(d):
     return d.documents.select("doc_id", F.array_join(pg.extract_phones("text"), "|").alias("phones"))
 
 
-@query()
+@query(f"""
+SELECT page_id, array_to_string(list_slice(list_sort(list_distinct([trim(x) FOR x IN regexp_extract_all(html, '(?i){cat.HOURS_TEXT_PATTERN}')])), 1, 10), '|') AS lines
+FROM site_pages
+""")
 def extract_hours(d):
-    return d.site_pages.select("page_id", F.explode_outer(pg.extract_hours("html")).alias("line"))
+    return d.site_pages.select("page_id", F.array_join(pg.extract_hours("html"), "|").alias("lines"))
 
 
 def _evidence(d):

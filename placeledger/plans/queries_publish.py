@@ -31,17 +31,20 @@ def _haversine(a: str, b: str) -> str:
     return f"2 * 3958.8e0 * atan2(sqrt({h}), sqrt(1 - {h}))"
 
 
-@query(f"""
-SELECT p.point_id, s.id, round({_haversine('p', 's')}, 3) AS miles
-FROM points p JOIN stores s ON CAST(s.id AS BIGINT) // 100 = p.point_id // 10 WHERE s.latitude IS NOT NULL
-""")
+_METROS = "(VALUES " + ", ".join(f"('{n}', {lat}e0, {lng}e0)" for n, lat, lng in cat.METRO_POINTS) + ") p(metro, latitude, longitude)"
+
+
+def _from_metros(d):
+    """Every placed store with its distance to each metro point."""
+    points = F.array(*[F.struct(F.lit(n).alias("metro"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng")) for n, lat, lng in cat.METRO_POINTS])
+    rows = d.stores.filter(F.col("latitude").isNotNull()).select("id", "latitude", "longitude", F.explode(points).alias("p"))
+    miles = geo.haversine_miles(F.col("p.lat"), F.col("p.lng"), F.col("latitude"), F.col("longitude"))
+    return rows.select("id", "p.metro", miles.alias("miles"))
+
+
+@query(f"SELECT s.id, p.metro, round({_haversine('p', 's')}, 3) AS miles FROM stores s, {_METROS} WHERE s.latitude IS NOT NULL")
 def haversine_miles(d):
-    s = d.stores.filter(F.col("latitude").isNotNull()).select(
-        "id", F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lng"), F.floor(F.col("id").cast("bigint") / 100).alias("g")
-    )
-    p = d.points.withColumn("g", F.floor(F.col("point_id") / 10))
-    miles = geo.haversine_miles(F.col("latitude"), F.col("longitude"), F.col("b_lat"), F.col("b_lng"))
-    return p.join(s, "g").select("point_id", "id", F.round(miles, 3).alias("miles"))
+    return _from_metros(d).withColumn("miles", F.round("miles", 3))
 
 
 @query(f"""
@@ -182,18 +185,12 @@ def display_columns(d):
 
 
 @query(f"""
-SELECT point_id, id, CASE WHEN miles < 1 THEN printf('%.0f', miles * 5280) || ' ft' ELSE printf('%.1f', miles) || ' mi' END AS distance FROM (
-  SELECT p.point_id, s.id, round({_haversine('p', 's')}, 2) / 100 + 0.003e0 AS miles
-  FROM points p JOIN stores s ON CAST(s.id AS BIGINT) // 100 = p.point_id // 10 WHERE s.latitude IS NOT NULL)
+SELECT id, metro, CASE WHEN miles < 1 THEN printf('%.0f', miles * 5280) || ' ft' ELSE printf('%.1f', miles) || ' mi' END AS distance FROM (
+  SELECT s.id, p.metro, round({_haversine('p', 's')}, 2) / 500 + 0.003e0 AS miles FROM stores s, {_METROS} WHERE s.latitude IS NOT NULL)
 """)
 def distance_text(d):
-    s = d.stores.filter(F.col("latitude").isNotNull()).select(
-        "id", F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lng"), F.floor(F.col("id").cast("bigint") / 100).alias("g")
-    )
-    p = d.points.withColumn("g", F.floor(F.col("point_id") / 10))
-    miles = geo.haversine_miles(F.col("latitude"), F.col("longitude"), F.col("b_lat"), F.col("b_lng"))
-    rows = p.join(s, "g").withColumn("miles", F.round(miles, 2) / 100 + F.lit(0.003))
-    return rows.select("point_id", "id", pb.distance_text(F.col("miles")).alias("distance"))
+    rows = _from_metros(d).withColumn("miles", F.round("miles", 2) / 500 + F.lit(0.003))
+    return rows.select("id", "metro", pb.distance_text(F.col("miles")).alias("distance"))
 
 
 _CATS = "(SELECT store_id, list(category ORDER BY category) AS cats FROM store_categories GROUP BY store_id)"
@@ -233,15 +230,49 @@ def store_meta_description(d):
     return pb.store_metadata(pages).select("id", "description")
 
 
-@query()
+_FAQ = f"""
+  SELECT id, unnest([
+    {{'n': 1, 'q': 'Where is ' || name || ' located?', 'a': name || ' is located at ' || street || ', ' || {_CITY} || ', ' || state || ' ' || zip_code || '.'}},
+    CASE WHEN phone <> '' THEN {{'n': 2, 'q': 'What is ' || name || '''s phone number?', 'a': 'You can reach ' || name || ' by phone at ' || phone || '.'}} END,
+    CASE WHEN lines IS NOT NULL THEN {{'n': 3, 'q': 'What are ' || name || '''s hours?', 'a': name || '''s hours are: ' || array_to_string(lines, ', ') || '.'}} END,
+    CASE WHEN website IS NOT NULL THEN {{'n': 4, 'q': 'Does ' || name || ' have a website?', 'a': 'Yes, you can visit ' || name || '''s website at ' || website || '.'}} END,
+    CASE WHEN len(products) > 0 THEN {{'n': 5, 'q': 'What games does ' || name || ' sell?',
+      'a': name || ' carries ' || array_to_string([coalesce({_LABELS}[x], x) FOR x IN list_slice(products, 1, 8)], ', ') || '.'}} END,
+    CASE WHEN list_contains(products, 'mtg') THEN {{'n': 6, 'q': 'Does ' || name || ' sell Magic: The Gathering cards?', 'a': 'Yes, ' || name || ' sells Magic: The Gathering cards.'}} END,
+    CASE WHEN list_contains(products, 'pokemon') THEN {{'n': 7, 'q': 'Does ' || name || ' sell Pokemon cards?', 'a': 'Yes, ' || name || ' sells Pokemon TCG cards.'}} END,
+    CASE WHEN list_contains(products, 'miniatures') THEN {{'n': 8, 'q': 'Does ' || name || ' have Warhammer products?', 'a': 'Yes, ' || name || ' carries Warhammer and miniatures products.'}} END,
+    CASE WHEN has_events THEN {{'n': 9, 'q': 'Does ' || name || ' host events?',
+      'a': 'Yes, ' || name || ' hosts in-store events.' || coalesce(' Check their events schedule at ' || event_url || '.', '')}} END,
+    CASE WHEN id IN (SELECT store_id FROM online_presences WHERE sells_mtg_singles) THEN {{'n': 10, 'q': 'Can I buy Magic: The Gathering singles from ' || name || ' online?',
+      'a': 'Yes, ' || name || ' sells Magic: The Gathering singles through their online presence.'}} END,
+    CASE WHEN wpn_level <> '' THEN {{'n': 11, 'q': 'Is ' || name || ' a WPN store?', 'a': 'Yes, ' || name || ' is a ' ||
+      CASE wpn_level WHEN 'premium' THEN 'WPN Premium' ELSE 'WPN Core' END || ' member of Wizards Play Network.'}} END,
+    CASE WHEN lines IS NOT NULL THEN {{'n': 12, 'q': 'What is ' || name || '''s rating?', 'a': name || ' has a ' || printf('%.1f', rating) ||
+      ' out of 5 star rating on Google based on ' || reviews || ' reviews.'}} END]) AS item
+  FROM stores s LEFT JOIN ({_SITES}) w ON w.store_id = s.id
+  LEFT JOIN (SELECT store_id, lines, CAST(payload->>'rating' AS DOUBLE) AS rating, payload->>'user_rating_count' AS reviews FROM ({_PLACES})) g ON g.store_id = s.id
+  LEFT JOIN (SELECT store_id, arg_min(url, url || id) AS website FROM online_presences WHERE channel_type = 'website' AND status = 'active' GROUP BY store_id) o
+    ON o.store_id = s.id
+"""
+
+
+@query(f"""
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY item.n) AS position, item.q AS question, item.a AS answer FROM ({_FAQ}) WHERE item IS NOT NULL
+""")
 def store_faq(d):
-    return pb.faq_rows(pb.store_pages(d.stores, d.online_presences, d.store_external_refs, d.store_categories))
+    out = pb.faq_rows(pb.store_pages(d.stores, d.online_presences, d.store_external_refs, d.store_categories))
+    return out.withColumn("position", F.col("position").cast("bigint"))
 
 
-@query()
+@query(f"""
+SELECT id, 'FAQPage' AS kind, count(*) AS questions, arg_max(item.a, item.n) AS last_answer FROM ({_FAQ}) WHERE item IS NOT NULL GROUP BY id
+""")
 def faq_jsonld(d):
+    """The documents, read back."""
     pages = pb.store_pages(d.stores, d.online_presences, d.store_external_refs, d.store_categories)
-    return pages.select("id", pb.faq_jsonld(pb.store_faq()).alias("document"))
+    back = F.from_json(pb.faq_jsonld(pb.store_faq()), "`@type` string, mainEntity array<struct<acceptedAnswer: struct<text: string>>>")
+    out = pages.select("id", back.alias("b")).select("id", F.col("b.@type").alias("kind"), F.col("b.mainEntity.acceptedAnswer.text").alias("texts"))
+    return out.select("id", "kind", F.size("texts").cast("bigint").alias("questions"), F.element_at("texts", -1).alias("last_answer"))
 
 
 @query(f"""
@@ -275,9 +306,15 @@ def city_jsonld(d):
     return out.select("state", "city_key", "total", F.array_join(back["mainEntity"]["itemListElement"]["item"]["name"], "|").alias("names"))
 
 
-@query()
+@query(f"""
+SELECT count(*) AS states, string_agg(state || '=' || {STATE_SLUGS}[state], ',' ORDER BY state) AS listed FROM (SELECT DISTINCT state FROM visible)
+""")
 def states_jsonld(d):
-    return pb.states_jsonld(dr.state_index(d.stores, d.online_presences, d.store_external_refs))
+    """The document, read back."""
+    out = pb.states_jsonld(dr.state_index(d.stores, d.online_presences, d.store_external_refs))
+    back = F.from_json("document", "mainEntity string, numberOfItems bigint, itemListElement array<struct<name: string, url: string>>")
+    names = F.transform("b.itemListElement", lambda e: F.concat(e["name"], F.lit("="), F.element_at(F.split(e["url"], "/"), -1)))
+    return out.select(back.alias("b")).select(F.col("b.numberOfItems").alias("states"), F.array_join(names, ",").alias("listed"))
 
 
 @query(f"""

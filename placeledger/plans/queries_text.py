@@ -92,7 +92,7 @@ def google_to_vertical(d):
 
 
 _WPN_PARTS = """
-  SELECT id, [trim(x) FOR x IN string_split(postal_address, ',')] AS p FROM wpn_raw WHERE len(string_split(postal_address, ',')) >= 4
+  SELECT id, [trim(x) FOR x IN string_split(postal_address, ',')] AS p FROM wpn_raw
 """
 
 
@@ -107,8 +107,7 @@ FROM (SELECT *, length(street) BETWEEN 1 AND 255 AND length(city) BETWEEN 1 AND
 """)
 def validate_address(d):
     parts = F.transform(F.split("postalAddress", ","), lambda p: F.trim(p))
-    raw = wpn(d).withColumn("p", parts).filter(F.size("p") >= 4)
-    out = raw.select("id", tx.validate_address(F.get("p", F.lit(0)), F.get("p", F.lit(1)), F.get("p", F.lit(2)), F.get("p", F.lit(3))).alias("a"))
+    out = wpn(d).withColumn("p", parts).select("id", tx.validate_address(F.get("p", F.lit(0)), F.get("p", F.lit(1)), F.get("p", F.lit(2)), F.get("p", F.lit(3))).alias("a"))
     return out.select("id", "a.street", "a.city", "a.state", "a.zip_code")
 
 
@@ -147,8 +146,7 @@ def normalize_state(d):
 
 @query(f"SELECT id, CASE WHEN length(z) = 5 THEN z END AS zip_code FROM (SELECT id, split_part(trim(p[4]), '-', 1) AS z FROM ({_WPN_PARTS}))")
 def normalize_zip(d):
-    parts = wpn(d).withColumn("p", F.split("postalAddress", ",")).filter(F.size("p") >= 4)
-    return parts.select("id", tx.normalize_zip(F.get("p", F.lit(3))).alias("zip_code"))
+    return wpn(d).withColumn("p", F.split("postalAddress", ",")).select("id", tx.normalize_zip(F.get("p", F.lit(3))).alias("zip_code"))
 
 
 _NAME_WORDS = "'\\b(?:" + "|".join(cat.NAME_SUFFIX_WORDS) + ")\\b'"
