@@ -72,17 +72,15 @@ def _least_share(threshold: int) -> float:
 def name_tokens(name: Column) -> Column:
     """Characters numbered by occurrence ("B", second "B", ...), sorted from rare to common."""
 
-    def numbered(chars: Column) -> Column:
-        def token(ch: Column, i: Column) -> Column:
-            nth = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda c: c == ch))
-            return tx.let(F.least(nth, F.lit(99)), lambda n: F.concat(
-                F.lpad((F.lit(99) - n).cast("string"), 2, "0"),
-                F.lpad(F.instr(F.lit(RARE_FIRST), ch).cast("string"), 2, "0"), ch, nth.cast("string"),
-            ))
-
-        return F.sort_array(F.transform(chars, token))
+    def token(ch: Column, i: Column) -> Column:
+        upto = F.substring(name, F.lit(1), i + 1)
+        nth = F.least(F.length(upto) - F.length(F.replace(upto, ch, F.lit(""))), F.lit(99))
+        return F.concat(
+            F.lpad((F.lit(99) - nth).cast("string"), 2, "0"), F.lpad(F.instr(F.lit(RARE_FIRST), ch).cast("string"), 2, "0"),
+            ch, nth.cast("string"),
+        )
 
-    return tx.let(F.filter(F.split(name, ""), lambda c: c != ""), numbered)
+    return F.sort_array(F.transform(F.filter(F.split(name, ""), lambda c: c != ""), token))
 
 
 def name_signatures(name: Column, threshold: int) -> Column:
@@ -114,7 +112,8 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: int = cat.FUZZY_
 
     def keyed(df: DataFrame, as_name: str) -> DataFrame:
         rows = df.select("block", F.col("name").alias(as_name)).distinct()
-        return rows.withColumn("sig", F.explode(F.array_distinct(name_signatures(F.col(as_name), threshold))))
+        # Every name has a signature; the outer form spares the optimizer's extra test of the array.
+        return rows.withColumn("sig", F.explode_outer(F.array_distinct(name_signatures(F.col(as_name), threshold))))
 
     total = F.length("l_name") + F.length("r_name")
     least = total * share
@@ -336,6 +335,13 @@ def _with_fills(holders: DataFrame, fills: DataFrame) -> DataFrame:
     )).filter(F.col("placed_at").isNotNull() | F.col("t_wpn_id").isNotNull() | F.col("t_google_place_id").isNotNull())
 
 
+def _same_fills(a: DataFrame, b: DataFrame) -> bool:
+    columns = ["store", "placed_at", *[p + c for c in _FILLED for p in ("t_", "x_")]]
+    x = a.select("store", F.struct(*columns).alias("a"))
+    y = b.select("store", F.struct(*columns).alias("b"))
+    return x.join(y, "store", "full").filter(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
+
+
 def _filled_entries(filled: DataFrame) -> DataFrame:
     """Ids that holders got during the batch, valid after the turn that brought them."""
     parts = [
@@ -417,18 +423,22 @@ def resolve_candidates(
         )
         return decided.unionByName(followers)
 
-    # Stores made or completed by the batch, until nothing changes.
-    best, number = static, 0
-    decided = cut(everyone(best))
-    while True:
-        number += 1
+    def holders_of(decided: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(stores made so far, all holders, holders with filled gaps)."""
         made = decided.filter(F.col("tier").isNull()).select("cid", "store")
         order = F.struct(F.lit(1).alias("kind"), F.col("seq").alias("at"), F.col("store").alias("id"))
         leaders = free.join(made, "cid").select(
             "store", order.alias("ord"), F.col("seq").alias("born"), *_NAMES, "latitude", "longitude", "wpn_id", "google_place_id"
         )
-        holders = h.unionByName(leaders)
-        filled = cut(_with_fills(holders, _fills(decided.filter(F.col("tier").isNotNull()), c)))
+        every = h.unionByName(leaders)
+        return leaders, every, cut(_with_fills(every, _fills(decided.filter(F.col("tier").isNotNull()), c)))
+
+    # Stores made or completed by the batch, until they stay the same.
+    best, number = static, 0
+    decided = cut(everyone(best))
+    leaders, holders, filled = holders_of(decided)
+    while True:
+        number += 1
         entries = _exact_entries(leaders).unionByName(_filled_entries(filled))
         exact_now = cut(_best(exact.unionByName(_exact_matches(free, entries))))
         asks = unsure.join(exact_now, "cid", "left_anti")
@@ -441,13 +451,15 @@ def resolve_candidates(
         fuzzy_now = static.filter(F.col("tier") == FUZZY).unionByName(_fuzzy_matches(asks, offers, threshold, miles))
         fuzzy_now = fuzzy_now.join(exact_now, "cid", "left_anti")
         best = cut(_best(exact_now.unionByName(fuzzy_now)))
-        after = cut(everyone(best))
-        changed = after.join(decided.withColumnsRenamed({"tier": "old_tier", "store": "old_store"}), "cid").filter(
-            ~F.col("tier").eqNullSafe(F.col("old_tier")) | (F.col("store") != F.col("old_store"))
-        )
-        done = changed.isEmpty()
-        decided = after
-        if done:
+        before, decided = decided, cut(everyone(best))
+        old_filled = filled
+        leaders, holders, filled = holders_of(decided)
+        # Another round would see the same unless a store was added, a store that someone matched is gone, or a fill
+        # changed. Stores that are gone and that nobody matched cannot change a match.
+        old, new = (x.filter(F.col("tier").isNull()).select("store") for x in (before, decided))
+        gone, added = old.join(new, "store", "left_anti"), new.join(old, "store", "left_anti")
+        missed = decided.filter(F.col("tier").isNotNull()).join(gone, "store", "left_semi")
+        if added.isEmpty() and missed.isEmpty() and _same_fills(old_filled, filled):
             break
         if max_rounds is not None and number >= max_rounds:
             raise RuntimeError(f"no stable result after {number} rounds")
