@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placeledger import catalogs as cat
 from placeledger.functions import text as tx
 from placeledger.operators import filters as fl
+from placeledger.session import cut
 
 FAILED = ["unreachable", "dead"]
 
@@ -168,7 +169,7 @@ def health_run(stores: DataFrame, presences: DataFrame, logs: DataFrame, checks:
 
     Gives the next ``stores`` and ``presences`` snapshots, the ``logs`` to append, and the ``targets`` that were applied.
     """
-    results = check_results(presences, stores, checks)
+    results = cut(check_results(presences, stores, checks))  # read by four of the outputs
     next_presences = update_presences(presences, results)
     added = result_logs(results)
     seen = stores.join(results.select(F.col("store_id").alias("id")), "id", "left_semi")

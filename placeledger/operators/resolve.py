@@ -258,6 +258,8 @@ def _fuzzy_offers(holders: DataFrame, miles: float, kinds) -> DataFrame:
 
 
 def _fuzzy_matches(asks: DataFrame, offers: DataFrame, threshold: int, miles: float) -> DataFrame:
+    # Both are read twice: their names for the pairs, their rows for the matches.
+    offers = cut(offers)
     pairs = similar_names(asks.select("block", "name"), offers.select("block", "name"), threshold)
     a = asks.select("block", F.col("name").alias("l_name"), "cid", "seq", F.col("latitude").alias("a_lat"), F.col("longitude").alias("a_lng"))
     o = offers.withColumnRenamed("name", "r_name")
@@ -300,7 +302,7 @@ def match_fuzzy_geo(cands: DataFrame, stores: DataFrame, threshold: int = cat.FU
                     miles: float = cat.PROXIMITY_MILES) -> DataFrame:
     """First store per candidate with a similar name within ``miles``, or in the same ZIP if a position is missing."""
     offers = _fuzzy_offers(_holders(stores), miles, ("zip", "unplaced", "cell"))
-    return _public(_best(_fuzzy_matches(_fuzzy_asks(_candidates(cands), miles), offers, threshold, miles)))
+    return _public(_best(_fuzzy_matches(cut(_fuzzy_asks(_candidates(cands), miles)), offers, threshold, miles)))
 
 
 # --- the whole batch -----------------------------------------------------------------------------------------

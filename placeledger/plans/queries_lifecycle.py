@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeledger import catalogs as cat
-from placeledger.operators import directory as dr
-from placeledger.operators import filters as fl
+from placeledger.operators import audit as au
 from placeledger.operators import lifecycle as lc
 from placeledger.operators import pricing as pr
 from placeledger.operators import sets as st
@@ -248,6 +247,16 @@ def infer_pricing(d):
     return pr.detect_pricing(d.online_presences, d.found_prices, d.market_prices, updates, "1995-07-01 00:00:00")
 
 
+@query(f"""
+SELECT count(*) AS total, count(*) FILTER (WHERE cards_found >= 3 AND avg_delta_pct <= 15) AS synced,
+  count(*) FILTER (WHERE cards_found >= 3 AND avg_delta_pct > 30) AS manual,
+  count(*) FILTER (WHERE cards_found IS NULL OR cards_found < 3 OR (avg_delta_pct > 15 AND avg_delta_pct <= 30)) AS unknown
+FROM online_presences p LEFT JOIN ({_DELTAS}) x ON x.presence_id = p.id
+""")
+def pricing_report(d):
+    return au.run_report(infer_pricing(d), ["synced", "manual", "unknown"], "pricing_method")
+
+
 # --- set jobs ------------------------------------------------------------------------------------------------
 
 @query("""
@@ -303,6 +312,20 @@ def recrawl_diff_partial(d):
     return st.recrawl_diff(d.stores, crawl, "wpn_id", complete=False)
 
 
+@query(f"""
+SELECT count(*) AS total, count(*) FILTER (WHERE status = 'new') AS new, count(*) FILTER (WHERE status = 'delisted') AS delisted,
+  count(*) FILTER (WHERE status = 'unchanged') AS unchanged FROM ({_DIFF})
+""")
+def recrawl_report(d):
+    return au.run_report(recrawl_diff(d), ["new", "delisted", "unchanged"], "status")
+
+
+@query(f"SELECT store_id, wpn_id FROM ({_DIFF}) WHERE status = 'delisted'")
+def delisting_logs(d):
+    logs = st.delisting_logs(recrawl_diff(d), "wpn_id", "absent_from_wpn_recrawl", AS_OF_ORDERS)
+    return logs.select("store_id", F.get_json_object("result", "$.wpn_id").alias("wpn_id"))
+
+
 @query("""
 SELECT source, count(*) AS records, count(website) AS with_website, count(rating) AS with_rating FROM (
   SELECT 'wpn' AS source, name, website, NULL AS rating FROM wpn_raw

@@ -306,6 +306,26 @@ def city_jsonld(d):
     return out.select("state", "city_key", "total", F.array_join(back["mainEntity"]["itemListElement"]["item"]["name"], "|").alias("names"))
 
 
+@query(f"""
+SELECT count(*) AS items, string_agg(name || '=' || slug, '|' ORDER BY distance, id) AS listed FROM (
+  SELECT id, name, slug, {_arc('33.94', '-112.07')} AS distance FROM visible
+  WHERE latitude BETWEEN 33.94 - 200 / 69.0e0 AND 33.94 + 200 / 69.0e0
+    AND longitude BETWEEN -112.07 - 200 / (69.0e0 * cos(radians(33.94))) AND -112.07 + 200 / (69.0e0 * cos(radians(33.94)))
+  ORDER BY distance, id LIMIT 50) WHERE distance <= 200
+""")
+def nearby_jsonld(d):
+    """The document, read back."""
+    out = pb.nearby_jsonld(near.nearby(d.stores, d.store_external_refs, 33.94, -112.07, radius=500))
+    back = F.from_json("document", "mainEntity struct<numberOfItems: bigint, itemListElement: array<struct<item: struct<name: string, url: string>>>>")
+    names = F.transform("m.itemListElement.item", lambda e: F.concat(e["name"], F.lit("="), F.element_at(F.split(e["url"], "/"), -1)))
+    return out.select(back["mainEntity"].alias("m")).select(F.col("m.numberOfItems").alias("items"), F.array_join(names, "|").alias("listed"))
+
+
+@query("SELECT id, coalesce(strftime(last_checked, '%b %-d, %Y'), '—') AS checked FROM online_presences")
+def display_dates(d):
+    return d.online_presences.select("id", pb.day_text(F.col("last_checked")).alias("checked"))
+
+
 @query(f"""
 SELECT count(*) AS states, string_agg(state || '=' || {STATE_SLUGS}[state], ',' ORDER BY state) AS listed FROM (SELECT DISTINCT state FROM visible)
 """)

@@ -10,6 +10,12 @@ from placeledger.plans.views import Directory, check_ctes
 
 _QUERIES: dict[str, Callable[[Directory], DataFrame]] = {}
 _CHECKS: dict[str, str] = {}
+_STORED: dict[str, str] = {}
+
+
+def use_tables(sf_dir: str, path: str) -> None:
+    """Let the queries over ``sf_dir`` read the directory tables stored under ``path``."""
+    _STORED[sf_dir.rstrip("/")] = path
 
 
 def query(check: str | None = None, name: str | None = None):
@@ -45,7 +51,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # Times in the views have no zone; results must not depend on the machine's.
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(Directory(spark, sf_dir))
+            return fn(Directory(spark, sf_dir, tables=_STORED.get(sf_dir.rstrip("/"))))
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

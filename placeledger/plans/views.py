@@ -459,11 +459,15 @@ def check_ctes(sql: str) -> str:
 
 
 class Directory:
-    """The views of one data folder as DataFrames: ``Directory(spark, sf_dir).stores``."""
+    """The views of one data folder as DataFrames: ``Directory(spark, sf_dir).stores``.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    With ``tables`` given, the directory tables are read from there (see ``store_tables``) instead of being derived.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.tables = tables
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -473,8 +477,18 @@ class Directory:
             return self.base(name)
         if name not in VIEWS:
             raise AttributeError(name)
+        if self.tables is not None:
+            return self.spark.read.parquet(f"{self.tables}/{name}")
         parts = [
             f"{v} AS ({_text(v, 'spark', lambda t: f'parquet.`{self.sf_dir}/{t}.parquet`', VIEWS)})"
             for v in _needs(name, VIEWS)
         ]
         return self.spark.sql("WITH " + ", ".join(parts) + f" SELECT * FROM {name}")
+
+
+def store_tables(spark: SparkSession, sf_dir: str, path: str) -> Directory:
+    """Write every directory table once under ``path`` and give the directory that reads them."""
+    derived = Directory(spark, sf_dir)
+    for name in VIEWS:
+        getattr(derived, name).write.parquet(f"{path}/{name}")
+    return Directory(spark, sf_dir, tables=path)
