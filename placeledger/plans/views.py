@@ -12,11 +12,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placeledger.session import spread
+
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+# Tables whose rows hold whole texts: few bytes, much work.
+TEXT_TABLES = ["pages", "documents", "site_pages", "presence_pages", "calendar_pages"]
+
 # Fixed evaluation times of the views: directory views, and views on ship and order dates.
 AS_OF = "2024-02-01 00:00:00"
 AS_OF_ORDERS = "1998-12-01 00:00:00"
@@ -469,14 +474,15 @@ class Directory:
         self.sf_dir = sf_dir.rstrip("/")
         self.tables = tables
 
-    def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
     def __getattr__(self, name: str) -> DataFrame:
-        if name in BASE_TABLES:
-            return self.base(name)
-        if name not in VIEWS:
+        if name not in BASE_TABLES and name not in VIEWS:
             raise AttributeError(name)
+        df = self._read(name)
+        return spread(df) if name in TEXT_TABLES else df
+
+    def _read(self, name: str) -> DataFrame:
+        if name in BASE_TABLES:
+            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if self.tables is not None:
             return self.spark.read.parquet(f"{self.tables}/{name}")
         parts = [
@@ -490,5 +496,6 @@ def store_tables(spark: SparkSession, sf_dir: str, path: str) -> Directory:
     """Write every directory table once under ``path`` and give the directory that reads them."""
     derived = Directory(spark, sf_dir)
     for name in VIEWS:
-        getattr(derived, name).write.parquet(f"{path}/{name}")
+        # Small tables are stored in one file per core, so that their readers use all cores.
+        spread(getattr(derived, name)).write.parquet(f"{path}/{name}")
     return Directory(spark, sf_dir, tables=path)

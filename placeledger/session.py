@@ -63,3 +63,13 @@ def estimated_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast if its estimate is under ``limit``; otherwise leave the join strategy to Spark."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame, per_core: int = 32 * 1024 * 1024) -> DataFrame:
+    """Give every core a part of a small table that costs much work per byte (page texts, say).
+
+    A table of fewer bytes than ``per_core`` for each core may sit in a single file, and so in a single task; it is cheap
+    to move. A larger one already comes in enough tasks and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimated_bytes(df) < per_core * cores else df
