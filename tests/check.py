@@ -1,7 +1,7 @@
 """Run registered queries on Spark and their check SQL on DuckDB and compare.
 
-``python tests/check.py [--sf DIR] [name ...]`` compares the named queries (all by default) exactly: column names,
-column kinds and values.
+``python tests/check.py [--sf DIR] [--stored] [name ...]`` compares the named queries (all by default) exactly: column
+names, column kinds and values. With ``--stored`` the queries read directory tables that are stored first.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 import os
 import sys
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -71,19 +72,26 @@ def connect(sf_dir):
 
 
 def main(argv):
-    from placeledger.plans.registry import all_checks, all_queries
-    from placeledger.session import build_session
+    from placeledger.plans.registry import all_checks, all_queries, use_tables
+    from placeledger.plans.views import store_tables
+    from placeledger.session import build_session, checkpoint_dir
 
     sf = "/root/testdata/sf0.001"
     if "--sf" in argv:
         i = argv.index("--sf")
         sf = argv[i + 1]
         argv = argv[:i] + argv[i + 2:]
+    stored = "--stored" in argv
+    argv = [a for a in argv if a != "--stored"]
     spark = build_session(
         master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
+    if stored:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4()}"
+        store_tables(spark, sf, path)
+        use_tables(sf, path)
     qs, cs = all_queries(), all_checks()
     bad = 0
     for name in argv or qs:
