@@ -110,3 +110,36 @@ SELECT k.doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
   sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
 FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY k.doc_id
 """
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from placeledger.llm.token_files import read_token_files, write_token_files
+    from placeledger.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4()}"
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def token_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Encode and decode every text, and give the digests of both."""
+    import public_tokenizers
+
+    from placeledger.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(spark, table(spark, sf_dir, "documents"))
