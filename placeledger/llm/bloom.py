@@ -88,6 +88,6 @@ def repeated(rows: DataFrame, hashes_of: Callable, bits: int, probes: int, times
     out = np.zeros(bits // 8, dtype=np.uint8)
     merged = rows.mapInArrow(send, _SCHEMA).repartition(SLICES, "slice").mapInArrow(merge, _SCHEMA)
     # Not more than ``bits`` bits come to the driver, whatever the input.
-    for row in merged.select("slice", "twice").toLocalIterator():
+    for row in merged.select("slice", "twice").collect():
         out[row[0] * width // 8 : (row[0] + 1) * width // 8] = np.frombuffer(row[1], np.uint8)
     return out

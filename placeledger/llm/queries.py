@@ -143,3 +143,41 @@ def token_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, table(spark, sf_dir, "documents"))
+
+
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeledger.llm.ngrams import score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train=_remainder(5) != 1)
+
+
+def language_model(docs: DataFrame):
+    """The production model, learned from the rows whose remainder modulo 4 is not 2."""
+    import public_tokenizers
+
+    from placeledger.llm.language_id import train
+
+    return train(docs.filter(_remainder(4) != 2), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeledger.llm.language_id import identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, language_model(docs), F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"))
+
+
+@query
+def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeledger.llm.outliers import judge
+
+    return judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance")
+    )
