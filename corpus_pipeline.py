@@ -5,15 +5,28 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from placeledger.llm import decontaminate, line_dedup
+from placeledger.llm import decontaminate, language_id, line_dedup, near_dedup
+from placeledger.llm.queries import language_model, token_digests
 from placeledger.llm.texts import table
 from placeledger.session import checkpoint_dir
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the learned languages (null, or without a letter) go."""
+    return language_id.keep_identified(docs, language_model(docs))
+
+
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in at least ten documents go."""
-    return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
+    """Lines found in at least ten documents go; ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return near_dedup.drop_near_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,20 +34,28 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is encoded and decoded."""
+    return token_digests(spark, docs)
+
+
 STAGES = [
+    ("language ID", keep_languages),
     ("line dedup", drop_common_lines),
+    ("MinHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_leaks),
+    ("byte-level BPE", encode),
 ]
 
-#: Segmentation sums, minima and token ids have no SQL form; the stages are tested against brute-force versions.
+#: Sums over segmentations and token ids have no SQL form; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage writes lies under the checkpoint folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/{name.replace(' ', '-')}-{uuid.uuid4()}"
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{k}-{uuid.uuid4()}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
