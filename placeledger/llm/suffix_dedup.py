@@ -21,6 +21,7 @@ from placeledger.llm.texts import arrow_bytes, mix, prefix_hash, slices, span_ha
 
 #: Bits of the filters: 64 MB.
 FILTER_BITS = 1 << 29
+PROBES = 2
 BATCH_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
 #: Stands after each piece; no UTF-8 text has this byte.
@@ -73,20 +74,7 @@ class RunIndex:
         n = self.n
         piece = np.repeat(np.arange(len(sizes)), sizes + 1)
         left = (starts + sizes)[piece] - np.arange(n)  # bytes before the separator
-        # Sort by eight bytes, then by doubling; what stands behind a separator does not count.
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        key = np.zeros(n, dtype=np.uint64)
-        for j in range(8):
-            key = (key << np.uint64(8)) | np.where(j <= left, padded[j : j + n], 0).astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        rank, span = self._ranks(key[order], order), 8
-        while span <= sizes.max(initial=0):
-            ahead = np.arange(n) + span
-            second = np.where(span <= left, rank[np.minimum(ahead, n - 1)] + 1, 0)
-            key = rank * np.int64(n + 2) + second
-            order = np.argsort(key, kind="stable")
-            rank = self._ranks(key[order], order)
-            span *= 2
+        order, rank = self._sorted(data, left, int(sizes.max(initial=0)))
         sums = prefix_hash(data)
 
         def classes(size: int) -> np.ndarray:
@@ -104,6 +92,10 @@ class RunIndex:
         self.first_owner[order] = np.repeat(least, np.diff(np.append(wanted, n)))
         self.parents = np.append(classes(length - 1), n)
         self.parent_samples = order[self.parents[1:] - 1]
+        # Each piece enters the stream with its last window.
+        at = np.searchsorted(wanted, rank[starts + sizes - length], "right")
+        self.entries = np.append(wanted[1:], n)[at - 1]
+        self.entry_samples = order[self.entries - 1]
         bwt = data[order - 1]  # before the first byte stands the last separator
         heads = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         run_ends = np.append(heads[1:], n)
@@ -113,65 +105,86 @@ class RunIndex:
         self.keys = byte[by] * np.int64(n + 1) + heads[by]
         self.heads, self.lengths = heads[by], (run_ends - heads)[by]
         before = np.cumsum(self.lengths) - self.lengths
-        self.before = before  # rows of smaller bytes, and of this byte in earlier runs: the step itself
+        self.before = before  # rows of smaller bytes, and of this byte in earlier runs
         self.samples = order[run_ends - 1][by]
-        self.bytes_before = np.searchsorted(np.sort(bwt), np.arange(257))
 
     @staticmethod
-    def _ranks(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)])) if len(order) else []
-        return rank
+    def _sorted(data: np.ndarray, left: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes in order, equal ones by position, and the rank of each: by five bytes, then by doubling."""
+        n, span = len(data), 5
+        place = np.arange(n, dtype=np.uint64)
+        padded = np.concatenate([data, np.zeros(span, np.uint8)])
+        key = np.zeros(n, dtype=np.uint64)
+        for j in range(span):
+            # What stands behind a separator does not count.
+            key = (key << np.uint64(8)) | np.where(j <= left, padded[j : j + n], 0).astype(np.uint64)
+        while True:
+            if n < 1 << 21:
+                # The position fits behind the key, so plain numbers are sorted.
+                packed = np.sort((key << np.uint64(21)) | place)
+                order, ordered = (packed & np.uint64((1 << 21) - 1)).astype(np.int64), packed >> np.uint64(21)
+            else:
+                order = np.argsort(key, kind="stable")
+                ordered = key[order]
+            rank = np.empty(n, dtype=np.uint64)
+            rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)])).astype(np.uint64)
+            if span > longest:
+                row = np.empty(n, dtype=np.int64)
+                row[order] = np.arange(n)
+                return order, row
+            second = np.where(span <= left, rank[np.minimum(np.arange(n) + span, n - 1)] + np.uint64(1), np.uint64(0))
+            key = (rank << np.uint64(22 if n < 1 << 21 else 32)) | second
+            span *= 2
 
     def _step(self, rows: np.ndarray, byte: np.ndarray):
-        """Rows after a backward step with ``byte`` from ``rows``, and the run that holds or precedes the row before."""
+        """Ends of intervals after a backward step with ``byte`` from intervals that end at ``rows``, and the last run of it there."""
         at = np.searchsorted(self.keys, byte * np.int64(self.n + 1) + rows, "left") - 1
         inside = np.minimum(rows - self.heads[at], self.lengths[at])
-        fits = (at >= 0) & (self.keys[at] // (self.n + 1) == byte)
-        return np.where(fits, self.before[at] + inside, self.bytes_before[byte]), np.where(fits, at, -1)
+        return self.before[at] + inside, at
 
     def stream(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
         """Matching statistics of pieces that are in the index: for each window of a piece, the position of an occurrence.
 
-        All pieces take a step at a time, from their last byte to their first. Yields (pieces, window, position).
+        A piece has an interval (its last row, and that row's position) of the suffixes that begin with its window; all pieces
+        take a backward step at a time, from their last window to their first. Yields (pieces, window, position).
         """
-        low, high = np.zeros(len(sizes), np.int64), np.full(len(sizes), self.n, dtype=np.int64)
-        place = np.full(len(sizes), self.parent_samples[-1], dtype=np.int64)  # of the last row of the interval
-        matched = np.zeros(len(sizes), dtype=np.int64)
-        for step in range(int(sizes.max(initial=0))):
-            on = np.flatnonzero(sizes > step)
-            full = on[matched[on] == self.length]
-            if len(full):
-                # The match is as long as it may get: its last byte goes, and the interval widens.
-                at = np.searchsorted(self.parents, low[full], "right") - 1
-                low[full], high[full] = self.parents[at], self.parents[at + 1]
-                place[full] = self.parent_samples[at]
-                matched[full] -= 1
-            window = sizes[on] - 1 - step
-            byte = data[starts[on] + window].astype(np.int64)
-            new_low, _ = self._step(low[on], byte)
-            new_high, run = self._step(high[on], byte)
+        high, place = self.entries.copy(), self.entry_samples.copy()
+        windows = sizes - self.length + 1
+        yield np.arange(len(sizes)), windows - 1, place
+        for step in range(1, int(windows.max(initial=0))):
+            on = np.flatnonzero(windows > step)
+            # The match is as long as it may get: its last byte goes, and the interval widens.
+            at = np.searchsorted(self.parents, high[on] - 1, "right")
+            wide, last = self.parents[at], self.parent_samples[at - 1]
+            window = windows[on] - 1 - step
+            high[on], run = self._step(wide, data[starts[on] + window].astype(np.int64))
             # The last row of the new interval comes from the last run of the byte: from its end, or from the interval's last row.
-            last = high[on] - 1
-            whole = self.heads[run] + self.lengths[run] - 1 <= last
-            place[on] = np.where(whole, self.samples[run], place[on]) - 1
-            low[on], high[on] = new_low, new_high
-            matched[on] += 1
-            done = matched[on] == self.length
-            if done.any():
-                yield on[done], window[done], low[on][done], place[on][done]
-
+            whole = self.heads[run] + self.lengths[run] <= wide
+            place[on] = np.where(whole, self.samples[run], last) - 1
+            yield on, window, place[on]
 
 def _index_bucket(got: list[tuple[np.ndarray, ...]], length: int):
-    """For each block of a bucket, its pieces' first owners: distinct pieces of all blocks are indexed together."""
-    hashes = np.concatenate([g[0] for g in got])
-    sizes = np.concatenate([g[1] for g in got]).astype(np.int64)
-    owners = np.concatenate([g[2] for g in got])
-    data = np.concatenate([g[3] for g in got])
+    """First owners of the windows of a bucket's distinct pieces, their bounds, and the number of each block's pieces (or -1).
+
+    Of an anchor that the filters let through by mistake, all pieces are of one document; such pieces are left out.
+    """
+    hashes, sizes, owners, greatest, anchor, data = (np.concatenate([g[k] for g in got]) for k in (0, 1, 2, 3, 4, 5))
+    sizes = sizes.astype(np.int64)
     starts = np.cumsum(sizes) - sizes
-    values, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    least = np.full(len(values), np.iinfo(np.int64).max)
-    np.minimum.at(least, inverse, owners)
+    order = np.argsort(anchor)
+    groups = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
+    alone = np.minimum.reduceat(owners[order], groups) == np.maximum.reduceat(greatest[order], groups)
+    keep = np.empty(len(hashes), dtype=bool)
+    keep[order] = np.repeat(~alone, np.diff(np.append(groups, len(order))))
+    if not keep.any():
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.full(len(hashes), -1)
+    kept = np.flatnonzero(keep)
+    _, first, inverse = np.unique(hashes[kept], return_index=True, return_inverse=True)
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(least, inverse, owners[kept])
+    first, numbers = kept[first], np.full(len(hashes), -1)
+    numbers[kept] = inverse
     own_sizes = sizes[first]
     own_starts = np.cumsum(own_sizes + 1) - (own_sizes + 1)
     total = int((own_sizes + 1).sum())
@@ -183,9 +196,9 @@ def _index_bucket(got: list[tuple[np.ndarray, ...]], length: int):
     windows = own_sizes - length + 1
     bounds = np.cumsum(windows) - windows
     out = np.empty(int(windows.sum()), dtype=np.int64)
-    for pieces, window, _, place in index.stream(text, own_starts, own_sizes):
+    for pieces, window, place in index.stream(text, own_starts, own_sizes):
         out[bounds[pieces] + window] = index.first_owner[place]
-    return out, bounds, windows, inverse
+    return out, bounds, windows, numbers
 
 
 def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -203,7 +216,7 @@ def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS) -> Data
             new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
             yield hashes[new]
 
-    bitmap = spark.sparkContext.broadcast(bloom.repeated(rows.select("text"), hashes_of, filter_bits, 1))
+    bitmap = spark.sparkContext.broadcast(bloom.repeated(rows.select("text"), hashes_of, filter_bits, PROBES))
 
     def send(batches):
         for batch in batches:
@@ -214,7 +227,7 @@ def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS) -> Data
                 found = []
                 for row, data, offsets in slices(part):
                     text, starts, windows, hashes, contents = anchors(data, offsets, length)
-                    hit = np.flatnonzero(bloom.has(bitmap.value, hashes, 1))
+                    hit = np.flatnonzero(bloom.has(bitmap.value, hashes, PROBES))
                     base = at[row]
                     found.append((text[hit] + begin + row, starts[hit] - offsets[text[hit]], starts[hit] + base, windows[hit], hashes[hit], contents[hit]))
                 text, start, place, windows, hashes, contents = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -234,17 +247,21 @@ def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS) -> Data
                     piece = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(some))))
                     names, doc = np.unique(text[some], return_inverse=True)
                     out.append((0, int(b), blocks.pack(
-                        contents[one], blocks.least(sizes), ids[text[one]], data, blocks.least(piece), blocks.least(doc), blocks.least(start[some]), ids[names], keys[names])))
+                        contents[one], blocks.least(sizes), ids[text[one]], ids[text[some[np.append(new[1:], len(some)) - 1]]], hashes[one], data, blocks.least(piece), blocks.least(doc), blocks.least(start[some]), ids[names], keys[names])))
                 yield blocks.asked(out)
 
     def work(group: pa.Table) -> pa.Table:
         got = [blocks.unpack(p) for p in group.column("payload").to_pylist()]
-        owner, bounds, windows, inverse = _index_bucket([g[:4] for g in got], length)
+        owner, bounds, windows, numbers = _index_bucket([g[:6] for g in got], length)
         base = 0
         found: dict[tuple[int, int], list[np.ndarray]] = {}
-        for hashes, _, _, _, piece, doc, start, ids, keys in got:
-            of = inverse[base : base + len(hashes)][piece]
+        for hashes, _, _, _, _, _, piece, doc, start, ids, keys in got:
+            of = numbers[base : base + len(hashes)][piece]
             base += len(hashes)
+            here = np.flatnonzero(of >= 0)
+            of, doc, start = of[here], doc[here], start[here]
+            if not len(of):
+                continue
             size = windows[of]
             place = np.cumsum(size) - size
             at = np.arange(size.sum()) - np.repeat(place, size)
