@@ -57,13 +57,16 @@ def least(values: np.ndarray) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Values below 2^24 as three byte planes, which compress far better than whole numbers."""
-    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return raw[:, 0], raw[:, 1], raw[:, 2], raw[:, 3]
+    """Numbers as byte planes: the small ones in one byte, the others, marked by 255, in three more (so below 2^24)."""
+    big = (values[values >= 255] - 255).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return np.minimum(values, 255).astype(np.uint8), big[:, 0], big[:, 1], big[:, 2]
 
 
 def from_planes(arrays) -> np.ndarray:
-    return np.stack(arrays, axis=1).reshape(-1).view("<u4")
+    small, *big = arrays
+    out = small.astype(np.int32)
+    out[small == 255] += sum(b.astype(np.int32) << (8 * k) for k, b in enumerate(big))
+    return out
 
 
 def asked(rows) -> pa.RecordBatch:

@@ -22,7 +22,9 @@ from placeledger.llm import blocks
 from placeledger.llm.texts import slices, with_text_key
 from placeledger.session import cut
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Pre-tokens of a block that are put together at once.
+STEP = 1 << 19
 #: No pre-token crosses the gap between two characters other than white space if the second follows a single space.
 _GAPS = re.compile(r"(?<=\S)(?= \S)")
 
@@ -81,6 +83,11 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, block_bytes: int
             for row, _, offsets in slices(texts, block_bytes):
                 count = len(offsets) - 1
                 words, numbers, counts = _cut_block([x or "" for x in texts.slice(row, count).to_pylist()], find)
+                # Frequent words get small numbers, which compress better.
+                often = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
+                rank = np.empty(len(often), dtype=np.int32)
+                rank[often] = np.arange(len(often))
+                words, numbers = [words[i] for i in often.tolist()], rank[numbers]
                 block = blocks.block_number(k)
                 k += 1
                 raw = [w.encode() for w in words]
@@ -125,15 +132,20 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, block_bytes: int
         place = np.empty(len(bucket), dtype=np.int64)
         place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        at = place[numbers]
-        lengths = sizes[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = tokens[np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(total)].astype(np.int32)
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        flat, edges = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        doc, base = 0, 0
+        while doc < len(counts):
+            until = max(doc + 1, int(np.searchsorted(bounds, bounds[doc] + STEP, "right")) - 1)
+            at = place[numbers[bounds[doc] : bounds[until]]]
+            lengths = sizes[at]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            flat.append(tokens[np.repeat(starts[at] - ends[:-1], lengths) + np.arange(ends[-1])].astype(np.int32))
+            edges.append(base + ends[bounds[doc + 1 : until + 1] - bounds[doc]])
+            doc, base = until, base + int(ends[-1])
         return pa.table({
             "doc_id": pa.array(ids, pa.int64(), mask=null),
-            "ids": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, pa.int32())),
+            "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(edges), pa.int32()), pa.array(np.concatenate(flat), pa.int32())),
         })
 
     made = cut(with_text_key(docs).select("doc_id", "text").mapInArrow(make, blocks.ASKED))

@@ -122,7 +122,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placeledger.session import checkpoint_dir
 
     path = f"{checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4()}"
-    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

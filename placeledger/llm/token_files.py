@@ -8,17 +8,19 @@ and for each part the ids before it: prefix sums of the parts' sizes.
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(1 << 63)
-#: Words whose ids a worker keeps.
-KNOWN_WORDS = 1 << 19
+#: Pre-tokens, and parts between single spaces, whose ids a worker keeps.
+KNOWN_WORDS, KNOWN_PARTS = 1 << 20, 1 << 18
 #: Ids that a reader hands on at once.
 READ_IDS = 1 << 22
 _KNOWN: dict[int, dict[str, bytes]] = {}
@@ -28,36 +30,44 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _encoder(tokenizer_json: str, width: str):
-    """Text to packed ids. A text is cut at single spaces between words, which no token crosses; known parts are reused."""
+def _encoder(tokenizer_json: str, pattern: str, width: str):
+    """Many texts to packed ids. Pre-tokens are encoded apart, each once while the worker remembers it.
+
+    A text is first cut at single spaces between words, which no pre-token crosses; known parts are reused as well.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(tokenizer_json)
+    tokenizer, find = Tokenizer.from_str(tokenizer_json), regex.compile(pattern).findall
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    known = _KNOWN.setdefault(hash((tokenizer_json, width)), {})
-
-    def ids_of(texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, width).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    words, inner = _KNOWN.setdefault(hash((tokenizer_json, pattern, width)), ({}, {}))
 
-    def encode(text: str) -> bytes:
+    def parts_of(text: str) -> list[str]:
         head, *rest = text.split(" ")
-        if rest and (head == "" or head[-1].isspace()):
-            return ids_of([text])[0]
-        new = [p for p in dict.fromkeys(rest) if p not in known]
-        if any(p == "" or p[0].isspace() or p[-1].isspace() for p in new):
-            return ids_of([text])[0]
-        if len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(rest))
-        known.update(zip(new, ids_of([" " + p for p in new]), strict=True))
-        return ids_of([head])[0] + b"".join(map(known.__getitem__, rest))
+        if rest and (head == "" or head[-1].isspace() or any(p == "" or p[0].isspace() or p[-1].isspace() for p in set(rest))):
+            return [text]
+        return [head, *(" " + p for p in rest)]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(words) > KNOWN_WORDS:
+            words.clear()
+        if len(inner) > KNOWN_PARTS:
+            inner.clear()
+        cut = [parts_of(t) for t in texts]
+        new = {p: find(p) for p in {p for parts in cut for p in parts if p not in inner}}
+        unknown = list({w for ws in new.values() for w in ws} - words.keys())
+        for w, coded in zip(unknown, tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            words[w] = np.array(coded.ids, width).tobytes()
+        inner.update((p, b"".join(map(words.__getitem__, ws))) for p, ws in new.items())
+        return [b"".join(map(inner.__getitem__, parts)) for parts in cut]
 
     return encode
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int) -> None:
     """Encode every whole text, add ``end_id`` to each, and write the ids in ascending order of doc_id under ``path``.
 
+    ``pattern`` finds the pre-tokens of the tokenizer, whose ids do not depend on what stands around them.
     A null text is empty. Null ids come first; rows of one id are ordered by a hash of the text, and equal rows all stay.
     ``path`` must be reachable by all executors. A part is written under a name of its attempt and then renamed, so a task
     that is run again leaves whole files.
@@ -75,7 +85,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     store.create_dir(root, recursive=True)
 
     def write(batches):
-        encode, context = _encoder(source.value, width), TaskContext.get()
+        encode, context = _encoder(source.value, pattern, width), TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         store, root = _open(path)
         name = f"{root}/part-{part:05d}"
@@ -84,7 +94,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             for batch in batches:
                 texts = batch.column("text")
                 for row in range(0, batch.num_rows, 256):
-                    coded = [encode(x or "") + end for x in texts.slice(row, 256).to_pylist()]
+                    coded = [x + end for x in encode([x or "" for x in texts.slice(row, 256).to_pylist()])]
                     out.write(b"".join(coded))
                     sizes += [len(x) // len(end) for x in coded]
                 ids.append(np.asarray(batch.column("doc_id").fill_null(NULL_ID)))
