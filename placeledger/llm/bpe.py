@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 
 from placeledger.llm import blocks
 from placeledger.llm.texts import slices, with_text_key
-from placeledger.session import cut
 
 BLOCK_BYTES = 16 << 20
 #: Pre-tokens of a block that are put together at once.
@@ -95,14 +94,25 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, block_bytes: int
                 ids = batch.column("doc_id").slice(row, count)
                 own = blocks.pack(
                     np.asarray(ids.fill_null(0)), np.asarray(ids.is_null(), dtype=bool) if ids.null_count else np.zeros(count, bool),
-                    counts, blocks.least(bucket), *blocks.planes(numbers),
+                    counts, blocks.least(bucket), blocks.least(np.array([len(w) for w in raw], dtype=np.int64)),
+                    np.frombuffer(b"".join(raw), np.uint8), *blocks.planes(numbers),
                 )
-                rows = [(block, -1, own)]
+                yield blocks.asked([(block, 0, own)])
+
+    def ask(batches):
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                bucket, lengths, data = blocks.unpack(payload)[3:6]
+                ends = np.cumsum(lengths, dtype=np.int64)
+                starts = ends - lengths
+                raw = data.tobytes()
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(n + 1))
+                rows = []
                 for b in np.flatnonzero(np.diff(edges)):
-                    some = [raw[i] for i in order[edges[b] : edges[b + 1]]]
-                    rows.append((block, int(b), blocks.pack(blocks.least(np.array([len(w) for w in some])), np.frombuffer(b"".join(some), np.uint8))))
+                    some = order[edges[b] : edges[b + 1]]
+                    words = b"".join(raw[i:j] for i, j in zip(starts[some].tolist(), ends[some].tolist(), strict=True))
+                    rows.append((block, int(b), blocks.pack(lengths[some], np.frombuffer(words, np.uint8))))
                 yield blocks.asked(rows)
 
     def answer(questions):
@@ -125,7 +135,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, block_bytes: int
     def assemble(own: pa.Table, answers: pa.Table) -> pa.Table:
         if not own.num_rows:
             raise RuntimeError("words of a block that is not there")
-        ids, null, counts, bucket, *numbers = blocks.unpack(own.column("payload")[0].as_py())
+        ids, null, counts, bucket, _, _, *numbers = blocks.unpack(own.column("payload")[0].as_py())
         numbers = blocks.from_planes(numbers)
         got = [blocks.unpack(p) for _, p in sorted(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True))]
         sizes, tokens = (np.concatenate([x[k].astype(np.int64) for x in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
@@ -148,12 +158,11 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, block_bytes: int
             "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(edges), pa.int32()), pa.array(np.concatenate(flat), pa.int32())),
         })
 
-    made = cut(with_text_key(docs).select("doc_id", "text").mapInArrow(make, blocks.ASKED))
-    answers = blocks.answered(made.filter("bucket >= 0"), answer)
-    return (
-        made.filter("bucket < 0").groupBy("block").cogroup(answers.groupBy("block"))
-        .applyInArrow(assemble, "doc_id long, ids array<int>")
-    )
+    made = with_text_key(docs).select("doc_id", "text").mapInArrow(make, blocks.ASKED)
+    # Shuffled once, by block, and read twice: for the questions and, with the answers, for the result.
+    dealt = made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+    answers = blocks.answered(dealt.mapInArrow(ask, blocks.ASKED), answer)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
