@@ -101,8 +101,8 @@ def page_timestamp(html: Column) -> Column:
     return let(F.struct(updated.alias("dated"), year.alias("year")), chosen)
 
 
-def sitemap_lastmod(xml: Column, first: int = 20) -> Column:
-    """Latest of the first ``first`` lastmod dates of a sitemap that is complete (ends with its closing tag)."""
+def sitemap_lastmod(xml: Column, first: int | None = None) -> Column:
+    """Latest of the lastmod dates (of the first ``first``, if given) of a sitemap that is complete (ends with its closing tag)."""
     whole = xml.rlike(r"(?s)</(?:[\w.-]+:)?(?:urlset|sitemapindex)\s*>\s*$")
     found = F.regexp_extract_all(xml, F.lit(r"(?s)<(?:[\w.-]+:)?lastmod\b[^>]*>(.*?)</"), F.lit(1))
-    return F.when(whole, F.array_max(F.transform(F.slice(found, 1, first), parse_iso_date)))
+    return F.when(whole, F.array_max(F.transform(found if first is None else F.slice(found, 1, first), parse_iso_date)))

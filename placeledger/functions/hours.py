@@ -37,7 +37,7 @@ def valid_periods(periods: Column) -> Column:
             t["day"].between(0, 6) & t["hour"].between(0, 23) & t["minute"].between(0, 59), F.lit(False)
         )
 
-    kept = F.filter(F.slice(periods, 1, 14), lambda p: ok(p["open"]) & ok(p["close"]))
+    kept = F.filter(periods, lambda p: ok(p["open"]) & ok(p["close"]))
     return F.when(F.size(kept) > 0, kept)
 
 
@@ -91,7 +91,7 @@ def status_from_periods(periods: Column, at: Column) -> Column:
 
 
 def _line_for(lines: Column, name: Column) -> Column:
-    return F.get(F.filter(F.slice(lines, 1, 7), lambda x: x.startswith(name)), F.lit(0))
+    return F.get(F.filter(lines, lambda x: x.startswith(name)), F.lit(0))
 
 
 def _after_colon(line: Column) -> Column:
@@ -155,7 +155,7 @@ def open_run(lines: Column) -> Column:
     short = [d[:3] for d in week]
 
     def flag(day: str) -> Column:
-        hits = F.filter(F.slice(lines, 1, 14), lambda x: F.lower(x).startswith(day.lower()))
+        hits = F.filter(lines, lambda x: F.lower(x).startswith(day.lower()))
         last = let(hits, lambda h: F.get(h, F.size(h) - 1))
         return let(last, lambda x: F.when(x.isNotNull() & ~F.contains(F.lower(x), F.lit("closed")), "1").otherwise("0"))
 

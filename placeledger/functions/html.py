@@ -42,7 +42,7 @@ def meta_content(html: Column, attribute: str, value: str) -> Column:
 
 def title(html: Column) -> Column:
     found = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)
-    return F.when(html.rlike(r"(?i)<title[\s>]"), F.substring(tx.collapse(unescape(found)), 1, 250))
+    return F.when(html.rlike(r"(?i)<title[\s>]"), tx.collapse(unescape(found)))
 
 
 def json_ld_blocks(html: Column) -> Column:
@@ -63,7 +63,7 @@ def _text_udf():
         hidden = {"script", "style", "template"}
 
         class Reader(HTMLParser):
-            """Visible text pieces of a page and of its first twenty paragraphs. An end tag closes the nearest open one."""
+            """Visible text pieces of a page and of its paragraphs. An end tag closes the nearest open one."""
 
             def __init__(self):
                 super().__init__(convert_charrefs=True)
@@ -83,7 +83,7 @@ def _text_udf():
                 if tag in void:
                     return
                 held = None
-                if tag == "p" and len(self.paragraphs) < 20:
+                if tag == "p":
                     held = []
                     self.paragraphs.append(held)
                 self.open.append((tag, held))

@@ -96,6 +96,11 @@ def blank(text: Column) -> Column:
     return F.coalesce(F.trim(text) == "", F.lit(True))
 
 
+def head(values: Column, n: int | None) -> Column:
+    """The first ``n`` values of an array; all of them without ``n``."""
+    return values if n is None else F.slice(values, 1, n)
+
+
 def present(text: Column) -> Column:
     """Not null and not the empty string."""
     return F.coalesce(F.length(text) > 0, F.lit(False))

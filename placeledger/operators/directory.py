@@ -30,11 +30,11 @@ def _with_online(stores: DataFrame, presences: DataFrame) -> DataFrame:
     return joined.withColumn("online", F.coalesce("online", F.lit(False)))
 
 
-def state_index(stores: DataFrame, presences: DataFrame, refs: DataFrame, limit: int = 60) -> DataFrame:
+def state_index(stores: DataFrame, presences: DataFrame, refs: DataFrame) -> DataFrame:
     """Visible stores per state, with active, premium and online-selling counts."""
     shown = fl.visible(stores, refs).filter(F.col("state").isNotNull()).select("id", "state", "status", "wpn_level")
     out = _with_online(shown, presences).groupBy("state").agg(*_counts())
-    return out.withColumn("slug", tx.state_to_slug("state")).orderBy(F.desc("store_count"), "state").limit(limit)
+    return out.withColumn("slug", tx.state_to_slug("state")).orderBy(F.desc("store_count"), "state")
 
 
 def plain_state_counts(stores: DataFrame) -> DataFrame:
@@ -51,12 +51,14 @@ def city_counts(stores: DataFrame, presences: DataFrame, refs: DataFrame) -> Dat
 
 
 def city_index(
-    stores: DataFrame, presences: DataFrame, refs: DataFrame, state: str | None = None, limit: int = 2000
+    stores: DataFrame, presences: DataFrame, refs: DataFrame, state: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Cities of one state (or the top cities of every state) by number of stores."""
+    """Cities of one state, or of every state, by number of stores; ranked by state, and cut there, if ``limit`` is given."""
     if state is not None:
         stores = stores.filter(F.upper("state") == state.upper())
     counts = city_counts(stores, presences, refs)
+    if limit is None:
+        return counts
     w = Window.partitionBy("state").orderBy(F.desc("store_count"), "city")
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 

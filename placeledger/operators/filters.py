@@ -155,11 +155,9 @@ def needs_enrichment(
 ) -> DataFrame:
     """Stores with a place id whose payload is missing, undated, badly dated or older than ``days``.
 
-    ``limit`` is applied to the stores in name order before the age test, as the directory's job does.
+    ``limit`` keeps the first due stores by name.
     """
     base = stores.filter(tx.present(F.col("google_place_id"))).select("id", "name", "google_place_id")
-    if limit is not None:
-        base = base.orderBy("name", "id").limit(limit)
     stamped = refs.filter(F.col("provider") == "google_places").groupBy("store_id").agg(
         F.min("payload").alias("payload")
     )
@@ -168,7 +166,8 @@ def needs_enrichment(
     stamp = F.replace(at, F.lit("Z"), F.lit("+00:00")).try_cast("timestamp")
     stale = stamp < F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days")
     due = F.col("payload").isNull() | ~tx.present(at) | stamp.isNull() | stale
-    return joined.filter(due).select("id", "name", "google_place_id")
+    found = joined.filter(due).select("id", "name", "google_place_id")
+    return found if limit is None else found.orderBy("name", "id").limit(limit)
 
 
 def missing_place_id(stores: DataFrame, limit: int | None = None) -> DataFrame:

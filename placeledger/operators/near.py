@@ -17,11 +17,12 @@ def clamp(value: float, low: float, high: float) -> float:
 def nearby(stores: DataFrame, refs: DataFrame, lat: float, lng: float, radius: float = 25, limit: int = 50) -> DataFrame:
     """Visible stores within ``radius`` miles of one point, nearest first.
 
-    The latitude and longitude box is a plain column filter, so it reaches the scan. Radius and limit are held to 1–200.
+    The latitude and longitude box is a plain column filter, so it reaches the scan. Neither radius nor limit has a bound of its own.
     """
     if not (-90 <= lat <= 90 and -180 <= lng <= 180):
         raise ValueError("latitude or longitude out of range")
-    radius, limit = clamp(radius, 1, 200), int(clamp(limit, 1, 200))
+    if radius <= 0 or limit < 1:
+        raise ValueError("radius and limit must be positive")
     dlat, dlng = radius / geo.MILES_PER_DEGREE, geo.degrees_of_longitude(radius, lat)
     boxed = stores.filter(
         F.col("latitude").between(lat - dlat, lat + dlat) & F.col("longitude").between(lng - dlng, lng + dlng)
@@ -37,7 +38,8 @@ def nearby_join(points: DataFrame, stores: DataFrame, refs: DataFrame, radius: f
     Points are copied to the grid cells that can hold a match and joined to stores by cell, so only stores of the
     neighbourhood meet a point. ``rank <= limit`` is cut per task before the shuffle by point.
     """
-    radius, limit = clamp(radius, 1, 200), int(clamp(limit, 1, 200))
+    if radius <= 0 or limit < 1:
+        raise ValueError("radius and limit must be positive")
     lat, lng = F.col("latitude"), F.col("longitude")
     held = fl.visible(stores.filter(lat.isNotNull() & lng.isNotNull()), refs).select(
         "id", lat.alias("s_lat"), lng.alias("s_lng"), geo.own_cell(lat, lng, radius).alias("c")
@@ -49,7 +51,7 @@ def nearby_join(points: DataFrame, stores: DataFrame, refs: DataFrame, radius: f
     dlat = F.lit(radius / geo.MILES_PER_DEGREE)
     dlng = dlat / F.cos(F.radians(lat))
     in_box = F.col("s_lat").between(lat - dlat, lat + dlat) & F.col("s_lng").between(lng - dlng, lng + dlng)
-    pairs = held.join(small(asked), ["band", "cell"]).filter(in_box).withColumn("distance_miles", miles).filter(
+    pairs = held.join(asked, ["band", "cell"]).filter(in_box).withColumn("distance_miles", miles).filter(
         F.col("distance_miles") <= radius
     )
     w = Window.partitionBy("point_id").orderBy("distance_miles", "id")

@@ -73,46 +73,46 @@ def extract_description(html, paragraph) -> Column:
     return tx.let(found, lambda t: _shorten(t))
 
 
-def dossier_description(html, paragraph) -> Column:
+def dossier_description(html, paragraph, room: int | None = None) -> Column:
     h = tx.col(html)
     long = lambda c: F.when(F.length(c) > 20, c)
     found = F.coalesce(
         long(hm.meta_content(h, "name", "description")), long(hm.meta_content(h, "property", "og:description")), tx.col(paragraph)
     )
-    return F.substring(found, 1, 500)
+    return found if room is None else F.substring(found, 1, room)
 
 
-def product_links(html, url, limit: int = 5, hints=cat.PRODUCT_LINK_HINTS) -> Column:
+def product_links(html, url, limit: int | None = None, hints=cat.PRODUCT_LINK_HINTS) -> Column:
     """First links whose href holds a product hint; rooted ones are put behind the page URL, relative ones are left out."""
     base = F.regexp_replace(tx.col(url), "/+$", "")
     hit = lambda a: reduce(lambda x, y: x | y, [F.contains(F.lower(a["href"]), F.lit(h)) for h in hints])
     full = lambda a: F.when(a["href"].startswith("/"), F.concat(base, a["href"])).otherwise(a["href"])
     links = F.transform(F.filter(hm.anchors(tx.col(html)), hit), full)
-    return F.slice(F.filter(links, lambda u: u.startswith("http")), 1, limit)
+    return tx.head(F.filter(links, lambda u: u.startswith("http")), limit)
 
 
-def _hinted_links(html: Column, url: Column, hints, limit: int, links: Column | None = None) -> Column:
+def _hinted_links(html: Column, url: Column, hints, limit: int | None, links: Column | None = None) -> Column:
     found = hm.anchors(html) if links is None else links
     hay = lambda a: F.lower(F.concat(a["href"], F.lit(" "), a["text"]))
     hit = lambda a: tx.let(hay(a), lambda t: reduce(lambda x, y: x | y, [F.contains(t, F.lit(h)) for h in hints]))
     urls = F.transform(F.filter(found, hit), lambda a: tx.clean_url(tx.absolute_url(url, a["href"])))
-    return F.slice(F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & tx.same_site(url, u))), 1, limit)
+    return tx.head(F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & tx.same_site(url, u))), limit)
 
 
-def event_links(html, url, limit: int = 5, links: Column | None = None) -> Column:
+def event_links(html, url, limit: int | None = None, links: Column | None = None) -> Column:
     """Same-site links that look like events or calendars, cleaned and distinct."""
     return _hinted_links(tx.col(html), tx.col(url), cat.EVENT_LINK_HINTS, limit, links)
 
 
-def useful_links(html, url, limit: int = 7, links: Column | None = None) -> Column:
+def useful_links(html, url, limit: int | None = None, links: Column | None = None) -> Column:
     """Same-site links worth reading next."""
     return _hinted_links(tx.col(html), tx.col(url), cat.USEFUL_LINK_HINTS, limit, links)
 
 
 def detect_events(html, url) -> Column:
-    """Struct (has_events, event_url): an event link among the first twenty links, else event words in the page."""
+    """Struct (has_events, event_url): the first event link, else event words in the page."""
     h, base = tx.col(html), F.regexp_replace(tx.col(url), "/+$", "")
-    first = F.slice(F.transform(hm.anchors(h), lambda a: a["href"]), 1, 20)
+    first = F.transform(hm.anchors(h), lambda a: a["href"])
     usable = F.filter(first, lambda u: _any(u, cat.EVENT_PATH_PATTERNS) & (u.startswith("/") | u.startswith("http")))
     link = F.get(F.transform(usable, lambda u: F.when(u.startswith("/"), F.concat(base, u)).otherwise(u)), F.lit(0))
     words = tx.let(tx.folded(h), lambda plain: tx.any_in_page(h, plain, cat.EVENT_TEXT_PATTERNS))
@@ -189,10 +189,15 @@ def is_card_page(html) -> Column:
     return (attributes >= 2) | ((attributes >= 1) & (sets >= 1))
 
 
-def singles_by_samples(product_pages: DataFrame, key: str = "store_id", order: str = "page_no", pages: int = 5) -> DataFrame:
-    """Verdict per site from its first product pages (columns key, order, html, status_code); sites with none have no row."""
-    w = Window.partitionBy(key).orderBy(order)
-    first = product_pages.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= pages)
+def singles_by_samples(product_pages: DataFrame, key: str = "store_id", order: str = "page_no", pages: int | None = None) -> DataFrame:
+    """Verdict per site from its product pages (columns key, order, html, status_code); sites with none have no row.
+
+    With ``pages``, only so many first pages of a site are looked at.
+    """
+    first = product_pages
+    if pages is not None:
+        w = Window.partitionBy(key).orderBy(order)
+        first = product_pages.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= pages)
     counted = first.filter(F.coalesce(F.col("status_code") < 400, F.lit(False))).groupBy(key).agg(
         F.count("*").alias("checked"), F.count_if(is_card_page("html")).alias("cards")
     )
@@ -279,16 +284,17 @@ def platform_price(html, platform) -> Column:
     return out
 
 
-def card_prices(pages: DataFrame, cards=cat.PROBE_CARDS) -> DataFrame:
+def card_prices(pages: DataFrame, cards=cat.PROBE_CARDS, window: int | None = None) -> DataFrame:
     """One row per page and card (page columns html, platform): found, price and how the price was read.
 
-    The page-wide prices are worked out once per page; only the text after each card's name is searched per card.
+    The page-wide prices are worked out once per page; only the text after each card's name (all of it,
+    or ``window`` characters) is searched per card.
     """
     lower = F.lower("html")
 
     def one(card: str) -> Column:
         at = F.instr(F.col("lower_html"), card.lower())
-        near = F.regexp_extract_all(F.substring(F.col("html"), at, F.lit(500)), F.lit(cat.PRICE_PATTERN), F.lit(1))
+        near = F.regexp_extract_all(F.substring(F.col("html"), at, F.length("html") if window is None else F.lit(window)), F.lit(cat.PRICE_PATTERN), F.lit(1))
         number = F.get(F.filter(F.transform(near, lambda v: v.try_cast("double")), lambda v: v.between(0.01, 999.99)), F.lit(0))
         found = at > 0
         ways = [(F.col("ld_price"), "json_ld"), (F.col("own_price"), "css_selector"), (number, "regex")]
@@ -315,14 +321,14 @@ def json_ld_types(html) -> Column:
     return F.array_sort(F.array_distinct(F.filter(names, lambda n: n.isNotNull())))
 
 
-def extract_phones(text, limit: int = 5) -> Column:
+def extract_phones(text, limit: int | None = None) -> Column:
     found = F.regexp_extract_all(tx.col(text), F.lit("(?U)" + cat.PHONE_PATTERN), F.lit(0))
-    return F.slice(F.array_sort(F.array_distinct(found)), 1, limit)
+    return tx.head(F.array_sort(F.array_distinct(found)), limit)
 
 
-def extract_hours(text, limit: int = 10) -> Column:
+def extract_hours(text, limit: int | None = None) -> Column:
     found = F.regexp_extract_all(tx.col(text), F.lit("(?iU)" + cat.HOURS_TEXT_PATTERN), F.lit(0))
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda t: F.trim(t)))), 1, limit)
+    return tx.head(F.array_sort(F.array_distinct(F.transform(found, lambda t: F.trim(t)))), limit)
 
 
 # --- page evidence and dossiers ------------------------------------------------------------------------------
@@ -514,5 +520,5 @@ def event_instances(calendars: DataFrame, raw_events: DataFrame, as_of: str, day
         "store_id", "title", "start_date", "end_date", F.coalesce("timezone", F.lit("UTC")).alias("timezone"), "source_url",
         "service_id", "event_id", "status", "price", "location",
         F.when(F.col("product_url").isNotNull(), F.concat(origin, F.lit("/products/"), "product_url")).alias("product_url"),
-        F.substring("description", 1, 500).alias("description"), "is_not_bookable",
+        "description", "is_not_bookable",
     )

@@ -96,9 +96,9 @@ def assign_categories(existing: DataFrame, new: DataFrame, allowed=cat.STORE_CAT
     return existing.select("store_id", "category").unionByName(new_categories(existing, new, allowed))
 
 
-def content_categories(refs: DataFrame, first: int = 100, mapping=cat.PRODUCT_CATEGORIES) -> DataFrame:
+def content_categories(refs: DataFrame, first: int | None = None, mapping=cat.PRODUCT_CATEGORIES) -> DataFrame:
     """(store_id, category) pairs from the products found on store sites."""
-    mapped = F.transform(F.slice("content.products", 1, first), lambda p: tx.lookup(mapping, p))
+    mapped = F.transform(tx.head(F.col("content.products"), first), lambda p: tx.lookup(mapping, p))
     rows = fl.content_refs(refs).select("store_id", F.explode(F.array_distinct(mapped)).alias("category"))
     return rows.filter(F.col("category").isNotNull()).distinct()
 
@@ -144,8 +144,11 @@ def raw_state_counts(raw: DataFrame, n: int = 15) -> DataFrame:
     return raw.groupBy(state.alias("state")).agg(F.count("*").alias("records")).orderBy(F.desc("records"), "state").limit(n)
 
 
-def city_context(stores: DataFrame, presences: DataFrame, least: int = 2, names: int = 20) -> DataFrame:
-    """Facts per city with at least ``least`` public stores: counts, and lists over its first stores by name."""
+def city_context(stores: DataFrame, presences: DataFrame, least: int = 2, names: int | None = None) -> DataFrame:
+    """Facts per city with at least ``least`` public stores: counts, and lists of its stores by name.
+
+    ``names`` cuts the lists (a city's texts), not the counts.
+    """
     public = stores.filter(
         F.col("status").isin(cat.PUBLIC_STATUSES) & F.col("state").isNotNull() & F.col("city").isNotNull()
     ).select("id", "name", "state", "city", "status", "wpn_level")
@@ -158,21 +161,23 @@ def city_context(stores: DataFrame, presences: DataFrame, least: int = 2, names:
     })
     cities = j.groupBy("state", "city", "state_key", "city_key").agg(*dr._counts()).filter(F.col("store_count") >= least)
     w = Window.partitionBy("state_key", "city_key").orderBy("name", "id")
-    first = j.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= names)
+    first = j
+    if names is not None:
+        first = j.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= names)
     lists = first.groupBy("state_key", "city_key").agg(
-        F.array_sort(F.collect_list(F.struct("r", "name", "wpn_level", "has_online", "online"))).alias("listed")
+        F.array_sort(F.collect_list(F.struct("name", "id", "wpn_level"))).alias("listed")
     )
+    totals = j.groupBy("state_key", "city_key").agg(F.count_if("has_online").alias("with_online"), F.count_if("online").alias("with_singles"))
 
     def pick(cond) -> Column:
         return F.transform(F.filter("listed", cond), lambda s: s["name"])
 
-    out = cities.join(small(lists), ["state_key", "city_key"]).select(
+    out = cities.join(lists, ["state_key", "city_key"]).join(totals, ["state_key", "city_key"]).select(
         "state", "city", "store_count", "active_count", "wpn_premium_count", "online_count",
         pick(lambda s: F.lit(True)).alias("names"),
         pick(lambda s: s["wpn_level"].isNotNull()).alias("wpn_names"),
         pick(lambda s: s["wpn_level"] == "premium").alias("wpn_premium_names"),
-        F.size(F.filter("listed", lambda s: s["has_online"])).alias("with_online"),
-        F.size(F.filter("listed", lambda s: s["online"])).alias("with_singles"),
+        "with_online", "with_singles",
     )
     number = lambda c: F.col(c).cast("string")
     named = lambda label, c: F.when(

@@ -37,7 +37,7 @@ CITY_SLUG = (
 
 @query(f"""
 SELECT state, {STATE_SLUGS}[state] AS slug, {_COUNTS}
-FROM visible WHERE state IS NOT NULL GROUP BY state ORDER BY store_count DESC, state LIMIT 60
+FROM visible WHERE state IS NOT NULL GROUP BY state ORDER BY store_count DESC, state
 """)
 def state_index(d):
     return dr.state_index(d.stores, d.online_presences, d.store_external_refs)
@@ -49,14 +49,10 @@ def plain_state_counts(d):
 
 
 @query(f"""
-SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY state ORDER BY store_count DESC, city) AS rank FROM (
-    SELECT state, city, {CITY_SLUG} AS slug, {_COUNTS} FROM visible
-    WHERE state IS NOT NULL AND city IS NOT NULL GROUP BY state, city)) WHERE rank <= 2000
+SELECT state, city, {CITY_SLUG} AS slug, {_COUNTS} FROM visible WHERE state IS NOT NULL AND city IS NOT NULL GROUP BY state, city
 """)
 def city_index(d):
-    out = dr.city_index(d.stores, d.online_presences, d.store_external_refs)
-    return out.withColumn("rank", F.col("rank").cast("bigint"))
+    return dr.city_index(d.stores, d.online_presences, d.store_external_refs)
 
 
 @query(f"""

@@ -402,7 +402,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY sk, ck ORDER BY name, id) AS r F
 l AS (SELECT sk, ck, string_agg(name, ', ' ORDER BY r) AS names, string_agg(name, ', ' ORDER BY r) FILTER (WHERE wpn_level IS NOT NULL) AS wpn,
         string_agg(name, ', ' ORDER BY r) FILTER (WHERE wpn_level = 'premium') AS prem,
         count(*) FILTER (WHERE wpn_level IS NOT NULL) AS n1, count(*) FILTER (WHERE wpn_level = 'premium') AS n2,
-        count(*) FILTER (WHERE has_online) AS n3, count(*) FILTER (WHERE online) AS n4 FROM f WHERE r <= 20 GROUP BY sk, ck)
+        count(*) FILTER (WHERE has_online) AS n3, count(*) FILTER (WHERE online) AS n4 FROM f GROUP BY sk, ck)
 SELECT c.state, c.city, c.store_count, c.active_count, c.wpn_premium_count, c.online_count,
   'City: ' || c.city || ', ' || c.state || chr(10) || 'Total game stores: ' || store_count || chr(10) ||
   'Active/verified stores: ' || active_count || chr(10) || 'Store names: ' || names ||

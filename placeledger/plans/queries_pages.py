@@ -62,8 +62,8 @@ def scan_snippets(d):
 
 
 @query("""
-SELECT page_id, array_to_string(list_slice([CASE WHEN starts_with(h, '/') THEN rtrim(url, '/') || h ELSE h END
-  FOR h IN regexp_extract_all(html, '<a href="([^"]*)"', 1) IF regexp_matches(lower(h), '/product|/card|/item|/p/')], 1, 5), ' ') AS links
+SELECT page_id, array_to_string([CASE WHEN starts_with(h, '/') THEN rtrim(url, '/') || h ELSE h END
+  FOR h IN regexp_extract_all(html, '<a href="([^"]*)"', 1) IF regexp_matches(lower(h), '/product|/card|/item|/p/')], ' ') AS links
 FROM site_pages
 """)
 def product_links(d):
@@ -87,7 +87,7 @@ WITH tags AS (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<
 one AS (SELECT page_id, url, unnest(list) AS a, generate_subscripts(list, 1) AS i FROM tags),
 found AS (SELECT page_id, {_ORIGIN} || regexp_extract(a, '<a href="([^"?#]*)', 1) AS link, min(i) AS i FROM one
   WHERE regexp_matches(lower(regexp_extract(a, 'href="(.*)</a>', 1)), '{"|".join(cat.USEFUL_LINK_HINTS)}') GROUP BY ALL)
-SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS r FROM found) WHERE r <= 7
+SELECT page_id, link FROM found
 """)
 def useful_links(d):
     return d.site_pages.select("page_id", F.explode(pg.useful_links("html", "url")).alias("link"))
@@ -95,7 +95,7 @@ def useful_links(d):
 
 _EVENTS = f"""
   SELECT *, [CASE WHEN starts_with(h, '/') THEN rtrim(url, '/') || h ELSE h END FOR h IN
-      list_slice(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1, 20) IF regexp_matches(h, {_re(cat.EVENT_PATH_PATTERNS)})][1] AS event_url,
+      regexp_extract_all(html, '<a href="([^"]*)"', 1) IF regexp_matches(h, {_re(cat.EVENT_PATH_PATTERNS)})][1] AS event_url,
     regexp_matches(html, {_re(cat.EVENT_TEXT_PATTERNS)}) AS event_words, error IS NOT NULL OR coalesce(status_code >= 400, false) AS failed FROM site_pages
 """
 
@@ -274,14 +274,14 @@ def json_ld_types(d):
 
 
 @query(f"""
-SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(text, '{cat.PHONE_PATTERN}'))), 1, 5), '|') AS phones FROM documents
+SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{cat.PHONE_PATTERN}'))), '|') AS phones FROM documents
 """)
 def extract_phones(d):
     return d.documents.select("doc_id", F.array_join(pg.extract_phones("text"), "|").alias("phones"))
 
 
 @query(f"""
-SELECT page_id, array_to_string(list_slice(list_sort(list_distinct([trim(x) FOR x IN regexp_extract_all(html, '(?i){cat.HOURS_TEXT_PATTERN}')])), 1, 10), '|') AS lines
+SELECT page_id, array_to_string(list_sort(list_distinct([trim(x) FOR x IN regexp_extract_all(html, '(?i){cat.HOURS_TEXT_PATTERN}')])), '|') AS lines
 FROM site_pages
 """)
 def extract_hours(d):

@@ -50,9 +50,9 @@ def haversine_miles(d):
 @query(f"""
 SELECT id, round(distance, 3) AS miles FROM (
   SELECT id, {_arc('33.94', '-112.07')} AS distance FROM visible
-  WHERE latitude BETWEEN 33.94 - 200 / 69.0e0 AND 33.94 + 200 / 69.0e0
-    AND longitude BETWEEN -112.07 - 200 / (69.0e0 * cos(radians(33.94))) AND -112.07 + 200 / (69.0e0 * cos(radians(33.94))))
-WHERE distance <= 200 ORDER BY distance, id LIMIT 50
+  WHERE latitude BETWEEN 33.94 - 500 / 69.0e0 AND 33.94 + 500 / 69.0e0
+    AND longitude BETWEEN -112.07 - 500 / (69.0e0 * cos(radians(33.94))) AND -112.07 + 500 / (69.0e0 * cos(radians(33.94))))
+WHERE distance <= 500 ORDER BY distance, id LIMIT 50
 """)
 def nearby(d):
     out = near.nearby(d.stores, d.store_external_refs, 33.94, -112.07, radius=500)
@@ -237,7 +237,7 @@ _FAQ = f"""
     CASE WHEN lines IS NOT NULL THEN {{'n': 3, 'q': 'What are ' || name || '''s hours?', 'a': name || '''s hours are: ' || array_to_string(lines, ', ') || '.'}} END,
     CASE WHEN website IS NOT NULL THEN {{'n': 4, 'q': 'Does ' || name || ' have a website?', 'a': 'Yes, you can visit ' || name || '''s website at ' || website || '.'}} END,
     CASE WHEN len(products) > 0 THEN {{'n': 5, 'q': 'What games does ' || name || ' sell?',
-      'a': name || ' carries ' || array_to_string([coalesce({_LABELS}[x], x) FOR x IN list_slice(products, 1, 8)], ', ') || '.'}} END,
+      'a': name || ' carries ' || array_to_string([coalesce({_LABELS}[x], x) FOR x IN products], ', ') || '.'}} END,
     CASE WHEN list_contains(products, 'mtg') THEN {{'n': 6, 'q': 'Does ' || name || ' sell Magic: The Gathering cards?', 'a': 'Yes, ' || name || ' sells Magic: The Gathering cards.'}} END,
     CASE WHEN list_contains(products, 'pokemon') THEN {{'n': 7, 'q': 'Does ' || name || ' sell Pokemon cards?', 'a': 'Yes, ' || name || ' sells Pokemon TCG cards.'}} END,
     CASE WHEN list_contains(products, 'miniatures') THEN {{'n': 8, 'q': 'Does ' || name || ' have Warhammer products?', 'a': 'Yes, ' || name || ' carries Warhammer and miniatures products.'}} END,
@@ -309,9 +309,9 @@ def city_jsonld(d):
 @query(f"""
 SELECT count(*) AS items, string_agg(name || '=' || slug, '|' ORDER BY distance, id) AS listed FROM (
   SELECT id, name, slug, {_arc('33.94', '-112.07')} AS distance FROM visible
-  WHERE latitude BETWEEN 33.94 - 200 / 69.0e0 AND 33.94 + 200 / 69.0e0
-    AND longitude BETWEEN -112.07 - 200 / (69.0e0 * cos(radians(33.94))) AND -112.07 + 200 / (69.0e0 * cos(radians(33.94)))
-  ORDER BY distance, id LIMIT 50) WHERE distance <= 200
+  WHERE latitude BETWEEN 33.94 - 500 / 69.0e0 AND 33.94 + 500 / 69.0e0
+    AND longitude BETWEEN -112.07 - 500 / (69.0e0 * cos(radians(33.94))) AND -112.07 + 500 / (69.0e0 * cos(radians(33.94)))
+  ORDER BY distance, id LIMIT 50) WHERE distance <= 500
 """)
 def nearby_jsonld(d):
     """The document, read back."""
@@ -337,7 +337,7 @@ def states_jsonld(d):
     return out.select(back.alias("b")).select(F.col("b.numberOfItems").alias("states"), F.array_join(names, ",").alias("listed"))
 
 
-@query(f"""
+_SITEMAP = f"""
 SELECT url, priority, change_frequency FROM (
   SELECT * FROM (VALUES ('https://directory.example.com', 1.0e0, 'weekly'), ('https://directory.example.com/affiliate-disclosure', 0.3e0, 'yearly'),
     ('https://directory.example.com/guides', 0.7e0, 'weekly'), ('https://directory.example.com/comics', 0.9e0, 'weekly'),
@@ -347,13 +347,25 @@ SELECT url, priority, change_frequency FROM (
   UNION ALL SELECT 'https://directory.example.com/stores/' || {STATE_SLUGS}[state] || '/' || {CITY_SLUG}, 0.6e0, 'weekly'
     FROM (SELECT state, city FROM visible GROUP BY state, city HAVING count(*) >= 2)
   UNION ALL SELECT 'https://directory.example.com/store/' || slug, 0.4e0, 'monthly' FROM (SELECT slug FROM visible ORDER BY id))
-LIMIT 50000
-""")
+"""
+
+
+@query(_SITEMAP)
 def sitemap(d):
     guides = d.part.select(F.lower("p_type").alias("slug"), F.lit("2024-01-01").alias("updated")).distinct()
     return pb.sitemap(d.stores, d.store_external_refs, guides).select("url", "priority", "change_frequency")
 
 
+@query(f"""
+SELECT (r - 1) // 100 AS file_no, count(*) AS urls FROM (SELECT row_number() OVER () AS r FROM ({_SITEMAP})) GROUP BY 1
+""")
+def sitemap_index(d):
+    """Files of a hundred rows, so that the given tables fill some."""
+    guides = d.part.select(F.lower("p_type").alias("slug"), F.lit("2024-01-01").alias("updated")).distinct()
+    files = pb.sitemap_files(pb.sitemap(d.stores, d.store_external_refs, guides), per_file=100)
+    return pb.sitemap_index(files).select(F.col("file_no").cast("long").alias("file_no"), "urls")
+
+
 @query(f"SELECT id, coalesce({sql_map(cat.PLATFORM_LABELS)}[platform], '') AS label FROM online_presences")
 def platform_labels(d):
     return d.online_presences.select("id", F.coalesce(pb.platform_label("platform"), F.lit("")).alias("label"))

@@ -174,9 +174,9 @@ def read_dossiers(spark: SparkSession, path: str, min_confidence: float = 0.65,
         text(d["recommended_next_step"]).alias("recommended_next_step"), action.alias("action"),
         listed(d["products"]).alias("products"), events.cast("string").alias("has_events"),
         text(d["event_url"]).alias("event_url"), size(d["events_next_30_days"]).alias("events_next_30_days"),
-        listed(d["phones"]).alias("phones"), listed(F.slice(d["hours_text"], 1, 5)).alias("hours_text"),
+        listed(d["phones"]).alias("phones"), listed(d["hours_text"]).alias("hours_text"),
         size(d["pages_fetched"]).alias("pages_fetched"),
-        F.coalesce(F.to_json(F.slice(d["skipped_urls"], 1, 5)), F.lit("[]")).alias("skipped_urls"), "json_path",
+        F.coalesce(F.to_json(d["skipped_urls"]), F.lit("[]")).alias("skipped_urls"), "json_path",
     )
 
 

@@ -36,7 +36,8 @@ def test_singles(spark):
 def test_links(spark):
     html = "".join(f"<a class='x' href='/product/{i}'>P{i}</a>" for i in range(9)) + '<a href="item/1">rel</a>'
     links = one(spark, pg.product_links("html", "url"), html)
-    assert len(links) == 5 and links[0] == "https://shop.example.com/product/0"
+    assert len(links) == 9 and links[0] == "https://shop.example.com/product/0"
+    assert len(one(spark, pg.product_links("html", "url", limit=5), html)) == 5
     html = '<a href="http://www.shop.example.com/x?a=1#b">Event <b>list</b></a><a href="/cal&amp;endar">c</a><a href=/calendar>d</a><a href="https://other.example.com/events">o</a>'
     assert one(spark, pg.event_links("html", "url"), html) == ["http://www.shop.example.com/x", "https://shop.example.com/calendar"]
 
