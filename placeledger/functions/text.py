@@ -315,9 +315,10 @@ def build_slug(name, city, state) -> Column:
     return F.regexp_replace(F.substring(joined, 1, cat.MAX_STORE_SLUG), "^-+|-+$", "")
 
 
-def disambiguate_slug(base: Column, store_id: Column) -> Column:
-    """Base slug plus the first six characters of the id, kept within the length limit."""
-    short = F.lower(F.substring(F.replace(store_id, F.lit("-"), F.lit("")), 1, cat.SHORT_ID_LENGTH))
+def disambiguate_slug(base: Column, store_id: Column, length: int | None = cat.SHORT_ID_LENGTH) -> Column:
+    """Base slug plus the first characters of the id (all without ``length``), kept within the length limit."""
+    whole = F.lower(F.replace(store_id, F.lit("-"), F.lit("")))
+    short = whole if length is None else F.substring(whole, 1, length)
     room = F.lit(cat.MAX_STORE_SLUG - 1) - F.length(short)
     head = F.when(
         F.length(base) + 1 + F.length(short) > cat.MAX_STORE_SLUG,

@@ -87,7 +87,7 @@ def assign_slugs(stores: DataFrame, order=("first_seen", "id"), only: Column | N
     """Fill empty slugs of public stores; slugs that exist never change.
 
     The earliest store (by ``order``) of a base slug gets it if no store holds it yet; the others get the base plus part
-    of their id. Who comes first is found by a pre-aggregated minimum per base, and joined back by store id, so a base
+    of their id, or where that is held or given to an earlier store, the whole id. Who comes first is found by a pre-aggregated minimum per base, and joined back by store id, so a base
     that very many stores share is no hot join key. ``only`` limits the stores that may get a slug.
     """
     base = tx.build_slug("name", "city", "state")
@@ -98,9 +98,15 @@ def assign_slugs(stores: DataFrame, order=("first_seen", "id"), only: Column | N
     held = stores.filter(F.col("slug").isNotNull()).select(F.col("slug").alias("base"))
     first = todo.groupBy("base").agg(F.min_by("id", "turn").alias("id"))
     winners = first.join(held, "base", "left_anti").select("id", F.lit(True).alias("wins"))
-    out = stores.join(winners, "id", "left")
-    unique = F.when(F.coalesce("wins", F.lit(False)), base).otherwise(tx.disambiguate_slug(base, F.col("id")))
-    return out.withColumn("slug", F.when(open_slug, unique).otherwise(F.col("slug"))).drop("wins")
+    # A short id serves one store, and only where no store holds it or just got it as its base.
+    losers = todo.join(winners, "id", "left_anti").withColumn("base", tx.disambiguate_slug(F.col("base"), F.col("id")))
+    taken = held.unionByName(first.select("base"))
+    short = losers.groupBy("base").agg(F.min_by("id", "turn").alias("id")).join(taken, "base", "left_anti").select("id", F.lit(True).alias("is_short"))
+    out = stores.join(winners, "id", "left").join(short, "id", "left")
+    unique = F.when(F.coalesce("wins", F.lit(False)), base).when(
+        F.coalesce("is_short", F.lit(False)), tx.disambiguate_slug(base, F.col("id"))
+    ).otherwise(tx.disambiguate_slug(base, F.col("id"), None))
+    return out.withColumn("slug", F.when(open_slug, unique).otherwise(F.col("slug"))).drop("wins", "is_short")
 
 
 def apply_transitions(stores: DataFrame, targets: DataFrame, as_of: str, reason="auto-evaluation") -> tuple[DataFrame, DataFrame]:

@@ -14,24 +14,28 @@ from placeledger.plans import queries_resolve as qr
 from placeledger.plans.queries_lifecycle import _failing
 from placeledger.plans.registry import query
 from placeledger.plans.views import AS_OF
-from placeledger.session import checkpoint_dir
+from placeledger.session import checkpoint_dir, cut
 from placeledger.streaming import jobs
 
 
+#: Files of a drop; a drop of a real crawl has as many as its writers make.
+_FILES = 4
+
+
 def _folder(spark) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4()}"
 
 
 def _as_stream(df: DataFrame, folder: str, order: str, files: int = 3) -> DataFrame:
-    """``df`` written in ``order`` as ``files`` drops, one after the other, and read back one file per trigger."""
+    """``df`` written in ``order`` as drops of several files, one drop after the other, and read back about a drop per trigger."""
     cuts = [i / files for i in range(1, files)]
     turn = F.col(order).cast("timestamp").cast("double") if dict(df.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")
-    bounds = df.select(F.percentile_approx(turn, cuts).alias("b")).first()["b"]
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = df if low is None else df.filter(turn > low)
-        part = part if high is None else part.filter(turn <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    bounds = df.agg(F.percentile_approx(turn, cuts).alias("b")).select("b")
+    number = sum(((turn > F.get(bounds.scalar(), F.lit(i))).cast("int") for i in range(len(cuts))), F.lit(0))
+    numbered = cut(df.withColumn("drop_no", number))
+    for drop in range(files):
+        numbered.filter(F.col("drop_no") == drop).drop("drop_no").repartition(_FILES).write.mode("append").parquet(f"{folder}/in")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", _FILES).parquet(f"{folder}/in")
 
 
 @query(_failing(3))

@@ -473,6 +473,7 @@ class Directory:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.tables = tables
+        self.ready: set[str] = set()  # tables that are stored while others still have to be
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BASE_TABLES and name not in VIEWS:
@@ -483,9 +484,10 @@ class Directory:
     def _read(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if self.tables is not None:
+        if self.tables is not None and (not self.ready or name in self.ready):
             return self.spark.read.parquet(f"{self.tables}/{name}")
         parts = [
+            f"{v} AS (SELECT * FROM parquet.`{self.tables}/{v}`)" if v in self.ready else
             f"{v} AS ({_text(v, 'spark', lambda t: f'parquet.`{self.sf_dir}/{t}.parquet`', VIEWS)})"
             for v in _needs(name, VIEWS)
         ]
@@ -493,9 +495,14 @@ class Directory:
 
 
 def store_tables(spark: SparkSession, sf_dir: str, path: str) -> Directory:
-    """Write every directory table once under ``path`` and give the directory that reads them."""
+    """Write every directory table once under ``path`` and give the directory that reads them.
+
+    The tables are written in the order of their needs, each from the stored ones before it.
+    """
     derived = Directory(spark, sf_dir)
     for name in VIEWS:
         # Small tables are stored in one file per core, so that their readers use all cores.
         spread(getattr(derived, name)).write.parquet(f"{path}/{name}")
+        derived.tables = path
+        derived.ready.add(name)
     return Directory(spark, sf_dir, tables=path)

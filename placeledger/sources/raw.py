@@ -35,8 +35,8 @@ def common(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _sequence(df: DataFrame) -> Column:
-    """Input order: the record's own number if it has one, else the read order."""
-    return F.col("seq") if "seq" in df.columns else F.monotonically_increasing_id()
+    """The record's turn: its own number if it has one, else a hash of the record, which does not depend on how files are read."""
+    return F.col("seq") if "seq" in df.columns else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def parse_wpn(df: DataFrame) -> DataFrame:
