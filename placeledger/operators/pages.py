@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -284,17 +285,19 @@ def platform_price(html, platform) -> Column:
     return out
 
 
-def card_prices(pages: DataFrame, cards=cat.PROBE_CARDS, window: int | None = None) -> DataFrame:
+def card_prices(pages: DataFrame, cards=cat.PROBE_CARDS, window: int = 500) -> DataFrame:
     """One row per page and card (page columns html, platform): found, price and how the price was read.
 
-    The page-wide prices are worked out once per page; only the text after each card's name (all of it,
-    or ``window`` characters) is searched per card.
+    The page-wide prices are worked out once per page; a price counts as a card's if it
+    stands within ``window`` characters from one of the places that name it; the first such price is taken.
     """
     lower = F.lower("html")
 
     def one(card: str) -> Column:
         at = F.instr(F.col("lower_html"), card.lower())
-        near = F.regexp_extract_all(F.substring(F.col("html"), at, F.length("html") if window is None else F.lit(window)), F.lit(cat.PRICE_PATTERN), F.lit(1))
+        after = F.split("html", "(?i)" + re.escape(card))
+        near = F.flatten(F.transform(F.slice(after, 2, F.size(after)), lambda p: F.regexp_extract_all(
+            F.substring(p, 1, max(1, window - len(card))), F.lit(cat.PRICE_PATTERN), F.lit(1))))
         number = F.get(F.filter(F.transform(near, lambda v: v.try_cast("double")), lambda v: v.between(0.01, 999.99)), F.lit(0))
         found = at > 0
         ways = [(F.col("ld_price"), "json_ld"), (F.col("own_price"), "css_selector"), (number, "regex")]

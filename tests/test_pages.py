@@ -122,3 +122,15 @@ def test_calendars(spark):
     html = 'window.cowEventCal3_config = {"_id": "c1", "timezone": "UTC"};window.cowEventCal3_services=[{"_id": "s", "title": "Draft"}, 5];'
     rows = pg.extract_calendars(spark.createDataFrame([("1", "https://a.example.com/e", html)], "store_id string, url string, html string")).collect()
     assert [(r.calendar_id, r.service_id, r.title) for r in rows] == [("c1", "s", "Draft")]
+
+
+def test_price_near_a_later_place(spark):
+    html = "Sol Ring " + "x" * 600 + " sol ring now $4.50"
+    assert pg.card_prices(spark.createDataFrame([(html, "shopify")], "html string, platform string"), ["Sol Ring"]).first().store_price == 4.5
+
+
+def test_nothing_is_cut(spark):
+    phones = " ".join(f"555-010-{i:04d}" for i in range(30))
+    assert len(one(spark, pg.extract_phones("html"), phones)) == 30
+    links = "".join(f"<a href='/x{i}'>x</a>" for i in range(30)) + "<a href='/calendar'>c</a>"
+    assert one(spark, pg.detect_events("html", "url"), links)["event_url"] == "https://shop.example.com/calendar"
