@@ -106,8 +106,11 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: int = cat.FUZZY_
     """(block, l_name, r_name, score) for all names of a block with a ratio of at least ``threshold``.
 
     Both inputs have (block, name). Names meet by signature; lengths and the edit distance are bounds that hold for
-    every pair above the threshold and run as expressions; the ratio itself runs on what is left.
+    every pair above the threshold and run as expressions; the ratio itself runs on what is left. Two characters and three
+    can reach a ratio of 80, but short names only meet equal ones: ``threshold`` must be over 80.
     """
+    if threshold <= 80:
+        raise ValueError("the threshold must be over 80")
     share = _least_share(threshold)
 
     def keyed(df: DataFrame, as_name: str) -> DataFrame:

@@ -184,3 +184,9 @@ def test_hot_name_and_zip_stays_linear(spark):
     empty = spark.createDataFrame([], STORE)
     got = {r.tier: r["count"] for r in rs.resolve_candidates(rows, empty).groupBy("tier").count().collect()}
     assert got == {"new": 2001, "name_zip": 999}
+
+
+def test_low_thresholds_are_refused(spark):
+    rows = spark.createDataFrame([("b", "AB")], "block string, name string")
+    with pytest.raises(ValueError):
+        rs.similar_names(rows, rows, 80)
