@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ def _encoder(tokenizer_json: str, pattern: str, width: str):
 
     tokenizer, find = Tokenizer.from_str(tokenizer_json), regex.compile(pattern).findall
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    letter = "H" if width == "<u2" else "I"
     words, inner = _KNOWN.setdefault(hash((tokenizer_json, pattern, width)), ({}, {}))
 
     def parts_of(text: str) -> list[str]:
@@ -57,7 +59,8 @@ def _encoder(tokenizer_json: str, pattern: str, width: str):
         new = {p: find(p) for p in {p for parts in cut for p in parts if p not in inner}}
         unknown = list({w for ws in new.values() for w in ws} - words.keys())
         for w, coded in zip(unknown, tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            words[w] = np.array(coded.ids, width).tobytes()
+            ids = coded.ids
+            words[w] = struct.pack(f"<{len(ids)}{letter}", *ids)
         inner.update((p, b"".join(map(words.__getitem__, ws))) for p, ws in new.items())
         return [b"".join(map(inner.__getitem__, parts)) for parts in cut]
 
