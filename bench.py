@@ -28,7 +28,9 @@ HEADLINE = [
     "quality_bucket", "cleanup_plan", "conformance", "first_seen_dedup", "snapshot_upsert",
     # prices and pages
     "search_queue", "infer_pricing", "detect_platform", "extract_content", "extract_price", "page_extract", "scan_documents",
-    "extract_phones",
+    "extract_phones", "extract_description", "dossiers",
+    # the heaviest plans: validation runs, an ingest and a stream
+    "validate_presences", "revalidate", "ingest_outcomes", "stream_failures",
 ]
 
 
