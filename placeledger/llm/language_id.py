@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,9 @@ MAX_RUN = 48
 KNOWN_WORDS = 1 << 19
 #: Probabilities are kept in range by this factor for each byte.
 _SCALE = 8.0
+#: Byte strings are told apart by 64-bit hashes; the upper bits of the pieces' hashes are marked in a table.
+_STEP, _MARK_BITS = np.uint64(0x9E3779B97F4A7C15), 22
+_SHIFT = np.uint64(64 - _MARK_BITS)
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _KNOWN: dict[int, tuple[dict[str, int], np.ndarray]] = {}
 
@@ -43,26 +48,51 @@ class Model:
     pieces: dict[bytes, int]  # from 1; 0 is no piece
     probabilities: np.ndarray  # piece x language, scaled by the length of the piece; row 0 is 0
 
+    @cached_property
+    def lookup(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces' hashes in order, their numbers, and which upper bits occur."""
+        marks = np.zeros(1 << _MARK_BITS, dtype=bool)
+        hashes = np.zeros(len(self.pieces), dtype=np.uint64)
+        lengths = np.array([len(p) for p in self.pieces], dtype=np.int64)
+        for m, found in enumerate(_hashes(list(self.pieces), MAX_PIECE)):
+            hashes[lengths == m + 1] = found[lengths == m + 1, 0]
+        order = np.argsort(hashes)
+        hashes, numbers = hashes[order], np.fromiter(self.pieces.values(), np.int32, len(order))[order]
+        if (hashes[1:] == hashes[:-1]).any():
+            raise ValueError("two pieces of one hash")
+        marks[hashes >> _SHIFT] = True
+        return hashes, numbers, marks
+
+
+def _hashes(strings: list[bytes], width: int):
+    """For each length up to MAX_PIECE, the hashes of the parts of that length: string x start."""
+    data = np.array(strings, dtype=f"S{width}").view(np.uint8).reshape(len(strings), width).astype(np.uint64) + np.uint64(1)
+    found = np.zeros_like(data)
+    for m in range(min(MAX_PIECE, width)):
+        found = (found[:, : width - m] + data[:, m:]) * _STEP
+        yield found
+
 
 def _runs(word: str) -> list[bytes]:
     """The runs of letters of a word as bytes, each marked as a start by a space, long ones cut."""
-    out = []
-    for run in _LETTERS.findall(word.lower()):
+    out, low = [], word.lower()
+    for run in [low] if word.isalpha() else _LETTERS.findall(low):
         raw = b" " + run.encode()
         out += [raw[i : i + MAX_RUN] for i in range(0, len(raw), MAX_RUN)]
     return out
 
 
-def _lattice(runs: list[bytes], pieces: dict[bytes, int]) -> np.ndarray:
+def _lattice(runs: list[bytes], model: Model) -> np.ndarray:
     """ids[run, start, length - 1] of the pieces that fit there."""
-    width = max(map(len, runs))
+    lengths = np.array([len(r) for r in runs])
+    width = int(lengths.max())
     out = np.zeros((len(runs), width, MAX_PIECE), dtype=np.int32)
-    get = pieces.get
-    for k, run in enumerate(runs):
-        n = len(run)
-        for i in range(n):
-            top = min(n - i, MAX_PIECE)
-            out[k, i, :top] = [get(run[i : i + m + 1], 0) for m in range(top)]
+    keys, numbers, marks = model.lookup
+    for m, found in enumerate(_hashes(runs, width)):
+        run, start = np.nonzero(marks[found >> _SHIFT] & (np.arange(width - m) + m < lengths[:, None]))
+        asked = found[run, start]
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        out[run, start, m] = np.where(keys[at] == asked, numbers[at], 0)
     return out
 
 
@@ -73,9 +103,9 @@ def _forward(ids: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
     alpha[:, 0] = 1.0
     for i in range(width):
         for m in range(min(MAX_PIECE, width - i)):
-            some = ids[:, i, m]
-            if some.any():
-                alpha[:, i + m + 1] += alpha[:, i] * probabilities[some]
+            fits = np.flatnonzero(ids[:, i, m])
+            if len(fits):
+                alpha[fits, i + m + 1] += alpha[fits, i] * probabilities[ids[fits, i, m]]
     return alpha
 
 
@@ -92,7 +122,7 @@ def run_logs(runs: list[bytes], model: Model) -> np.ndarray:
     out = np.zeros((len(runs), len(model.languages)))
     for at, some in _chunks(runs):
         lengths = np.array([len(r) for r in some])
-        alpha = _forward(_lattice(some, model.pieces), model.probabilities)
+        alpha = _forward(_lattice(some, model), model.probabilities)
         out[at] = np.log(np.maximum(alpha[np.arange(len(some)), lengths], 1e-300)) - lengths[:, None] * np.log(_SCALE)
     return out
 
@@ -101,22 +131,28 @@ def expected_counts(runs: list[bytes], weights: np.ndarray, model: Model) -> np.
     """How often each piece is used in each language, over all segmentations. weights: run x language."""
     total = np.zeros_like(model.probabilities)
     for at, some in _chunks(runs):
-        ids = _lattice(some, model.pieces)
+        ids = _lattice(some, model)
         alpha = _forward(ids, model.probabilities)
         lengths = np.array([len(r) for r in some])
         ends = np.arange(len(some))
         whole = np.maximum(alpha[ends, lengths], 1e-300)
         beta = np.zeros_like(alpha)
         beta[ends, lengths] = 1.0
-        width = ids.shape[1]
+        width, share = ids.shape[1], weights[at] / whole
+        used, uses = [np.zeros(0, np.int32)], [np.zeros((0, total.shape[1]))]
         for i in range(width - 1, -1, -1):
             for m in range(min(MAX_PIECE, width - i)):
-                piece = ids[:, i, m]
-                if piece.any():
-                    step = model.probabilities[piece] * beta[:, i + m + 1]
-                    beta[:, i] += step
-                    np.add.at(total, piece, alpha[:, i] * step / whole * weights[at])
-    total[0] = 0
+                fits = np.flatnonzero(ids[:, i, m])
+                if len(fits):
+                    piece = ids[fits, i, m]
+                    step = model.probabilities[piece] * beta[fits, i + m + 1]
+                    beta[fits, i] += step
+                    used.append(piece)
+                    uses.append(alpha[fits, i] * step * share[fits])
+        used, inverse = np.unique(np.concatenate(used), return_inverse=True)
+        uses = np.concatenate(uses)
+        for k in range(total.shape[1]):
+            total[used, k] += np.bincount(inverse, uses[:, k], len(used))
     return total
 
 
@@ -187,48 +223,48 @@ def train(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS,
     return model
 
 
-def _predict(texts: list[str | None], model: Model, key: int) -> tuple[list[str], list[float]]:
+def _sums(groups: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of ``values`` for each of ``n`` groups."""
+    return np.stack([np.bincount(groups, values[:, k], n) for k in range(values.shape[1])], axis=1)
+
+
+def _predict(texts: pa.Array, model: Model, key: int) -> tuple[list[str], list[float]]:
     """The most probable language of each text and its posterior (languages equally likely before)."""
     if key not in _KNOWN:
         _KNOWN.clear()
         _KNOWN[key] = {}, np.zeros((0, len(model.languages) + 1))
     known, logs = _KNOWN[key]
-    split = [(t or "").split() for t in texts]
-    new = list({w for ws in split for w in ws} - known.keys())
+    split = pc.utf8_split_whitespace(texts.fill_null(""))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    new = [w for w in words if w not in known]
     if new:
         if len(known) + len(new) > KNOWN_WORDS:
-            known, logs = {}, logs[:0]
-            new = list({w for ws in split for w in ws})
+            known, logs, new = {}, logs[:0], words
         parts = [_runs(w) for w in new]
-        distinct = list({r for p in parts for r in p})
-        of = {r: k for k, r in enumerate(distinct)}
-        by_run = run_logs(distinct, model) if distinct else np.zeros((0, len(model.languages)))
-        rows = np.zeros((len(new), len(model.languages) + 1))
-        for k, p in enumerate(parts):
-            if p:
-                rows[k, 0] = 1
-                rows[k, 1:] = by_run[[of[r] for r in p]].sum(axis=0)
+        of: dict[bytes, int] = {}
+        flat = np.array([of.setdefault(r, len(of)) for p in parts for r in p], dtype=np.int64)
+        owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
+        by_run = np.ones((len(of), len(model.languages) + 1))
+        by_run[:, 1:] = run_logs(list(of), model)
         known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-        logs = np.concatenate([logs, rows])
+        logs = np.concatenate([logs, _sums(owner, by_run[flat], len(new))])
         _KNOWN[key] = known, logs
-    names, scores = [], []
-    for ws in split:
-        total = logs[[known[w] for w in ws]].sum(axis=0) if ws else np.zeros(len(model.languages) + 1)
-        if not total[0] or not model.languages:
-            names.append("und")
-            scores.append(0.0)
-            continue
-        best = int(np.argmax(total[1:]))
-        names.append(model.languages[best])
-        scores.append(float(1 / np.exp(total[1:] - total[1 + best]).sum()))
-    return names, scores
+    place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    total = _sums(np.asarray(pc.list_parent_indices(split)), logs[place[np.asarray(coded.indices)]], len(texts))
+    if not model.languages:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    best = total[:, 1:].argmax(axis=1)
+    score = 1 / np.exp(total[:, 1:] - total[np.arange(len(texts)), 1 + best][:, None]).sum(axis=1)
+    some = total[:, 0] > 0
+    return [model.languages[k] if yes else "und" for k, yes in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, score, 0.0).tolist()
 
 
 def _judged(batches, model: Model, key: int):
     for batch in batches:
         for row in range(0, batch.num_rows, 512):
             some = batch.slice(row, 512)
-            yield some, *_predict(some.column("text").to_pylist(), model, key)
+            yield some, *_predict(some.column("text"), model, key)
 
 
 def identify(docs: DataFrame, model: Model, *also: Column) -> DataFrame:
