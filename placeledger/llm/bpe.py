@@ -25,7 +25,7 @@ BLOCK_BYTES = 16 << 20
 #: Pre-tokens of a block that are put together at once.
 STEP = 1 << 19
 #: No pre-token crosses the gap between two characters other than white space if the second follows a single space.
-_GAPS = re.compile(r"(?<=\S)(?= \S)")
+GAPS = re.compile(r"(?<=\S)(?= \S)")
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -57,7 +57,7 @@ def _cut_block(texts: list[str], find) -> tuple[list[str], np.ndarray, np.ndarra
         if simple:
             out.append(numbers(head) + b"".join(map(inner.__getitem__, rest)))
             continue
-        pieces = _GAPS.split(text)
+        pieces = GAPS.split(text)
         for piece in pieces:
             if piece not in whole:
                 whole[piece] = numbers(piece)

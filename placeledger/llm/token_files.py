@@ -10,18 +10,25 @@ from __future__ import annotations
 import json
 import os
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeledger.llm.bpe import GAPS
+from placeledger.llm.texts import slices
+
 NULL_ID = -(1 << 63)
 #: Pre-tokens, and parts between single spaces, whose ids a worker keeps.
-KNOWN_WORDS, KNOWN_PARTS = 1 << 20, 1 << 18
+KNOWN_WORDS, KNOWN_PARTS = 1 << 20, 1 << 19
+#: Bytes of text that are encoded at once; a longer text is encoded alone.
+BLOCK_BYTES = 8 << 20
 #: Ids that a reader hands on at once.
 READ_IDS = 1 << 22
 _KNOWN: dict[int, dict[str, bytes]] = {}
@@ -34,7 +41,8 @@ def _open(path: str):
 def _encoder(tokenizer_json: str, pattern: str, width: str):
     """Many texts to packed ids. Pre-tokens are encoded apart, each once while the worker remembers it.
 
-    A text is first cut at single spaces between words, which no pre-token crosses; known parts are reused as well.
+    A text is first cut at single spaces between words, which no pre-token crosses; known parts are reused as well. The
+    parts are numbered and their ids put in order by Arrow.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
     from tokenizers import Tokenizer
@@ -44,25 +52,46 @@ def _encoder(tokenizer_json: str, pattern: str, width: str):
     letter = "H" if width == "<u2" else "I"
     words, inner = _KNOWN.setdefault(hash((tokenizer_json, pattern, width)), ({}, {}))
 
-    def parts_of(text: str) -> list[str]:
-        head, *rest = text.split(" ")
-        if rest and (head == "" or head[-1].isspace() or any(p == "" or p[0].isspace() or p[-1].isspace() for p in set(rest))):
-            return [text]
-        return [head, *(" " + p for p in rest)]
-
-    def encode(texts: list[str]) -> list[bytes]:
+    def learn(parts: set[str]) -> None:
         if len(words) > KNOWN_WORDS:
             words.clear()
-        if len(inner) > KNOWN_PARTS:
-            inner.clear()
-        cut = [parts_of(t) for t in texts]
-        new = {p: find(p) for p in {p for parts in cut for p in parts if p not in inner}}
-        unknown = list({w for ws in new.values() for w in ws} - words.keys())
+        # set.difference(dict) costs by the set; a set less the keys of a dict costs by the dict.
+        new = list(parts.difference(inner))
+        found = list(map(find, new))
+        unknown = list(set(chain.from_iterable(found)).difference(words))
         for w, coded in zip(unknown, tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
             ids = coded.ids
             words[w] = struct.pack(f"<{len(ids)}{letter}", *ids)
-        inner.update((p, b"".join(map(words.__getitem__, ws))) for p, ws in new.items())
-        return [b"".join(map(inner.__getitem__, parts)) for parts in cut]
+        get = words.__getitem__
+        inner.update(zip(new, [b"".join(map(get, ws)) for ws in found], strict=True))
+
+    def encode(texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """The bytes of the ids, and where those of each text begin and end."""
+        if len(inner) > KNOWN_PARTS:
+            inner.clear()
+        texts = texts.fill_null("")
+        split = pc.split_pattern(texts, " ")
+        edges = np.asarray(split.offsets).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        parts, number = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+        loose = np.array([p == "" or p[0].isspace() or p[-1].isspace() for p in parts])[number]
+        # A text with white space other than single spaces is put together in one piece; in others, only the head is apart.
+        loose_text = np.add.reduceat(loose.astype(np.int64), edges[:-1]) > 0
+        own = [GAPS.split(t.as_py()) if odd else [parts[number[e]]] for t, e, odd in zip(texts, edges.tolist(), loose_text.tolist())]
+        head = np.zeros(len(number), dtype=bool)
+        head[edges[:-1]] = True
+        rest = ~head & ~np.repeat(loose_text, np.diff(edges))
+        used, place = np.unique(number[rest], return_inverse=True)
+        after = [" " + parts[i] for i in used.tolist()]
+        learn({*after, *(p for some in own for p in some)})
+        pieces = pa.array([inner[p] for p in after] + [b"".join(map(inner.__getitem__, some)) for some in own], pa.large_binary())
+        number[rest] = place
+        number[head] = len(after) + np.arange(len(own))
+        keep = rest | head
+        out = pieces.take(pa.array(number[keep]))
+        _, ends, data = out.buffers()
+        bounds = np.concatenate([[0], np.cumsum(keep)])[edges]
+        return memoryview(data if data is not None else b""), np.frombuffer(ends, np.int64)[bounds]
 
     return encode
 
@@ -96,10 +125,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, pattern:
         with store.open_output_stream(f"{name}.ids.{attempt}") as out:
             for batch in batches:
                 texts = batch.column("text")
-                for row in range(0, batch.num_rows, 256):
-                    coded = [x + end for x in encode([x or "" for x in texts.slice(row, 256).to_pylist()])]
-                    out.write(b"".join(coded))
-                    sizes += [len(x) // len(end) for x in coded]
+                for row, _, offsets in slices(texts, BLOCK_BYTES):
+                    data, edges = encode(texts.slice(row, len(offsets) - 1))
+                    out.write(b"".join(x for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) for x in (data[a:b], end)))
+                    sizes += (np.diff(edges) // len(end) + 1).tolist()
                 ids.append(np.asarray(batch.column("doc_id").fill_null(NULL_ID)))
         for kind, values in (("offsets", np.cumsum(sizes, dtype="<u8")), ("docs", np.concatenate(ids).astype("<i8") if ids else np.zeros(0, "<i8"))):
             with store.open_output_stream(f"{name}.{kind}.{attempt}") as out:
