@@ -111,6 +111,38 @@ def test_near_groups(spark, docs, empty):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_dedup.near_groups(nothing).collect()) == [("4", 3, "None"), ("None", 0, "None"), ("None", 3, "None")]
 
 
+def test_unlike_sets_of_a_bucket(spark):
+    """Texts that share a long passage but are not similar do not meet; no task gets more than two blocks of the others."""
+    rng = random.Random(2)
+    passage = prose(rng, 70)
+    rows = [(i, f"{passage} {prose(rng, 30)}") for i in range(300)]
+    core = prose(rng, 80)
+    rows += [(1000 + i, f"{core} {prose(rng, 20)}") for i in range(90)]  # 0.67: common shingles are among their rarest
+    words = rows[305][1].split()
+    rows += [(2000 + i, " ".join(words[: 80 + 4 * i] + prose(rng, 20 - 4 * i).split())) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    sets = near_dedup._wanted_sets(docs, docs.select(F.col("doc_id").alias("node")), 5).cache()
+    rare = near_dedup._rare(sets, 75, 32).collect()
+    met = collections.Counter(r.token for r in rare if r.node < 1000)
+    assert None not in met and not any(met[r.token] > 1 for r in rare)
+    assert {r.node for r in rare if r.token is None} >= set(range(1000, 1090))
+    marks = near_dedup.signatures(docs).select(F.col("doc_id").alias("node"), "signature")
+    one = docs.select(F.lit(1).cast("long").alias("key"), F.col("doc_id").alias("node"))
+    labels = spark.createDataFrame([], "node long, component long")
+    exact = {r[0]: shingles(r[1]) for r in rows}
+    want = {(a, b) for a in exact for b in exact if a < b and 100 * len(exact[a] & exact[b]) >= 75 * len(exact[a] | exact[b])}
+    assert want
+    for hot in (1, 32, 254):
+        got = near_dedup._rest(one, labels, sets, marks, 75, hot=hot, block_rows=16)
+        assert {tuple(sorted(r)) for r in got.collect()} == want
+    dealt = near_dedup._meetings(one.withColumn("component", F.when(F.col("node") < 200, 0).otherwise(F.col("node"))), 16).cache()
+    assert dealt.groupBy("key", "lo", "hi").count().agg(F.max("count")).first()[0] < 4 * 16
+    pairs = dealt.alias("x").join(dealt.alias("y"), ["key", "lo", "hi"]).filter("x.node < y.node and x.component <> y.component and (x.lo = x.hi or x.block <> y.block)")
+    met = collections.Counter((r[0], r[1]) for r in pairs.select("x.node", "y.node").collect())
+    n = len(rows)
+    assert len(met) == n * (n - 1) // 2 - 200 * 199 // 2 and set(met.values()) == {1}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 90), (95, 100), (95, 90), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
