@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICES = 64
+#: Hashes that are counted count if a batch has them so often.
+FEW = 4
 _SCHEMA = "slice int, once binary, twice binary"
 
 
@@ -43,10 +45,12 @@ def has(bitmap: np.ndarray, hashes: np.ndarray, probes: int) -> np.ndarray:
     return found
 
 
-def repeated(rows: DataFrame, hashes_of: Callable, bits: int, probes: int, times: int = 2) -> np.ndarray:
+def repeated(rows: DataFrame, hashes_of: Callable, bits: int, probes: int, times: int = 2, heavy: tuple[int, int] | None = None):
     """The bits of the filter of values seen in at least ``times`` (two or one) rows.
 
-    ``hashes_of`` gets a record batch and yields arrays of 64-bit hashes, distinct within each row of the table.
+    ``hashes_of`` gets a record batch and yields arrays of 64-bit hashes, distinct within each row of the table. With ``heavy``
+    (slots, limit) it yields pairs of such an array and one of hashes to be counted, and the result is the filter and which slots
+    (lower bits of the hashes) got more than ``limit``; hashes that a batch has fewer than FEW times are not counted.
     """
     if bits & (bits - 1) or bits < SLICES * 8:
         raise ValueError("the number of bits must be a power of two")
@@ -55,6 +59,13 @@ def repeated(rows: DataFrame, hashes_of: Callable, bits: int, probes: int, times
     def send(batches):
         for batch in batches:
             parts = list(hashes_of(batch))
+            if heavy and parts:
+                parts, counted = zip(*parts, strict=True)
+                found, counts = np.unique(np.concatenate(counted), return_counts=True)
+                often = counts >= FEW
+                if often.any():
+                    packed = np.stack([found[often] & np.uint64(heavy[0] - 1), counts[often].astype(np.uint64)]).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([SLICES], pa.int32()), pa.array([packed], pa.binary()), pa.array([b""], pa.binary())], names=["slice", "once", "twice"])
             values, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             if not len(values):
                 continue
@@ -72,13 +83,22 @@ def repeated(rows: DataFrame, hashes_of: Callable, bits: int, probes: int, times
 
     def merge(batches):
         seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sums = None
         for batch in batches:
             for i, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i == SLICES:
+                    sums = np.zeros(heavy[0], np.int64) if sums is None else sums
+                    at, counts = np.frombuffer(once, np.uint64).reshape(2, -1).astype(np.int64)
+                    np.add.at(sums, at, counts)
+                    continue
                 first, second = seen.setdefault(i, (np.zeros(width, bool), np.zeros(width, bool)))
                 at = _unpack(once)
                 second[at] |= first[at]
                 first[at] = True
                 second[_unpack(twice)] = True
+        if sums is not None:
+            packed = np.packbits(sums > heavy[1], bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([SLICES], pa.int32()), pa.array([b""], pa.binary()), pa.array([packed], pa.binary())], names=["slice", "once", "twice"])
         for i, filters in seen.items():
             packed = np.packbits(filters[times - 1], bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays(
@@ -88,6 +108,10 @@ def repeated(rows: DataFrame, hashes_of: Callable, bits: int, probes: int, times
     out = np.zeros(bits // 8, dtype=np.uint8)
     merged = rows.mapInArrow(send, _SCHEMA).repartition(SLICES, "slice").mapInArrow(merge, _SCHEMA)
     # Not more than ``bits`` bits come to the driver, whatever the input.
+    over = np.zeros(heavy[0] if heavy else 0, dtype=bool)
     for row in merged.select("slice", "twice").collect():
+        if row[0] == SLICES:
+            over = np.unpackbits(np.frombuffer(row[1], np.uint8), bitorder="little").astype(bool)
+            continue
         out[row[0] * width // 8 : (row[0] + 1) * width // 8] = np.frombuffer(row[1], np.uint8)
-    return out
+    return (out, over) if heavy else out

@@ -3,7 +3,8 @@
 Whole corpora have no index that fits a task, so the text is dealt out such that equal strings of the wanted length meet: a
 window of that length is assigned to the k-gram in it with the smallest hash, and neighbouring windows with one such anchor
 make a piece. Anchors found in one document only cannot be part of a match; two Bloom filters leave them out. The pieces of
-the others go to the bucket of their anchor. There a run-compressed Burrows-Wheeler transform of the distinct pieces is built,
+the others go to the bucket of their anchor; where an anchor has many different pieces (at the ends of a passage that many
+documents share), these are cut into their windows, which go to the buckets of the windows' hashes. There a run-compressed Burrows-Wheeler transform of the distinct pieces is built,
 with the text positions of the run ends as samples. The pieces are streamed through it from right to left: backward steps
 give the matching statistics (the interval of the longest match, up to the wanted length, and the position of one
 occurrence). Where the match is long enough and its first document is smaller, the bytes are marked.
@@ -24,6 +25,8 @@ FILTER_BITS = 1 << 29
 PROBES = 2
 BATCH_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
+#: An anchor with more different pieces, added up over batches, is split; they are counted in so many slots (powers of two).
+HOT_PIECES, HOT_SLOTS = 4096, 1 << 22
 #: Stands after each piece; no UTF-8 text has this byte.
 SEPARATOR = 0xFF
 
@@ -60,6 +63,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     return text[first], starts, n, grams[own[first]], span_hash(sums, starts, starts + n + length - 1)
 
 
+def split(found, sums: np.ndarray, length: int, hot: np.ndarray):
+    """The pieces with those of ``hot`` anchors cut into single windows, each with its own hash as anchor."""
+    text, starts, windows, hashes, contents = found
+    some = hot[(hashes & np.uint64(len(hot) - 1)).astype(np.int64)]
+    if not some.any():
+        return found
+    n = windows[some]
+    at = np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    own = span_hash(sums, at, at + length)
+    parts = ((text, np.repeat(text[some], n)), (starts, at), (windows, np.ones(len(at), windows.dtype)), (hashes, own), (contents, own))
+    return tuple(np.concatenate([a[~some], b]) for a, b in parts)
+
+
 class RunIndex:
     """A run-compressed Burrows-Wheeler transform of pieces (each closed by a separator) with sampled run ends.
 
@@ -201,7 +217,7 @@ def _index_bucket(got: list[tuple[np.ndarray, ...]], length: int):
     return out, bounds, windows, numbers
 
 
-def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS) -> DataFrame:
+def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """(doc_id, text_key, spans): byte ranges, as pairs of 32-bit numbers, covered by long strings of earlier documents."""
     spark = docs.sparkSession
     n = blocks.buckets(spark, 8)
@@ -209,16 +225,19 @@ def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS) -> Data
 
     def hashes_of(batch):
         for _, data, offsets in slices(batch.column("text")):
-            text, _, _, hashes, _ = anchors(data, offsets, length)
+            text, _, _, hashes, contents = anchors(data, offsets, length)
+            _, first = np.unique(contents, return_index=True)
+            different = hashes[first]
             order = np.lexsort((hashes, text))
             text, hashes = text[order], hashes[order]
             new = np.ones(len(text), dtype=bool)
             new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
-            yield hashes[new]
+            yield hashes[new], different
 
-    bitmap = spark.sparkContext.broadcast(bloom.repeated(rows.select("text"), hashes_of, filter_bits, PROBES))
+    bitmap = spark.sparkContext.broadcast(bloom.repeated(rows.select("text"), hashes_of, filter_bits, PROBES, heavy=(HOT_SLOTS, hot_pieces)))
 
     def send(batches):
+        filters, hot = bitmap.value
         for batch in batches:
             column, ids, keys = batch.column("text"), np.asarray(batch.column("doc_id")), np.asarray(batch.column("text_key"))
             for begin, _, bounds in slices(column, BATCH_BYTES):
@@ -227,9 +246,12 @@ def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS) -> Data
                 found = []
                 for row, data, offsets in slices(part):
                     text, starts, windows, hashes, contents = anchors(data, offsets, length)
-                    hit = np.flatnonzero(bloom.has(bitmap.value, hashes, PROBES))
+                    hit = np.flatnonzero(bloom.has(filters, hashes, PROBES))
                     base = at[row]
-                    found.append((text[hit] + begin + row, starts[hit] - offsets[text[hit]], starts[hit] + base, windows[hit], hashes[hit], contents[hit]))
+                    text, starts, windows, hashes, contents = (x[hit] for x in (text, starts, windows, hashes, contents))
+                    if hot.any():
+                        text, starts, windows, hashes, contents = split((text, starts, windows, hashes, contents), prefix_hash(data), length, hot)
+                    found.append((text + begin + row, starts - offsets[text], starts + base, windows, hashes, contents))
                 text, start, place, windows, hashes, contents = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(text):
                     continue
@@ -254,7 +276,7 @@ def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS) -> Data
         got = [blocks.unpack(p) for p in group.column("payload").to_pylist()]
         owner, bounds, windows, numbers = _index_bucket([g[:6] for g in got], length)
         base = 0
-        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        found: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         for hashes, _, _, _, _, _, piece, doc, start, ids, keys in got:
             of = numbers[base : base + len(hashes)][piece]
             base += len(hashes)
@@ -277,17 +299,21 @@ def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS) -> Data
             order = np.lexsort((low, doc[occurrence]))
             spans, owners = np.stack([low, high], axis=1)[order], doc[occurrence][order]
             cuts = np.searchsorted(owners, np.arange(len(ids) + 1))
-            for d in np.flatnonzero(np.diff(cuts)):
-                found.setdefault((int(ids[d]), int(keys[d])), []).append(spans[cuts[d] : cuts[d + 1]].astype("<u4"))
+            some = np.flatnonzero(np.diff(cuts))
+            # Eight bytes a range; the ranges of a document stand together.
+            edges = np.append(cuts[some], len(spans)) * 8
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(edges.astype("<i8").tobytes()), pa.py_buffer(spans.astype("<u4").tobytes())])
+            found.append((ids[some], keys[some], packed.cast(pa.binary())))
         return pa.table({
-            "doc_id": pa.array([k[0] for k in found], pa.int64()), "text_key": pa.array([k[1] for k in found], pa.int64()),
-            "spans": pa.array([np.concatenate(v).tobytes() for v in found.values()], pa.binary()),
+            "doc_id": pa.chunked_array([pa.array(f[0], pa.int64()) for f in found], pa.int64()),
+            "text_key": pa.chunked_array([pa.array(f[1], pa.int64()) for f in found], pa.int64()),
+            "spans": pa.chunked_array([f[2] for f in found], pa.binary()),
         })
 
     return rows.mapInArrow(send, blocks.ASKED).groupBy("bucket").applyInArrow(work, "doc_id long, text_key long, spans binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, filter_bits: int = FILTER_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, filter_bits: int = FILTER_BITS, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """(doc_id, n_bytes, kept, removed): for each row the remaining bytes of its text, and the removed ranges.
 
     Each byte goes that is covered by a string of ``length`` bytes which also starts in a document with a smaller doc_id. All
@@ -297,7 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, filter_bits: int = FILTER_
     """
     if length < 8 or length > 60_000:
         raise ValueError("the length must be in 8..60000")
-    marks = marked(docs, length, filter_bits).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"))
+    marks = marked(docs, length, filter_bits, hot_pieces).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"))
     rows = with_text_key(docs).withColumn("own_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     joined = rows.join(marks.select(F.col("doc_id").alias("own_id"), "text_key", "spans"), ["own_id", "text_key"], "left")
 

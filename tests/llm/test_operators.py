@@ -195,6 +195,30 @@ def test_repeats(docs, empty, length):
     assert suffix_dedup.remove_repeats(empty).collect() == []
 
 
+def test_repeats_of_hot_anchors(spark, docs):
+    """Different ends of one passage are dealt by window: no bucket gets them all, and the result is the same."""
+    import numpy as np
+
+    rng = random.Random(4)
+    passage = prose(rng, 20)
+    texts = [f"{prose(rng, 12)} {passage} {prose(rng, 12)}".encode() for _ in range(200)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    found = suffix_dedup.anchors(data, offsets, 50)
+    names, different = np.unique(np.unique(np.stack([found[3], found[4]]), axis=1)[0], return_counts=True)
+    assert different.max() > 100
+    hot = np.zeros(1 << 16, bool)
+    hot[(names[different > 8] & np.uint64(len(hot) - 1)).astype(np.int64)] = True
+    parts = suffix_dedup.split(found, suffix_dedup.prefix_hash(data), 50, hot)
+    assert np.unique(np.unique(np.stack([parts[3], parts[4]]), axis=1)[0], return_counts=True)[1].max() <= 8
+    covered = lambda f: sorted((int(t), int(s) + k) for t, s, n in zip(*f[:3], strict=True) for k in range(int(n)))
+    assert covered(parts) == covered(found)
+    rows = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    key = lambda r: (r.doc_id, bytes(r.kept), r.removed)
+    for table in (rows, docs.select("doc_id", "text")):
+        plain, cut = (sorted(map(key, suffix_dedup.remove_repeats(table, filter_bits=1 << 16, hot_pieces=h).collect())) for h in (1 << 40, 4))
+        assert plain == cut and any(r[2] for r in cut)
+
+
 def test_bpe(docs, empty):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
