@@ -57,15 +57,18 @@ def least(values: np.ndarray) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Numbers as byte planes: the small ones in one byte, the others, marked by 255, in three more (so below 2^24)."""
+    """Numbers as byte planes: the small ones in one byte, the others, marked by 255, in three more, or in four if they need it."""
     big = (values[values >= 255] - 255).astype("<u4").view(np.uint8).reshape(-1, 4)
-    return np.minimum(values, 255).astype(np.uint8), big[:, 0], big[:, 1], big[:, 2]
+    if len(values) and int(values.max()) - 255 >= 1 << 32:
+        raise ValueError("a number of more than four bytes")
+    return np.minimum(values, 255).astype(np.uint8), *(big[:, k] for k in range(4 if big[:, 3].any() else 3))
 
 
 def from_planes(arrays) -> np.ndarray:
     small, *big = arrays
-    out = small.astype(np.int32)
-    out[small == 255] += sum(b.astype(np.int32) << (8 * k) for k, b in enumerate(big))
+    kind = np.int32 if len(big) < 4 else np.int64
+    out = small.astype(kind)
+    out[small == 255] += sum(b.astype(kind) << (8 * k) for k, b in enumerate(big))
     return out
 
 

@@ -31,8 +31,18 @@ HOT_PIECES, HOT_SLOTS = 4096, 1 << 22
 SEPARATOR = 0xFF
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Pieces of the texts: text, start, number of windows, anchor hash and content hash of each."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = 1 << 28):
+    """Pieces of the texts: text, start, number of windows, anchor hash and content hash of each.
+
+    Positions have 28 bits, so more than ``limit`` bytes are taken in parts, which overlap by less than a window.
+    """
+    if len(data) > limit:
+        parts = []
+        for at in range(0, len(data) - length + 1, limit - length + 1):
+            part = data[at : at + limit]
+            text, starts, *more = anchors(part, np.clip(offsets - at, 0, len(part)), length, limit)
+            parts.append((text, starts + at, *more))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     none = np.zeros(0, np.int64)
     k = max(1, min(24, length // 2))
     width = length - k + 1  # k-grams in a window

@@ -219,6 +219,23 @@ def test_repeats_of_hot_anchors(spark, docs):
         assert plain == cut and any(r[2] for r in cut)
 
 
+def test_long_texts():
+    """Word numbers over 2^24 keep all bytes, and texts with more positions than fit have the same anchors in parts."""
+    import numpy as np
+
+    from placeledger.llm import blocks
+
+    for top in (10, 1 << 20, (1 << 24) + 254, (1 << 24) + 255, (1 << 31) + 7):
+        values = np.array([0, 254, 255, 256, top, 3])
+        assert blocks.from_planes(blocks.planes(values)).tolist() == values.tolist()
+    rng = random.Random(8)
+    texts = [prose(rng, n).encode() for n in (200, 3, 500, 0, 90)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    window = lambda f: sorted((int(t), int(s) + k, int(h)) for t, s, n, h, _ in zip(*f, strict=True) for k in range(int(n)))
+    whole = window(suffix_dedup.anchors(data, offsets, 50))
+    assert all(window(suffix_dedup.anchors(data, offsets, 50, limit)) == whole for limit in (64, 333, 1000)) and len(whole) > 1000
+
+
 def test_bpe(docs, empty):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
