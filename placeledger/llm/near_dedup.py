@@ -312,7 +312,7 @@ def near_groups(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
 def drop_near_copies(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """One row of each group of :func:`near_groups`, with all columns: that of the least doc_id.
 
-    Of several rows with that doc_id the one with the least text hash stays. Texts without words, which are linked with
+    Of several rows with words and that doc_id the one with the least text hash stays. Texts without words, which are linked with
     nothing, and rows without a doc_id all stay.
     """
     kept = near_groups(docs, percent, size).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
@@ -320,5 +320,6 @@ def drop_near_copies(docs: DataFrame, percent: int = 75, size: int = 5) -> DataF
         "own", F.col("own.doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("own.text").cast("string")).alias("own_key"))
     named = own.join(kept, F.col("own_id") == F.col("kept_id"), "left_semi")
     worded = F.regexp_like(F.coalesce(F.col("own.text").cast("string"), F.lit("")), F.lit("[^ \\t-\\r]"))
-    first = named.selectExpr("*", "row_number() OVER (PARTITION BY own_id ORDER BY own_key) AS turn").filter((F.col("turn") == 1) | ~worded)
+    # Rows without words take no turn, so they can't take the place of one with words.
+    first = named.withColumn("worded", worded).selectExpr("*", "row_number() OVER (PARTITION BY own_id, worded ORDER BY own_key) AS turn").filter("turn = 1 or not worded")
     return first.select("own.*").union(own.filter("own_id is null").select("own.*"))

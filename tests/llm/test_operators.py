@@ -111,6 +111,13 @@ def test_near_groups(spark, docs, empty):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_dedup.near_groups(nothing).collect()) == [("4", 3, "None"), ("None", 0, "None"), ("None", 3, "None")]
 
 
+def test_rows_without_words_displace_none(spark):
+    texts = ["one two three", "four five six", "seven eight", "nine ten eleven"]
+    rows = [(i, t) for i, t in enumerate(texts) for t in (t, " ", "", None, "\n\n")]
+    kept = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    same([tuple(r) for r in kept.collect()], rows)
+
+
 def test_unlike_sets_of_a_bucket(spark):
     """Texts that share a long passage but are not similar do not meet; no task gets more than two blocks of the others."""
     rng = random.Random(2)
