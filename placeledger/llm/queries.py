@@ -122,7 +122,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placeledger.session import checkpoint_dir
 
     path = f"{checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4()}"
-    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -198,3 +198,98 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeledger.llm.repair import damage, repair, with_all
+
+    turns = table(spark, sf_dir, "conversations")
+    return with_all(*repair(damage(turns)), turns)
+
+
+CHECKS["op11_conversation_repair"] = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), cased AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))
+  ), 4294967295::UBIGINT) % 20 AS c FROM given
+), damaged AS (
+  SELECT conv_id, turn, CASE c WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE c WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM cased WHERE c <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last_char, left(role, 1) AS letter
+  FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN last_char = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+    WHEN last_char NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    coalesce(lag(letter) OVER (PARTITION BY conv_id ORDER BY i) || letter NOT IN ('su', 'ua', 'au'), false) AS odd_pair
+  FROM ordered
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+    count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE odd_pair) AS illegal, any_value(n) AS n
+  FROM faulty GROUP BY conv_id
+), steps AS ( -- states: 0 nothing, 1 system, 2 user, 3 assistant
+  SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS t(f, letter, t)
+), inserts AS (
+  SELECT f, 0 AS cost, '' AS done, f AS t FROM (VALUES (0), (1), (2), (3)) AS v(f)
+  UNION ALL SELECT f, 2, 'I', t FROM steps WHERE letter <> 's'
+  UNION ALL SELECT a.f, 4, 'II', b.t FROM steps a JOIN steps b ON a.t = b.f WHERE a.letter <> 's' AND b.letter <> 's'
+), ways AS (
+  SELECT conv_id, 0 AS i, 0 AS q, {'cost': 0, 'audit': ''} AS best, n FROM counted
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, m.t, min({'cost': w.best.cost + m.cost, 'audit': w.best.audit || m.done}), any_value(w.n)
+  FROM ways w
+  LEFT JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+  JOIN (
+    SELECT x.f, x.cost + 3 AS cost, x.done || 'D' AS done, x.t, NULL AS letter, 1 AS kind FROM inserts x
+    UNION ALL SELECT x.f, x.cost, x.done || 'K', y.t, y.letter, 2 FROM inserts x JOIN steps y ON x.t = y.f
+    UNION ALL SELECT x.f, x.cost + 2, x.done || 'R', y.t, NULL, 3 FROM inserts x JOIN steps y ON x.t = y.f AND y.letter <> 's'
+    UNION ALL SELECT x.f, x.cost + 1, x.done || 'K', y.t, y.letter, 4 FROM inserts x JOIN steps y ON x.t = y.f
+    UNION ALL SELECT x.f, x.cost + 3, x.done || 'R', y.t, NULL, 5 FROM inserts x JOIN steps y ON x.t = y.f AND y.letter <> 's'
+    UNION ALL SELECT x.f, x.cost, x.done, x.t, NULL, 6 FROM inserts x
+  ) m ON m.f = w.q AND CASE WHEN w.i = w.n THEN m.kind = 6 AND m.t IN (0, 3) WHEN m.kind = 1 THEN true WHEN r.fault IN (1, 2) THEN false
+    WHEN r.fault = 0 THEN m.kind = 3 OR (m.kind = 2 AND m.letter = r.letter) ELSE m.kind = 5 OR (m.kind = 4 AND m.letter = r.letter) END
+  WHERE w.i <= w.n
+  GROUP BY w.conv_id, w.i, m.t
+), solved AS (
+  SELECT conv_id, min(best) AS best FROM ways WHERE i = n + 1 GROUP BY conv_id
+), spelled AS (
+  SELECT conv_id, k, substr(best.audit, k, 1) AS edit, k - length(replace(left(best.audit, k), 'I', '')) AS skipped,
+    length(replace(left(best.audit, k), 'D', '')) - 1 - length(replace(best.audit, 'D', '')) % 2 AS place
+  FROM (SELECT *, unnest(range(1, length(best.audit) + 1)) AS k FROM solved)
+), repaired AS (
+  SELECT s.conv_id, sha256(string_agg(
+    CASE WHEN s.edit = 'K' THEN r.role WHEN s.place % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN s.edit = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY s.k
+  )) AS digest
+  FROM spelled s LEFT JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND s.edit <> 'I' AND r.i = s.k - s.skipped
+  WHERE s.edit <> 'D' GROUP BY s.conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v.best.cost, 0)::BIGINT AS cost,
+  coalesce(v.best.audit, '') AS audit, coalesce(d.digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN solved v ON v.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN repaired d ON d.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from placeledger.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024).drop("ids")
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placeledger.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), keep=8)

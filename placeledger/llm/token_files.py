@@ -7,15 +7,14 @@ and for each part the ids before it: prefix sums of the parts' sizes.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
-import struct
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +24,8 @@ from placeledger.llm.bpe import GAPS
 from placeledger.llm.texts import slices
 
 NULL_ID = -(1 << 63)
-#: Pre-tokens, and parts between single spaces, whose ids a worker keeps.
-KNOWN_WORDS, KNOWN_PARTS = 1 << 20, 1 << 19
+#: Parts between single spaces whose ids a worker keeps.
+KNOWN_PARTS = 1 << 19
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
 BLOCK_BYTES = 8 << 20
 #: Ids that a reader hands on at once.
@@ -38,54 +37,51 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _encoder(tokenizer_json: str, pattern: str, width: str):
-    """Many texts to packed ids. Pre-tokens are encoded apart, each once while the worker remembers it.
+def encoder(tokenizer_json: str, width: str):
+    """Many texts to packed ids. Each distinct part of the texts is encoded once while the worker remembers it.
 
-    A text is first cut at single spaces between words, which no pre-token crosses; known parts are reused as well. The
-    parts are numbered and their ids put in order by Arrow.
+    A text is cut at single spaces between words, which no pre-token crosses (a text with other white space around them is
+    cut at :data:`GAPS`). The parts are numbered and their ids put in order by Arrow.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
     from tokenizers import Tokenizer
 
-    tokenizer, find = Tokenizer.from_str(tokenizer_json), regex.compile(pattern).findall
+    tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     letter = "H" if width == "<u2" else "I"
-    words, inner = _KNOWN.setdefault(hash((tokenizer_json, pattern, width)), ({}, {}))
+    known = _KNOWN.setdefault(hash((tokenizer_json, width)), {})
 
     def learn(parts: set[str]) -> None:
-        if len(words) > KNOWN_WORDS:
-            words.clear()
         # set.difference(dict) costs by the set; a set less the keys of a dict costs by the dict.
-        new = list(parts.difference(inner))
-        found = list(map(find, new))
-        unknown = list(set(chain.from_iterable(found)).difference(words))
-        for w, coded in zip(unknown, tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            ids = coded.ids
-            words[w] = struct.pack(f"<{len(ids)}{letter}", *ids)
-        get = words.__getitem__
-        inner.update(zip(new, [b"".join(map(get, ws)) for ws in found], strict=True))
+        new = list(parts.difference(known))
+        gc.disable()  # a million short-lived lists, none in a cycle
+        known.update(zip(new, [array(letter, c.ids).tobytes() for c in tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+        gc.enable()
 
     def encode(texts: pa.Array) -> tuple[memoryview, np.ndarray]:
         """The bytes of the ids, and where those of each text begin and end."""
-        if len(inner) > KNOWN_PARTS:
-            inner.clear()
+        if len(known) > KNOWN_PARTS:
+            known.clear()
         texts = texts.fill_null("")
         split = pc.split_pattern(texts, " ")
         edges = np.asarray(split.offsets).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        parts, number = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-        loose = np.array([p == "" or p[0].isspace() or p[-1].isspace() for p in parts])[number]
+        parts, number = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+        loose = np.asarray(pc.or_(pc.equal(parts, ""), pc.not_equal(pc.utf8_trim_whitespace(parts), parts)))[number]
         # A text with white space other than single spaces is put together in one piece; in others, only the head is apart.
         loose_text = np.add.reduceat(loose.astype(np.int64), edges[:-1]) > 0
-        own = [GAPS.split(t.as_py()) if odd else [parts[number[e]]] for t, e, odd in zip(texts, edges.tolist(), loose_text.tolist())]
+        own = [[head] for head in parts.take(pa.array(number[edges[:-1]])).to_pylist()]
+        for i in np.flatnonzero(loose_text).tolist():
+            own[i] = GAPS.split(texts[i].as_py())
         head = np.zeros(len(number), dtype=bool)
         head[edges[:-1]] = True
         rest = ~head & ~np.repeat(loose_text, np.diff(edges))
-        used, place = np.unique(number[rest], return_inverse=True)
-        after = [" " + parts[i] for i in used.tolist()]
+        used = np.zeros(len(parts), dtype=bool)
+        used[number[rest]] = True
+        after = pc.binary_join_element_wise(pa.scalar(""), parts.filter(pa.array(used)), " ").to_pylist()
         learn({*after, *(p for some in own for p in some)})
-        pieces = pa.array([inner[p] for p in after] + [b"".join(map(inner.__getitem__, some)) for some in own], pa.large_binary())
-        number[rest] = place
+        pieces = pa.array([known[p] for p in after] + [b"".join(map(known.__getitem__, some)) for some in own], pa.large_binary())
+        number = (np.cumsum(used) - 1)[number]
         number[head] = len(after) + np.arange(len(own))
         keep = rest | head
         out = pieces.take(pa.array(number[keep]))
@@ -96,11 +92,11 @@ def _encoder(tokenizer_json: str, pattern: str, width: str):
     return encode
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
     """Encode every whole text, add ``end_id`` to each, and write the ids in ascending order of doc_id under ``path``.
 
-    ``pattern`` finds the pre-tokens of the tokenizer, whose ids do not depend on what stands around them.
-    A null text is empty. Null ids come first; rows of one id are ordered by a hash of the text, and equal rows all stay.
+    The tokenizer is a byte-level one whose pre-tokens do not cross a space that a word follows. Strings of special tokens in
+    a text are ordinary text. A null text is empty. Null ids come first; rows of one id are ordered by a hash of the text, and equal rows all stay.
     ``path`` must be reachable by all executors. A part is written under a name of its attempt and then renamed, so a task
     that is run again leaves whole files.
     """
@@ -117,7 +113,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, pattern:
     store.create_dir(root, recursive=True)
 
     def write(batches):
-        encode, context = _encoder(source.value, pattern, width), TaskContext.get()
+        encode, context = encoder(source.value, width), TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         store, root = _open(path)
         name = f"{root}/part-{part:05d}"

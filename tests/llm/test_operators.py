@@ -259,7 +259,7 @@ def test_token_files(spark, docs, empty):
     tokenizer.encode_special_tokens = True
     for table, rows in ((docs, ROWS), (empty, [])):
         path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4()}"
-        token_files.write_token_files(table, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2)
+        token_files.write_token_files(table, path, public_tokenizers.path("byte_bpe_50k.json"), 2)
         got = sorted(token_files.read_token_files(spark, path).collect())
         want, start = [], 0
         for r in sorted(rows, key=lambda r: r[0]):
