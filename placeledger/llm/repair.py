@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeledger.session import cut
@@ -193,7 +193,7 @@ def row_codes(ordered: DataFrame) -> DataFrame:
 
 
 STRETCH = (
-    "conv_id long, row_id long, n long, least long, most long, first_turn long, last_turn long, turns long, blank long, duplicate long, "
+    "conv_id long, row_id long, whole boolean, n long, least long, most long, first_turn long, last_turn long, turns long, blank long, duplicate long, "
     "truncated long, illegal long, first string, last string, entries array<int>, exits array<int>, costs array<long>, audits array<string>"
 )
 
@@ -231,7 +231,7 @@ class _Stretch:
             ways = through(bytes(self.codes))
         keys = sorted(ways)
         return dict(
-            conv_id=self.conv, row_id=self.row_id, n=len(self.codes), least=self.least, most=self.most, first_turn=self.first_turn,
+            conv_id=self.conv, row_id=self.row_id, whole=self.whole, n=len(self.codes), least=self.least, most=self.most, first_turn=self.first_turn,
             last_turn=self.last_turn, turns=self.turns, blank=self.faults[1], duplicate=self.faults[2], truncated=self.faults[3],
             illegal=self.illegal, first=self.first, last=self.last, entries=[p for p, _ in keys], exits=[q for _, q in keys],
             costs=[ways[k][0] for k in keys], audits=[ways[k][1] for k in keys],
@@ -239,7 +239,7 @@ class _Stretch:
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()),
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32()),
              "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
@@ -284,8 +284,9 @@ PLAN = (
 def plans(found: DataFrame) -> DataFrame:
     """One row per conversation with rows: its counts, cost and audit, and the audit again by stretch.
 
-    A stretch k has its first row in ``row_ids``, the number of repaired rows before it in ``places``, and its edits in
-    ``audits``. What one group holds is a row for each part that the conversation lies in, with a letter for each edit and pair of states.
+    ``found`` (read twice) are all stretches. A stretch k has its first row in ``row_ids``, the number of repaired rows before it in
+    ``places``, and its edits in ``audits``. Only conversations that reach over a task's end are put together, at most two for each
+    task; what one group holds is a row for each part that the conversation lies in, with a letter for each edit and pair of states.
     """
     schema = _arrow(PLAN)
 
@@ -312,7 +313,13 @@ def plans(found: DataFrame) -> DataFrame:
             audits=[audit[a:b] for a, b in zip(edges, edges[1:], strict=False)],
         )], schema=schema)
 
-    return found.groupBy("conv_id").applyInArrow(combine, PLAN)
+    audit = F.col("audits")[0]
+    alone = found.filter("whole").select(
+        "conv_id", F.coalesce(F.col("most") - F.col("least") + 1 - F.col("turns"), F.lit(0)).cast("long").alias("gaps"), "blank", "duplicate",
+        "truncated", "illegal", F.col("costs")[0].alias("cost"), audit.alias("audit"), F.array("row_id").alias("row_ids"),
+        F.array(F.lit(0).cast("long")).alias("places"), F.array(audit).alias("audits"),
+    )
+    return alone.unionByName(found.filter("not whole").groupBy("conv_id").applyInArrow(combine, PLAN))
 
 
 EDITS = "conv_id long, place long, row_id long, edit string, new_role string"
@@ -355,7 +362,7 @@ def repair(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     Other columns are not read. An empty table gives no rows.
     """
     ordered = in_order(turns)
-    planned = cut(plans(stretches(row_codes(ordered))))
+    planned = cut(plans(cut(stretches(row_codes(ordered)))))
     made = edits(planned).join(ordered.select("row_id", "role", "text"), "row_id", "left")
     rows = made.select(
         "conv_id", "place", "edit", F.coalesce("new_role", "role").alias("role"), F.coalesce("text", F.lit("")).alias("text"),
