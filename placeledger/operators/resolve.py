@@ -8,16 +8,24 @@ itself. Here that is done with joins:
   and a key that very many rows share costs no pairs.
 * The fuzzy tier compares distinct names inside a block (grid cell or ZIP). Names meet only if they share two of their
   rarest characters, which every pair above the threshold must (prefix filtering); no block is compared all with all.
-* Matches against the given stores are found once. Stores that the batch itself adds or completes depend on earlier
-  candidates, so that part is repeated until no candidate changes. A candidate depends only on earlier ones, so the
-  stable state is the sequential result; usually two or three rounds reach it.
+* Matches against the given stores are found once. What is left depends on the batch itself: stores that candidates become, and
+  ids and positions that they bring to stores. Candidates that could meet in such a way are linked, and each connected
+  component is settled on its own, in turn, within a task; the others are settled at once. A chain of candidates costs as many
+  rounds as the logarithm of its length, those of the components.
+* Components of more than ``SETTLE_ROWS`` rows (a name and ZIP that a third of the batch share, say) are settled by joins in rounds:
+  a candidate depends only on earlier ones, so the state that no longer changes is the sequential result.
+* Positions that a store gets can bring it near candidates of other components. Such pairs are looked for afterwards; their
+  components are put together and settled again until there are none.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +33,14 @@ from pyspark.sql import types as T
 from placeledger import catalogs as cat
 from placeledger.functions import geo
 from placeledger.functions import text as tx
-from placeledger.session import cut
-
-ALWAYS = -1
-NEVER = 2**62
+from placeledger.operators.graph import components
+from placeledger.session import cut, scratch
+
+# Before and after every turn.
+ALWAYS = -(2**63)
+NEVER = 2**63 - 1
+# Rows of a component that one task settles in turn.
+SETTLE_ROWS = 2000
 # Tier numbers order the matches; names and confidence are what callers see.
 TIERS = {0: ("external_ref", 1.0), 1: ("google_place_id", 1.0), 2: ("wpn_id", 1.0), 3: ("name_zip", 0.95), 4: ("address", 0.90)}
 FUZZY = 5
@@ -390,16 +402,205 @@ def _by_external_id(c: DataFrame, h: DataFrame, refs: DataFrame | None) -> tuple
     return by_ref, cut(follows)
 
 
+# --- the batch by components ---------------------------------------------------------------------------------
+
+def _node(kind: str, *columns) -> Column:
+    """A number for a node. Equal numbers of different nodes would only put two components together."""
+    return F.xxhash64(F.lit(kind), *columns)
+
+
+def _links(c: DataFrame, free: DataFrame, h: DataFrame, static: DataFrame, unsure: DataFrame, by_ref: DataFrame | None,
+           follows: DataFrame | None, threshold: int) -> DataFrame:
+    """(a, b): candidates, stores and keys through which one candidate's outcome can bear on another's."""
+    own = _node("candidate", "cid")
+    tiers = static.select("cid", F.col("tier").alias("s_tier"))
+    known = free.join(tiers, "cid", "left")
+    loose = known.filter(F.col("s_tier").isNull())
+
+    # Ids travel with every candidate. A group whose members all match the given holder of the id needs no care.
+    ids = c.join(known.select("cid", "s_tier", F.lit(True).alias("free")), "cid", "left").select(
+        "cid", (F.col("free") & F.col("s_tier").isNotNull()).alias("sure"), "s_tier", _exact_keys((1, 2)).alias("k")
+    ).select("cid", "k.tier", "k.key", (F.col("sure") & (F.col("s_tier") == F.col("k.tier"))).alias("held"))
+    open_ids = ids.groupBy("tier", "key").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("held", F.lit(False))).alias("held"))
+    id_links = ids.drop("held").join(open_ids.filter("n > 1 and not held").select("tier", "key"), ["tier", "key"])
+
+    # Names and addresses count where one of the group may become a store.
+    keyed = known.select("cid", "s_tier", _exact_keys((3, 4)).alias("k")).select("cid", "s_tier", "k.tier", "k.key").filter(
+        F.col("s_tier").isNull() | (F.col("s_tier") > F.col("tier"))
+    )
+    open_keys = keyed.groupBy("tier", "key").agg(F.count("*").alias("n"), F.bool_or(F.col("s_tier").isNull()).alias("loose"))
+    key_links = keyed.select("cid", "tier", "key").join(open_keys.filter("n > 1 and loose").select("tier", "key"), ["tier", "key"])
+    links = [id_links.unionByName(key_links).select(own.alias("a"), _node("key", "tier", "key").alias("b"))]
+
+    # Similar names: those who look, and candidates that may become stores or stores that may get a position.
+    spots = F.array(_zip_block("zip:"), F.when(~_placed(), _zip_block("zip-unplaced:")), F.when(_placed(), F.col("cell")))
+    offered = loose.withColumn("cell", _own_cell(cat.PROXIMITY_MILES)).select(own.alias("node"), F.col("n_name").alias("name"), F.explode(spots).alias("block"))
+    waiting = h.filter(~_placed()).select(_node("store", "store").alias("node"), F.col("n_name").alias("name"), _zip_block("zip-unplaced:").alias("block"))
+    offers = cut(offered.unionByName(waiting).filter(F.col("name").isNotNull() & F.col("block").isNotNull()))
+    asks = unsure.select(own.alias("node"), "name", "block")
+    pairs = similar_names(asks.select("block", "name"), offers.select("block", "name"), threshold)
+    ends = lambda df, side: df.groupBy("block", F.col("name").alias(side)).agg(
+        F.min("node").alias(side + "_lo"), F.max("node").alias(side + "_hi"))
+    met = pairs.join(ends(asks, "l_name"), ["block", "l_name"]).join(ends(offers, "r_name"), ["block", "r_name"])
+    alone = (F.col("l_name_lo") == F.col("l_name_hi")) & (F.col("r_name_lo") == F.col("r_name_hi")) & (F.col("l_name_lo") == F.col("r_name_lo"))
+    met = cut(met.filter(~alone).select("block", "l_name", "r_name"))
+    links.append(met.select(_node("ask", "block", "l_name").alias("a"), _node("offer", "block", "r_name").alias("b")))
+    for rows, side, kind in ((asks, "l_name", "ask"), (offers, "r_name", "offer")):
+        there = met.select("block", F.col(side).alias("name")).distinct()
+        links.append(rows.join(there, ["block", "name"], "left_semi").select(F.col("node").alias("a"), _node(kind, "block", "name").alias("b")))
+
+    # A match that brings something to its store.
+    to_store = static.select("cid", "store") if by_ref is None else static.select("cid", "store").unionByName(by_ref)
+    given = [F.col("c." + f).isNotNull() if f in ("latitude", "longitude") else tx.present(F.col("c." + f)) for f in _FILLED]
+    lacks = [F.col("h." + f).isNull() if f in ("latitude", "longitude") else ~tx.present(F.col("h." + f)) for f in _FILLED]
+    brings = reduce(lambda x, y: x | y, [g & m for g, m in zip(given, lacks, strict=True)])
+    filling = to_store.join(c.alias("c"), "cid").join(h.alias("h"), "store").filter(brings)
+    links.append(filling.select(own.alias("a"), _node("store", "store").alias("b")))
+    if follows is not None:
+        links.append(follows.select(own.alias("a"), _node("candidate", "owner").alias("b")))
+    return reduce(DataFrame.unionByName, links)
+
+
+def _near(lat1, lng1, lat2, lng2, miles: float) -> bool:
+    """The distance test of :func:`geo.haversine_miles` for two positions."""
+    if not (abs(lat1) <= 90 and abs(lat2) <= 90 and abs(lng1) <= 180 and abs(lng2) <= 180):
+        return False
+    half = lambda x, y: math.sin(math.radians(y - x) / 2) ** 2
+    a = min(half(lat1, lat2) + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * half(lng1, lng2), 1.0)
+    return 2 * cat.EARTH_RADIUS_MILES * math.atan2(math.sqrt(a), math.sqrt(1 - a)) <= miles
+
+
+def _in_turn(rows: list[dict], threshold: int, miles: float) -> Iterator[tuple]:
+    """(cid, tier, store, score) of the candidates of one component; its stores come first, then the candidates by turn."""
+    holders, keys, went = [], {}, {}
+    share = _least_share(threshold)
+
+    def learn(s: dict) -> None:
+        for tier in TIERS:
+            key = s.get(f"k{tier}")
+            if key is not None and ((tier, key) not in keys or s["ord"] < keys[tier, key]["ord"]):
+                keys[tier, key] = s
+
+    def similar(r: dict, before) -> tuple | None:
+        found = None
+        for s in holders:
+            if s["n_name"] is None or (before is not None and s["ord"] >= before) or (found and s["ord"] >= found[0]):
+                continue
+            if None not in (r["latitude"], r["longitude"], s["latitude"], s["longitude"]):
+                if not _near(r["latitude"], r["longitude"], s["latitude"], s["longitude"], miles):
+                    continue
+            elif r["n_zip"] is None or r["n_zip"] != s["n_zip"]:
+                continue
+            a, b = len(r["n_name"]), len(s["n_name"])
+            if a + b and min(a, b) <= share * (a + b) and r["n_name"] != s["n_name"]:
+                continue
+            score = indel_ratio(r["n_name"], s["n_name"])
+            if score >= threshold:
+                found = (s["ord"], s, score)
+        return found
+
+    for r in rows:
+        if r["cid"] is None:
+            r["ord"] = (0, r["at"] is not None, r["at"] or 0, r["store"])
+            holders.append(r)
+            learn(r)
+            continue
+        if r["ref"] is not None:
+            match = (0, None, r["ref"], None)
+        elif r["owner"] is not None:
+            match = (0, None, went[r["owner"]], None)
+        else:
+            best = r["s_tier"], (0, r["at"] is not None, r["at"] or 0, r["s_store"]), r["s_store"], r["s_score"]
+            match = best if r["s_tier"] is not None else None
+            for tier in TIERS:
+                s = keys.get((tier, r[f"k{tier}"])) if tier and r[f"k{tier}"] is not None else None
+                if s is not None and (match is None or (tier, s["ord"]) < match[:2]):
+                    match = (tier, s["ord"], s["store"], None)
+                    break
+            if r["n_name"] is not None and (match is None or match[0] == FUZZY):
+                found = similar(r, match[1] if match else None)
+                match = (FUZZY, found[0], found[1]["store"], found[2]) if found else match
+        if match is None:
+            s = r | {"store": r["new_id"], "ord": (1, True, r["seq"], r["new_id"])}
+            holders.append(s)
+            learn(s)
+            match = (None, None, s["store"], None)
+        else:
+            s = next((s for s in holders if s["store"] == match[2]), None)
+            if s is not None:  # a store that isn't here has no gap that this component could fill
+                for f in ("latitude", "longitude", "k1", "k2"):
+                    if s[f] is None:
+                        s[f] = r[f]
+                learn(s)
+        went[r["cid"]] = match[2]
+        yield r["cid"], match[0], match[2], match[3]
+
+
+_DECIDED = "cid string, tier int, store string, score int"
+
+
+def _settled(rows: DataFrame, threshold: int, miles: float) -> DataFrame:
+    """Settle each component of ``rows`` (with ``comp``) in turn. A task holds one component of :data:`SETTLE_ROWS` rows at most."""
+    names = rows.columns
+
+    def work(batches):
+        comp, held, out = None, [], []
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = dict(zip(names, values, strict=True))
+                if row["comp"] != comp:
+                    out += _in_turn(held, threshold, miles)
+                    comp, held = row["comp"], []
+                held.append(row)
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
+                out = []
+        out += _in_turn(held, threshold, miles)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
+
+    kinds, columns = (pa.string(), pa.int32(), pa.string(), pa.int32()), ["cid", "tier", "store", "score"]
+    ordered = rows.repartition(F.col("comp")).sortWithinPartitions("comp", F.col("cid").isNotNull(), "seq")
+    return ordered.mapInArrow(work, _DECIDED)
+
+
+def _component_rows(c: DataFrame, h: DataFrame, static: DataFrame, by_ref: DataFrame | None, follows: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """What settling needs of candidates and of stores, in the same columns."""
+    keys = {f"k{t}": k["key"] for t, k in {
+        1: _key(1, F.col("google_place_id")), 2: _key(2, F.col("wpn_id")), 3: _key(3, F.col("n_name"), F.col("n_zip")),
+        4: _key(4, F.col("n_street"), F.col("n_city"), F.col("n_state")),
+    }.items()}
+    shared = ["n_name", "n_zip", "latitude", "longitude", *keys]
+    none = lambda kind: F.lit(None).cast(kind)
+    best = static.select("cid", F.col("tier").alias("s_tier"), F.col("ord.at").alias("at"), F.col("store").alias("s_store"), F.col("score").alias("s_score"))
+    ref = by_ref.select("cid", F.col("store").alias("ref")) if by_ref is not None else c.limit(0).select("cid", none("string").alias("ref"))
+    owner = follows if follows is not None else c.limit(0).select("cid", none("string").alias("owner"))
+    cands = c.withColumns(keys).join(best, "cid", "left").join(ref, "cid", "left").join(owner, "cid", "left").select(
+        "cid", "seq", none("string").alias("store"), "at", *shared, "s_tier", "s_store", "s_score", "ref", "owner", new_store_id(F.col("cid")).alias("new_id")
+    )
+    stores = h.withColumns(keys).select(
+        none("string").alias("cid"), none("bigint").alias("seq"), "store", F.col("ord.at").alias("at"), *shared, none("int").alias("s_tier"),
+        none("string").alias("s_store"), none("int").alias("s_score"), none("string").alias("ref"), none("string").alias("owner"), none("string").alias("new_id"),
+    )
+    return cands, stores
+
+
 def resolve_candidates(
     cands: DataFrame, stores: DataFrame, refs: DataFrame | None = None, threshold: int = cat.FUZZY_NAME_THRESHOLD,
-    miles: float = cat.PROXIMITY_MILES, max_rounds: int | None = None,
+    miles: float = cat.PROXIMITY_MILES, max_rounds: int | None = None, settle_rows: int = SETTLE_ROWS,
 ) -> DataFrame:
     """One row per candidate: (candidate_id, store_id, tier, confidence, needs_review, is_new).
 
     ``cands`` has candidate_id, seq (turn, unique), name, street, city, state, zip_code, latitude, longitude, wpn_id,
     google_place_id, and optionally provider and external_id. Candidates without a match get the id of the store they
-    become. ``max_rounds`` only guards callers that want an error instead of a long run; the result is never cut.
+    become. ``max_rounds`` only guards callers that want an error instead of a long run; the result is never cut. The tables that
+    the run writes are removed at its end, but the result.
     """
+    with scratch(cands.sparkSession) as own:
+        return own.keep(cut(_resolve(own, cands, stores, refs, threshold, miles, max_rounds, settle_rows)))
+
+
+def _resolve(own, cands, stores, refs, threshold, miles, max_rounds, settle_rows) -> DataFrame:
     identified = "external_id" in cands.columns
     c = cut(_candidates(cands))
     h = cut(_holders(stores))
@@ -416,11 +617,71 @@ def resolve_candidates(
     fuzzy = _best(_fuzzy_matches(unsure, _fuzzy_offers(h, miles, ("zip", "cell")), threshold, miles))
     static = cut(exact.unionByName(fuzzy))
 
+    # Components of candidates that can bear on each other; a candidate without links is one of its own.
+    linked = components(_links(c, free, h, static, unsure, by_ref, follows, threshold))
+    comp_of = cut(c.select("cid", _node("candidate", "cid").alias("node")).join(linked, "node", "left").select(
+        "cid", F.coalesce("component", "node").alias("comp")))
+    stores_in = cut(h.select("store", _node("store", "store").alias("node")).join(linked, "node").select("store", F.col("component").alias("comp")))
+    cand_rows, store_rows = _component_rows(c, h, static, by_ref, follows)
+    cand_rows = cut(cand_rows)
+
+    def settle(members: DataFrame, stores_of: DataFrame) -> DataFrame:
+        """Decide all candidates of ``members`` (cid, comp)."""
+        sizes = members.groupBy("comp").count().unionByName(stores_of.groupBy("comp").count()).groupBy("comp").agg(F.sum("count").alias("n"))
+        small_ones = sizes.filter(F.col("n") <= settle_rows).select("comp")
+        rows = cand_rows.join(members, "cid").unionByName(store_rows.join(stores_of, "store"))
+        done = cut(_settled(rows.join(small_ones, "comp", "left_semi"), threshold, miles))
+        rest = members.join(small_ones, "comp", "left_anti").select("cid")
+        if rest.isEmpty():
+            return done
+        mine = cut(rest)
+        some = lambda df: df if df is None else cut(df.join(mine, "cid", "left_semi"))
+        rounds = _in_rounds(own, some(c), h, some(free), some(by_ref), some(follows), some(exact), some(unsure), some(static), threshold, miles, max_rounds)
+        return cut(done.unionByName(rounds))
+
+    decided = settle(comp_of, stores_in)
+    while True:
+        # Stores that got a position, near candidates of other components.
+        order = F.struct(F.lit(1).alias("kind"), F.col("seq").alias("at"), F.col("store").alias("id"))
+        leaders = free.join(decided.filter(F.col("tier").isNull()).select("cid", "store"), "cid").select(
+            "cid", "store", order.alias("ord"), F.col("seq").alias("born"), *_NAMES, "latitude", "longitude", "wpn_id", "google_place_id"
+        )
+        every = h.unionByName(leaders.drop("cid"))
+        moved = cut(_with_fills(every, _fills(decided.filter(F.col("tier").isNotNull()), c)).filter(F.col("placed_at").isNotNull()))
+        homes = stores_in.unionByName(leaders.select("cid", "store").join(comp_of, "cid").select("store", "comp"))
+        # Pairs of one component are settled already; names of one block are paired only for what is left.
+        near = _fuzzy_matches(unsure, _filled_offers(moved, miles).filter(F.col("block").startswith("cell:")), threshold, miles)
+        across = near.select("cid", "store").join(comp_of, "cid").join(homes.withColumnRenamed("comp", "home"), "store").filter("comp <> home")
+        met = cut(across.select(F.col("comp").alias("a"), F.col("home").alias("b")).distinct())
+        own.drop(moved)
+        if met.isEmpty():
+            break
+        joined = components(met).select(F.col("node").alias("comp"), F.col("component").alias("to"))
+        old = comp_of, stores_in, decided
+        relabel = lambda df, key: cut(df.join(joined, "comp", "left").select(
+            key, F.coalesce("to", "comp").alias("comp"), F.col("to").isNotNull().alias("again")))
+        comp_again, stores_again = relabel(comp_of, "cid"), relabel(stores_in, "store")
+        again = comp_again.filter("again").select("cid", "comp")
+        redone = settle(again, stores_again.filter("again").select("store", "comp"))
+        decided = cut(decided.join(again, "cid", "left_anti").unionByName(redone))
+        comp_of, stores_in = cut(comp_again.select("cid", "comp")), cut(stores_again.select("store", "comp"))
+        own.drop(*old, comp_again, stores_again, redone, met)
+    out = _public(decided.filter(F.col("tier").isNotNull())).withColumn("is_new", F.lit(False))
+    made = decided.filter(F.col("tier").isNull()).select(
+        F.col("cid").alias("candidate_id"), F.col("store").alias("store_id"), F.lit("new").alias("tier"),
+        F.lit(0.0).alias("confidence"), F.lit(False).alias("needs_review"), F.lit(True).alias("is_new"),
+    )
+    return out.unionByName(made)
+
+
+def _in_rounds(own, c, h, free, by_ref, follows, exact, unsure, static, threshold, miles, max_rounds) -> DataFrame:
+    """(cid, tier, store, score) of components that no task should hold: all at once by joins, until nothing changes."""
+
     def everyone(best: DataFrame) -> DataFrame:
         """(cid, tier, store) of all matched candidates and of those that became stores (tier null)."""
         made = free.join(best, "cid", "left_anti").select("cid", F.lit(None).cast("int").alias("tier"), new_store_id(F.col("cid")).alias("store"))
         decided = best.select("cid", "tier", "store").unionByName(made)
-        if not identified:
+        if by_ref is None:
             return decided
         decided = decided.unionByName(by_ref.select("cid", F.lit(0).alias("tier"), "store"))
         followers = follows.join(decided.select(F.col("cid").alias("owner"), "store"), "owner").select(
@@ -459,20 +720,16 @@ def resolve_candidates(
         before, decided = decided, cut(everyone(best))
         old_filled = filled
         leaders, holders, filled = holders_of(decided)
+        superseded = [before, old_filled, exact_now]
         # Another round would see the same unless a store was added, a store that someone matched is gone, or a fill
         # changed. Stores that are gone and that nobody matched cannot change a match.
         old, new = (x.filter(F.col("tier").isNull()).select("store") for x in (before, decided))
         gone, added = old.join(new, "store", "left_anti"), new.join(old, "store", "left_anti")
         missed = decided.filter(F.col("tier").isNotNull()).join(gone, "store", "left_semi")
-        if added.isEmpty() and missed.isEmpty() and _same_fills(old_filled, filled):
+        stable = added.isEmpty() and missed.isEmpty() and _same_fills(old_filled, filled)
+        own.drop(*superseded)
+        if stable:
             break
         if max_rounds is not None and number >= max_rounds:
             raise RuntimeError(f"no stable result after {number} rounds")
-    scores = best.select("cid", "score")
-    full = decided.join(scores, "cid", "left")
-    out = _public(full.filter(F.col("tier").isNotNull())).withColumn("is_new", F.lit(False))
-    made = full.filter(F.col("tier").isNull()).select(
-        F.col("cid").alias("candidate_id"), F.col("store").alias("store_id"), F.lit("new").alias("tier"),
-        F.lit(0.0).alias("confidence"), F.lit(False).alias("needs_review"), F.lit(True).alias("is_new"),
-    )
-    return out.unionByName(made)
+    return decided.join(best.select("cid", "score"), "cid", "left")

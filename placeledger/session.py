@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +55,56 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4()}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _open_scratch():
+        _open_scratch()[-1].tables[id(out)] = (out, path)
+    return out
+
+
+_LOCAL = threading.local()
+
+
+def _open_scratch() -> list[Scratch]:
+    if not hasattr(_LOCAL, "open"):
+        _LOCAL.open = []
+    return _LOCAL.open
+
+
+class Scratch:
+    """The tables that :func:`cut` wrote within a ``with scratch(...)`` block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: dict[int, tuple[DataFrame, str]] = {}
+
+    def drop(self, *superseded: DataFrame) -> None:
+        """Remove tables that nothing is read from any more."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for df in superseded:
+            _, path = self.tables.pop(id(df), (None, None))
+            if path:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Let a table outlive the block; an outer block then has to drop it."""
+        held = self.tables.pop(id(df), None)
+        outer = _open_scratch()[:-1]
+        if held and outer:
+            outer[-1].tables[id(df)] = held
+        return df
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Tables cut within the block are removed at its end, but those that are kept. Results must be cut and kept."""
+    own = Scratch(spark)
+    _open_scratch().append(own)
+    try:
+        yield own
+    finally:
+        _open_scratch().remove(own)
+        own.drop(*[df for df, _ in list(own.tables.values())])
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -124,22 +124,92 @@ def random_batch(rng, n_stores, n_cands):
     return stores, cands, refs
 
 
-@pytest.mark.parametrize("seed", [1, 3])
-def test_same_as_one_by_one(spark, seed):
+def frame(spark, rows, schema):
+    return spark.createDataFrame([tuple(r[f.split()[0]] for f in schema.split(",")) for r in rows], schema)
+
+
+def resolved(spark, cands, stores, refs=(), **options):
+    """candidate_id -> (store_id, tier, score), new stores named after their candidate."""
+    ref_frame = spark.createDataFrame([(p, e, s) for (p, e), s in refs], "provider string, external_id string, store_id string")
+    c = frame(spark, cands, CAND)
+    got = rs.resolve_candidates(c, frame(spark, stores, STORE), ref_frame, **options).collect()
+    ids = {r["i"]: "new:" + r["c"] for r in c.select(rs.new_store_id(F.col("candidate_id")).alias("i"), F.col("candidate_id").alias("c")).collect()}
+    return {r["candidate_id"]: (ids.get(r["store_id"], r["store_id"]), r["tier"],
+                                round(r["confidence"] * 100) if r["tier"] == "fuzzy" else None) for r in got}
+
+
+# Components of more than ``settle_rows`` rows are settled by joins; 0 sends all that way.
+@pytest.mark.parametrize(("seed", "size", "settle_rows"), [(1, 60, 2000), (8, 60, 2000), (3, 30, 0)])
+def test_same_as_one_by_one(spark, seed, size, settle_rows):
     rng = random.Random(seed)
-    stores, cands, refs = random_batch(rng, 14, 60)
+    stores, cands, refs = random_batch(rng, 14, size)
     want = one_by_one(cands, stores, refs)
-    frame = lambda rows, schema: spark.createDataFrame(
-        [tuple(r[f.split()[0]] for f in schema.split(",")) for r in rows], schema
-    )
-    ref_frame = spark.createDataFrame([(p, e, s) for (p, e), s in refs], "provider string, external_id string, store_id string")
-    got = rs.resolve_candidates(frame(cands, CAND), frame(stores, STORE), ref_frame)
-    ids = {r["i"]: "new:" + r["c"] for r in frame(cands, CAND).select(
-        rs.new_store_id(F.col("candidate_id")).alias("i"), F.col("candidate_id").alias("c")).collect()}
-    rows = {r["candidate_id"]: (ids.get(r["store_id"], r["store_id"]), r["tier"],
-                                round(r["confidence"] * 100) if r["tier"] == "fuzzy" else None) for r in got.collect()}
     assert len({v[1] for v in want.values()}) >= 6
-    assert rows == want
+    assert resolved(spark, cands, stores, refs, settle_rows=settle_rows) == want
+
+
+def _row(**more):
+    base = {f.split()[0]: None for f in CAND.split(",")} | {"street": "1 Far Rd", "city": "Bend", "state": "OR", "zip_code": "97001"}
+    return base | more
+
+
+def test_chain_takes_few_rounds(spark, monkeypatch):
+    """Fifty candidates, each like its neighbours: as one by one, in rounds by the logarithm, and no table is left but the result."""
+    import os
+
+    from placeledger.operators import graph
+    from placeledger.session import checkpoint_dir
+
+    rng = random.Random(2)
+    letters = "".join(rng.choice("BCDFGHJKLMNPQRSTVWXZ") for _ in range(140))
+    cands = [_row(candidate_id=f"c{i}", seq=i, name=letters[2 * i : 2 * i + 20], street=f"{i} Far Rd") for i in range(50)]
+    store = {f.split()[0]: None for f in STORE.split(",")} | {"id": "s0", "first_seen": datetime.datetime(2024, 1, 1), "name": "Elsewhere", "street": "9 X", "city": "Salem", "state": "OR", "zip_code": "97009"}
+    rounds = []
+    monkeypatch.setattr(graph, "_small_star", lambda links, real=graph._small_star: rounds.append(1) or real(links))
+    folder = checkpoint_dir(spark)
+    before = set(os.listdir(folder))
+    want = one_by_one(cands, [store], [])
+    assert resolved(spark, cands, [store]) == want
+    assert [v[1] for v in want.values()] == ["new", "fuzzy"] * 25
+    assert len(rounds) <= 12
+    assert len({x for x in os.listdir(folder) if x.startswith("cut-")} - before) == 1
+
+
+def test_positions_join_components(spark):
+    """A store that gets its position from a match is found by a candidate of another ZIP there, and not before."""
+    t = datetime.datetime(2024, 1, 1)
+    store = {f.split()[0]: None for f in STORE.split(",")} | {"id": "s0", "first_seen": t, "name": "Dragon Castle Den", "street": "9 X St", "city": "Salem", "state": "OR", "zip_code": "97009"}
+    spot = {"latitude": 45.0, "longitude": -120.0, "zip_code": "97002"}
+    cands = [
+        _row(candidate_id="early", seq=1, name="Dragon Castle Denn", street="1 A Rd", **spot),
+        _row(candidate_id="giver", seq=2, name="Dragon Castle Den", street="2 B Rd", zip_code="97009", latitude=45.001, longitude=-120.0),
+        _row(candidate_id="late", seq=3, name="Dragon Castles Den", street="3 C Rd", **spot),
+        _row(candidate_id="far", seq=4, name="Dragon Castles Den", street="4 D Rd", zip_code="97003", latitude=46.0, longitude=-120.0),
+    ]
+    want = one_by_one(cands, [store], [])
+    assert resolved(spark, cands, [store]) == want
+    assert want["late"][0] == "s0" and want["early"][0] != "s0"
+
+
+def test_components(spark):
+    from placeledger.operators.graph import components
+
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(100, 300)] + [(5, 7000 + i) for i in range(300)] + [(-9, -3), (42, 42)] + [(rng.randrange(9000, 9200), rng.randrange(9000, 9200)) for _ in range(150)]
+    group = {}
+
+    def find(x):
+        while group.setdefault(x, x) != x:
+            x = group[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        group[y] = x
+    want = {n: find(n) for pair in links for n in pair if pair[0] != pair[1]}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_ratio_is_lcs_based():
