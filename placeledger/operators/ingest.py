@@ -43,6 +43,17 @@ def _candidate_id() -> Column:
     return F.concat_ws(":", "source", F.coalesce("external_id", F.lit("")), F.col("seq").cast("string"))
 
 
+def _once(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row for each candidate_id, the rows that repeat it).
+
+    Records of one source, external id and turn are one record that came more than once; the least of them counts. They are put
+    together in each task before the shuffle.
+    """
+    groups = cut(rows.groupBy("candidate_id").agg(F.min(F.struct(*rows.columns)).alias("r"), F.count("*").alias("times")))
+    again = groups.filter("times > 1").select("r.*", F.explode(F.sequence(F.lit(2), F.col("times"))).alias("time")).drop("time")
+    return groups.select("r.*"), again
+
+
 def _refs_of(source: Column) -> Column:
     """Sources that are tracked by external id in the refs table; the others are found by their id column."""
     return ~source.isin("wpn", "google_places")
@@ -89,10 +100,11 @@ def ingest(raw: DataFrame, stores: DataFrame, refs: DataFrame, categories: DataF
 
     Gives the next snapshots of ``stores``, ``categories`` and ``refs``, the ``presences`` to add, one ``outcomes`` row
     per record (inserted, updated, skipped or errors, with store id and review flag) and the ``report`` counters.
-    ``seq`` in ``raw`` is the turn of a record and must be unique.
+    ``seq`` in ``raw`` is the turn of a record; a record that comes again with its source, external id and turn is skipped
+    (``tier`` is then "repeated").
     """
     now = F.lit(as_of).cast("timestamp_ntz")
-    rows = cut(screen(raw).withColumn("candidate_id", _candidate_id()))
+    rows, again = _once(screen(raw).withColumn("candidate_id", _candidate_id()))
     good = rows.filter(F.col("reject").isNull())
     tracked = _refs_of(F.col("source"))
     cands = good.select(
@@ -131,7 +143,11 @@ def ingest(raw: DataFrame, stores: DataFrame, refs: DataFrame, categories: DataF
         F.col("reject").alias("tier"), F.lit(False).alias("needs_review"),
         F.when(F.col("reject") == "filtered", "skipped").otherwise("errors").alias("outcome"),
     )
-    outcomes = done.unionByName(rejected)
+    repeated = again.select(
+        "candidate_id", "seq", "source", "external_id", F.lit(None).cast("string").alias("store_id"), F.lit("repeated").alias("tier"),
+        F.lit(False).alias("needs_review"), F.lit("skipped").alias("outcome"),
+    )
+    outcomes = done.unionByName(rejected).unionByName(repeated)
 
     presences = joined.filter(
         F.col("is_new") & tx.present(F.col("website")) & ~tx.is_blocked_url("website", cat.INGEST_BLOCKED_DOMAINS)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeledger import catalogs as cat
 from placeledger import schemas
 from placeledger.functions import text as tx
+from placeledger.session import cut, small
 
 
 def read_raw(spark: SparkSession, path: str, source: str, multiline: bool = True) -> DataFrame:
@@ -34,9 +37,25 @@ def common(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*out)
 
 
+def number_records(df: DataFrame, column: str = "seq", start: int = 0) -> DataFrame:
+    """Rows just read from files, with ``column``: start, start + 1, ... by file path and place in the file.
+
+    Equal records get different numbers, and the numbers do not depend on how files are dealt to tasks. ``df`` must come
+    straight from a file reader. The rows are written once, so that their places count for good; a file's split gives one row
+    to the prefix sum over all splits.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("_split")
+    rows = cut(df.select("*", place, F.monotonically_increasing_id().alias("_at")))
+    splits = rows.groupBy("_split").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    bases = splits.select("_split", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    number = F.col("_base") + F.col("_at") - F.col("_first") + start
+    return rows.join(small(bases), "_split").withColumn(column, number.cast("bigint")).select(*df.columns, column)
+
+
 def _sequence(df: DataFrame) -> Column:
-    """The record's turn: its own number if it has one, else a hash of the record, which does not depend on how files are read."""
-    return F.col("seq") if "seq" in df.columns else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    """The record's turn: its own number if it has one (see :func:`number_records`), else a hash of the record, never negative."""
+    return F.col("seq") if "seq" in df.columns else F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), 1)
 
 
 def parse_wpn(df: DataFrame) -> DataFrame:
@@ -129,6 +148,14 @@ def parse_vertical(df: DataFrame) -> DataFrame:
     )
 
 
+PARSERS = {"wpn": parse_wpn, "google_places": parse_google, "games_workshop": parse_gw, "vertical": parse_vertical}
+
+
+def load_source(spark: SparkSession, path: str, source: str, multiline: bool = True) -> DataFrame:
+    """Files of one source as common records; the turn of a record is its place among the files."""
+    return PARSERS[source](number_records(read_raw(spark, path, source, multiline)))
+
+
 PAGE_COLUMNS = ["Page", "Top pages", "URL", "Url", "page", "url"]
 
 
@@ -136,24 +163,20 @@ def read_search_export(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Search-console CSV exports as (row_no, page, impressions).
 
     The page is the first non-empty of the known URL columns. Exports differ in their columns, so each file keeps its
-    own header.
+    own header. ``row_no`` goes by export, then by file and place in the file, so "the last row of a page" is that of the exports.
     """
-    out = None
+    parts = []
     for number, path in enumerate(paths):
         df = spark.read.option("header", True).option("escape", '"').csv(path)
-        df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-        by_name = {c: F.col(f"`{c}`") for c in df.columns}
+        names = {c: c.lstrip("\ufeff") for c in df.columns}
+        by_name = {name: F.col(f"`{c}`") for c, name in names.items()}
         held = [F.when(tx.present(by_name[c]), by_name[c]) for c in PAGE_COLUMNS if c in by_name]
         page = F.coalesce(*held) if held else F.lit(None).cast("string")
-        shown = by_name.get("Impressions", F.lit("0"))
-        rows = df.select(
-            (F.lit(number).cast("bigint") * F.lit(1 << 50) + F.monotonically_increasing_id()).alias("row_no"),
-            page.alias("page"), shown.alias("impressions"),
-        ).filter(F.col("page").isNotNull())
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+        rows = number_records(df.select(page.alias("page"), by_name.get("Impressions", F.lit("0")).alias("impressions")), "row_no", number << 50)
+        parts.append(rows.filter(F.col("page").isNotNull()).select("row_no", "page", "impressions"))
+    if not parts:
         raise ValueError("no export given")
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_dossiers(spark: SparkSession, path: str, min_confidence: float = 0.65, whole_files: bool = True) -> DataFrame:

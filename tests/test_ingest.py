@@ -1,8 +1,11 @@
 """Ingest of a small batch, row by row expected; and snapshots, slugs, claims, budgets."""
 
 import datetime
+import json
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeledger import schemas
@@ -78,6 +81,54 @@ def test_ingest(spark):
     assert (r.total, r.inserted, r.updated, r.skipped, r.errors, r.needs_review) == (8, 1, 3, 3, 1, 0)
 
 
+RECORDS = {
+    "wpn": {"id": "W1", "name": "Mox Shop", "postalAddress": "2 Elm St, Bend, OR, 97702, US"},
+    "google_places": {"id": "P1", "displayName": {"text": "Mox Shop"}, "formattedAddress": "2 Elm St, Bend, OR 97702, USA"},
+    "games_workshop": {"objectID": "GW7", "name": "Mox Shop", "addressLine1": "2 Elm St", "city": "Bend", "region": "OR", "postalCode": "97702", "countryCode": "US"},
+    "vertical": {"source_id": "V1", "source": "comicbookstores", "name": "Mox Shop", "street": "2 Elm St", "city": "Bend", "state": "OR", "zip_code": "97702"},
+}
+
+
+def test_sources_without_turns(spark, tmp_path):
+    """Files of every source: a record that names a known store finds it, equal new ones make one store, whatever their turns."""
+    numbered, hashed = [], []
+    for k, (source, record) in enumerate(RECORDS.items()):
+        new = json.loads(json.dumps(record).replace("Mox Shop", "New Place").replace("2 Elm", f"{k} Oak").replace("97702", f"9778{k}"))
+        new["id" if source in ("wpn", "google_places") else "objectID" if source == "games_workshop" else "source_id"] = f"N{k}"
+        (tmp_path / source).mkdir()
+        for name, records in (("b.json", [new, new, record]), ("a.json", [record])):
+            (tmp_path / source / name).write_text(json.dumps(records))
+        rows = rw.load_source(spark, str(tmp_path / source), source)
+        assert [(r.seq, r.name) for r in rows.orderBy("seq").collect()] == [(0, "Mox Shop"), (1, "New Place"), (2, "New Place"), (3, "Mox Shop")]
+        numbered.append(rows.withColumn("seq", F.col("seq") + 10 * k))
+        hashed.append(rw.PARSERS[source](rw.read_raw(spark, str(tmp_path / source), source)))
+    out = run(spark, reduce(DataFrame.unionByName, numbered))
+    got = {r.seq: (r.outcome, r.store_id, r.tier) for r in out["outcomes"].collect()}
+    for k in range(4):
+        made = got[10 * k + 1][1]
+        assert got[10 * k][1] == got[10 * k + 3][1] == "s2" and got[10 * k + 1][0] == "inserted" and got[10 * k + 2][:2] == ("skipped", made)
+    assert out["stores"].count() == 6
+    # By hash of the record: never before the known stores, and equal records are one. A negative turn is a turn.
+    plain = reduce(DataFrame.unionByName, hashed)
+    assert plain.filter("seq < 0").isEmpty()
+    out = run(spark, plain.withColumn("seq", F.when(F.col("source") == "wpn", -F.col("seq")).otherwise(F.col("seq"))))
+    tiers = [r.tier for r in out["outcomes"].collect()]
+    assert tiers.count("repeated") == 8 and tiers.count("new") == 4 and out["stores"].count() == 6
+    report = out["report"].first()
+    assert (report.total, report.inserted, report.errors) == (16, 4, 0)
+
+
+def test_number_records(spark, tmp_path):
+    for name, n in (("c", 40), ("a", 7), ("b", 300)):
+        (tmp_path / f"{name}.json").write_text("".join(json.dumps({"id": f"{name}{i}", "name": "x" * 30}) + "\n" for i in range(n)))
+    want = [f"{name}{i}" for name, n in (("a", 7), ("b", 300), ("c", 40)) for i in range(n)]
+    for size in ("2k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = rw.number_records(rw.read_raw(spark, str(tmp_path), "wpn", multiline=False)).collect()
+        assert [r.id for r in sorted(rows, key=lambda r: r.seq)] == want and sorted(r.seq for r in rows) == list(range(347))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_tiers(spark):
     cand = "candidate_id string, seq long, name string, street string, city string, state string, zip_code string, latitude double, longitude double, wpn_id string, google_place_id string"
     far = spark.createDataFrame([("c", 1, "Mox Shopp", "9 Far Rd", "Bend", "OR", "97702", 46.0, -121.0, None, None)], cand)
