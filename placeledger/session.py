@@ -26,6 +26,8 @@ def build_session(app: str = "placeledger", master: str | None = None, **conf: s
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Keyed stream state on the executors' disks, not in their heaps.
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,48 +29,56 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 # --- check failures ------------------------------------------------------------------------------------------
 
-def _newest(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` newest checks per presence; cut per task before the shuffle, so a huge history sends n rows per task."""
-    w = Window.partitionBy("presence_id").orderBy(F.desc("ts"), F.desc("seq"))
-    return rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).drop("r")
+def failure_changes(checks: DataFrame, n: int = 3, ttl_hours: int | None = None) -> DataFrame:
+    """(presence_id, change, failing, ts): a row whenever "the last ``n`` checks all failed" becomes true or false.
 
-
-def _failing(state: DataFrame, n: int) -> DataFrame:
-    return state.groupBy("presence_id").agg(
-        ((F.count("*") == n) & F.bool_and("bad")).alias("failing"), F.max("ts").alias("ts")
+    ``checks`` has presence_id, status, ts and a tie column ``seq``. The state of a presence is its ``n`` newest outcomes by event
+    time, so late checks take their right place; only presences with new checks are read and written. ``change`` counts the
+    changes of a presence. With ``ttl_hours`` the watermark is so much behind the newest check of all: older checks are not read any
+    more, and presences whose newest check is older are forgotten.
+    """
+    timed = checks.filter(F.col("presence_id").isNotNull()).withColumn("at", F.col("ts").cast("timestamp"))
+    timed = timed if ttl_hours is None else timed.withWatermark("at", f"{ttl_hours} hours")
+    rows = timed.select(
+        "presence_id", "at", F.unix_micros("at").alias("micros"), F.col("seq").cast("bigint").alias("seq"),
+        F.coalesce(F.col("status").isin(*FAILED), F.lit(False)).alias("bad"),
     )
 
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest, was, change = [], False, 0
+        if state.exists:
+            micros, seqs, bads, was, change = state.get
+            newest = list(zip(micros, seqs, bads, strict=True))
+        for f in frames:  # a frame is a bounded batch
+            newest = sorted([*newest, *zip(f["micros"].tolist(), f["seq"].tolist(), f["bad"].tolist(), strict=True)])[-n:]
+        failing = len(newest) == n and all(bad for _, _, bad in newest)
+        change += failing != was
+        state.update((*map(list, zip(*newest, strict=True)), failing, change))
+        if ttl_hours is not None:
+            state.setTimeoutTimestamp(max(newest[-1][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        if failing != was:
+            yield pd.DataFrame({"presence_id": [key[0]], "change": [change], "failing": [failing], "micros": [newest[-1][0]]})
+
+    kind = dict(checks.dtypes)["presence_id"]
+    out = rows.groupBy("presence_id").applyInPandasWithState(
+        update, f"presence_id {kind}, change bigint, failing boolean, micros bigint",
+        "micros array<bigint>, seqs array<bigint>, bads array<boolean>, failing boolean, change bigint", "append",
+        GroupStateTimeout.NoTimeout if ttl_hours is None else GroupStateTimeout.EventTimeTimeout,
+    )
+    return out.select("presence_id", "change", "failing", F.timestamp_micros("micros").alias("ts"))
 
-def stream_failures(checks: DataFrame, path: str, checkpoint: str, n: int = 3) -> None:
-    """Follow a check stream; when "the last ``n`` checks all failed" becomes true or false for a presence, say so.
-
-    ``checks`` has presence_id, status, ts and a tie column ``seq``. The state is the ``n`` newest outcomes per presence
-    by event time, so late rows take their right place. Epoch e reads state e - 1 and writes ``path``/state/epoch=e and
-    the changes (presence_id, failing, ts) under ``path``/changes/epoch=e; a replayed epoch writes the same again.
-    """
-    columns = ["presence_id", "ts", "seq", "bad"]
-
-    def follow(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        bad = F.coalesce(F.col("status").isin(*FAILED), F.lit(False))
-        fresh = batch.withColumn("bad", bad).select(*columns)
-        if epoch > 0:
-            old = spark.read.schema(fresh.schema).parquet(f"{path}/state/epoch={epoch - 1}")
-        else:
-            old = spark.createDataFrame([], fresh.schema)
-        target = f"{path}/state/epoch={epoch}"
-        _newest(old.unionByName(fresh), n).write.mode("overwrite").parquet(target)
-        now = _failing(spark.read.schema(fresh.schema).parquet(target), n)
-        before = _failing(old, n).select("presence_id", F.col("failing").alias("was"))
-        changed = now.join(before, "presence_id", "left").filter(F.col("failing") != F.coalesce("was", F.lit(False)))
-        changed.drop("was").write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
 
-    checks.writeStream.foreachBatch(follow).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def stream_failures(checks: DataFrame, path: str, checkpoint: str, n: int = 3, ttl_hours: int | None = None) -> None:
+    """Follow a check stream and append the changes under ``path``/changes."""
+    run_available(failure_changes(checks, n, ttl_hours), f"{path}/changes", checkpoint)
 
 
 def failing_now(changes: DataFrame) -> DataFrame:
-    """Presences whose last change (by epoch) says failing."""
-    last = changes.groupBy("presence_id").agg(F.max_by("failing", "epoch").alias("failing"))
+    """Presences whose last change says failing."""
+    last = changes.groupBy("presence_id").agg(F.max_by("failing", "change").alias("failing"))
     return last.filter("failing").select("presence_id")
 
 
@@ -125,34 +133,63 @@ def stream_premium(events: DataFrame, stores: DataFrame, path: str, checkpoint:
 
 # --- claims --------------------------------------------------------------------------------------------------
 
-def stream_claims(claims: DataFrame, hours: int = 24) -> DataFrame:
-    """(event_id, store_id, email, outcome): a claim is accepted when the last accepted one of its (store, email) is at
-    least ``hours`` old, else it is a duplicate.
+def stream_claims(claims: DataFrame, hours: int = 24, delay: str = "7 days") -> DataFrame:
+    """(event_id, store_id, email, outcome, revision): a claim is accepted when the last accepted one of its (store, email) is
+    at least ``hours`` older, else it is a duplicate.
 
-    State is the time of the last accepted claim. Claims of one trigger are taken in time order; bound a trigger by
-    ``maxFilesPerTrigger``, since the times of a pair's claims in one trigger are sorted together.
+    Claims count by event time, whenever they arrive: a verdict is given at once, and if a claim that comes later but was made
+    earlier changes it, it is given again with the next ``revision`` (see :func:`claim_verdicts`). Claims older than the
+    watermark (``delay`` behind the newest) are dropped; what is older can't change any more, so a pair keeps its claims since the
+    watermark and the time of the last accepted one before, and that for ``hours``.
     """
     room = hours * 3600 * 1_000_000
-    rows = claims.select("store_id", "email", "event_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("micros"))
+    rows = claims.select("store_id", "email", "event_id", F.col("created_at").cast("timestamp").alias("created_at")).withWatermark(
+        "created_at", delay).withColumn("micros", F.unix_micros("created_at"))
+    columns = ["event_id", "store_id", "email", "outcome", "revision"]
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted = state.get[0] if state.exists else None
-        turns = sorted((m, e) for f in frames for m, e in zip(f["micros"].tolist(), f["event_id"].tolist(), strict=True))
-        out = []
-        for micros, event in turns:
+        last, held = None, []
+        if state.exists:
+            last, *lists = state.get
+            held = list(zip(*lists, strict=True))
+        if not state.hasTimedOut:
+            held += [(m, e, False, 0) for f in frames for m, e in zip(f["micros"].tolist(), f["event_id"].tolist(), strict=True)]
+        now, accepted, judged, out = state.getCurrentWatermarkMs() * 1000, last, [], []
+        for micros, event, was, revision in sorted(held):
             free = accepted is None or micros - accepted >= room
             if free:
                 accepted = micros
-            out.append((event, key[0], key[1], "accepted" if free else "duplicate"))
-        state.update((accepted,))
-        yield pd.DataFrame(out, columns=["event_id", "store_id", "email", "outcome"])
+            if revision == 0 or free != was:
+                revision += 1
+                out.append((event, *key, "accepted" if free else "duplicate", revision))
+            if micros < now:  # nothing older can come
+                last = accepted
+            else:
+                judged.append((micros, event, free, revision))
+        if last is not None and last + room <= now:
+            last = None
+        if last is None and not judged:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, *(map(list, zip(*judged, strict=True)) if judged else ([], [], [], []))))
+            turn = max(judged)[0] if judged else last + room
+            state.setTimeoutTimestamp(max(turn, now) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     return rows.groupBy("store_id", "email").applyInPandasWithState(
-        update, "event_id bigint, store_id string, email string, outcome string", "accepted bigint", "append",
-        GroupStateTimeout.NoTimeout,
+        update, "event_id bigint, store_id string, email string, outcome string, revision int",
+        "last bigint, micros array<bigint>, events array<bigint>, accepted array<boolean>, revisions array<int>", "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
+def claim_verdicts(out: DataFrame) -> DataFrame:
+    """The last verdict of each claim."""
+    return out.groupBy("event_id", "store_id", "email").agg(F.max_by("outcome", "revision").alias("outcome"))
+
+
 # --- crawl drops ---------------------------------------------------------------------------------------------
 
 TABLES = ("stores", "categories", "refs")
