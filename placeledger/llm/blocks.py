@@ -7,6 +7,7 @@ answers each block in the order asked. So a key is shuffled once for each block
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -22,6 +23,23 @@ def block_number(k: int) -> int:
     return (TaskContext.get().partitionId() << 32) + k
 
 
+def give_back() -> None:
+    """Hand freed memory back to the machine: a worker lives on between blocks, tasks and stages, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def payloads(batches):
+    """(block, payload) of each row; one payload at a time is copied out of a batch."""
+    for batch in batches:
+        for block, payload in zip(batch.column("block"), batch.column("payload"), strict=True):
+            yield block.as_py(), payload.as_py()
+            give_back()
+
+
 def buckets(spark, per_partition: int = 4) -> int:
     """How many buckets: a few for each shuffle partition, so that a bucket's keys fit in memory as those do."""
     return max(16, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from placeledger.llm import blocks
 from placeledger.llm.texts import slices, with_text_key
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: Pre-tokens of a block that are put together at once.
 STEP = 1 << 19
 #: No pre-token crosses the gap between two characters other than white space if the second follows a single space.
@@ -97,23 +98,24 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, block_bytes: int
                     counts, blocks.least(bucket), blocks.least(np.array([len(w) for w in raw], dtype=np.int64)),
                     np.frombuffer(b"".join(raw), np.uint8), *blocks.planes(numbers),
                 )
+                del words, numbers, raw
                 yield blocks.asked([(block, 0, own)])
+                blocks.give_back()
 
     def ask(batches):
-        for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                bucket, lengths, data = blocks.unpack(payload)[3:6]
-                ends = np.cumsum(lengths, dtype=np.int64)
-                starts = ends - lengths
-                raw = data.tobytes()
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(n + 1))
-                rows = []
-                for b in np.flatnonzero(np.diff(edges)):
-                    some = order[edges[b] : edges[b + 1]]
-                    words = b"".join(raw[i:j] for i, j in zip(starts[some].tolist(), ends[some].tolist(), strict=True))
-                    rows.append((block, int(b), blocks.pack(lengths[some], np.frombuffer(words, np.uint8))))
-                yield blocks.asked(rows)
+        for block, payload in blocks.payloads(batches):
+            bucket, lengths, data = blocks.unpack(payload)[3:6]
+            ends = np.cumsum(lengths, dtype=np.int64)
+            starts = ends - lengths
+            raw = data.tobytes()
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(n + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(edges)):
+                some = order[edges[b] : edges[b + 1]]
+                words = b"".join(raw[i:j] for i, j in zip(starts[some].tolist(), ends[some].tolist(), strict=True))
+                rows.append((block, int(b), blocks.pack(lengths[some], np.frombuffer(words, np.uint8))))
+            yield blocks.asked(rows)
 
     def answer(questions):
         encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
@@ -171,9 +173,23 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     known = encoded.sparkSession.sparkContext.broadcast([table.get(i) for i in range(max(table) + 1)])
 
     def join(batches):
-        of = known.value.__getitem__
+        of = pa.array(known.value, pa.large_binary())
         for batch in batches:
-            decoded = [b"".join(map(of, ids or ())) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column("ids")), 0)), dtype=np.int64)
+            row = 0
+            while row < batch.num_rows:  # rows of some STEP ids, or one row of more
+                before = int(ends[row - 1]) if row else 0
+                until = max(row + 1, int(np.searchsorted(ends, before + STEP, "right")))
+                some = batch.slice(row, until - row)
+                bytes_of = of.take(some.column("ids").flatten())
+                if bytes_of.null_count:
+                    raise ValueError("an id that is not in the vocabulary")
+                _, edges, data = bytes_of.buffers()
+                edges = np.frombuffer(edges, np.int64, len(bytes_of) + 1) if edges is not None else np.zeros(1, np.int64)
+                at = edges[np.concatenate([[0], ends[row:until] - before])].astype(np.int32)
+                decoded = pa.Array.from_buffers(pa.binary(), until - row, [None, pa.py_buffer(at), data if data is not None else pa.py_buffer(b"")])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("ids"), decoded], names=["doc_id", "ids", "decoded"])
+                row = until
+            blocks.give_back()
 
     return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, ids array<int>, decoded binary")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placeledger.llm.blocks import give_back
 from placeledger.llm.bpe import vocabulary
 from placeledger.session import cut
 
@@ -32,7 +33,7 @@ MAX_PIECE = 12
 #: Longer runs of letters are cut after so many bytes.
 MAX_RUN = 48
 #: Words whose sums a worker keeps.
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 18
 #: Probabilities are kept in range by this factor for each byte.
 _SCALE = 8.0
 #: Byte strings are told apart by 64-bit hashes; the upper bits of the pieces' hashes are marked in a table.
@@ -265,6 +266,8 @@ def _judged(batches, model: Model, key: int):
         for row in range(0, batch.num_rows, 512):
             some = batch.slice(row, 512)
             yield some, *_predict(some.column("text"), model, key)
+    _KNOWN.clear()
+    give_back()
 
 
 def identify(docs: DataFrame, model: Model, *also: Column) -> DataFrame:

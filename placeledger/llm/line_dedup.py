@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placeledger.llm import bloom
+from placeledger.llm.blocks import give_back
 from placeledger.llm.texts import LOWER, SPACE, prefix_hash, slices, span_hash, with_text_key
 
 #: Bits of each filter: 16 MB. More lines than it has room for only mean that more of them are counted exactly.
 FILTER_BITS = 1 << 27
 PROBES = 3
+#: Rows whose texts are put together at once.
+ROWS = 512
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray):
@@ -85,6 +88,7 @@ def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, filter
                 [pa.array(digests, pa.binary()), ids.take(at), keys.take(at), pa.array(numbers, pa.binary())],
                 names=["digest", "doc_id", "text_key", "lines"],
             )
+        give_back()
 
     found = rows.mapInArrow(suspects, "digest binary, doc_id long, text_key long, lines binary")
     common = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("digest")
@@ -102,12 +106,12 @@ def _rebuilt(docs: DataFrame, marks: DataFrame, schema: T.StructType, counts: bo
     marked = marks.withColumnRenamed("doc_id", "mark_id")
     joined = own.join(
         marked, (F.col("own.doc_id").cast("long").eqNullSafe(F.col("mark_id"))) & (F.col("own_key") == F.col("text_key")), "left"
-    ).select(F.col("own"), F.col("own.text").cast("string").alias("whole"), F.col("lines"))
+    ).select("own", "lines")
 
     def rebuild(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             texts, n_lines, n_dropped = [], [], []
-            for text, marks in zip(batch.column("whole").to_pylist(), batch.column("lines").to_pylist(), strict=True):
+            for text, marks in zip(batch.column("own").field("text").cast(pa.string()).to_pylist(), batch.column("lines").to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 drop = set().union(*(np.frombuffer(m, "<u4").tolist() for m in marks)) if marks else ()
                 kept = text if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop)
@@ -118,6 +122,7 @@ def _rebuilt(docs: DataFrame, marks: DataFrame, schema: T.StructType, counts: bo
             columns = [pa.array(texts, pa.string()) if c == "text" else own.field(c) for c in names] if not counts else [
                 own.field("doc_id").cast(pa.int64()), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=out_names)
+        give_back()
 
     return joined.mapInArrow(rebuild, schema)
 

@@ -21,7 +21,7 @@ from placeledger.llm import blocks
 from placeledger.llm.texts import LOWER, mix, prefix_hash, slices, span_hash, words
 from placeledger.session import cut
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 #: A word with more than this share of the training tokens is a hot context, so there are at most ``HOT_SHARE`` of them.
 HOT_SHARE = 5000
 END = np.uint64(0x5851F42D4C957F2D)
@@ -107,6 +107,8 @@ def score(docs: DataFrame, train, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 block = blocks.block_number(k)
                 k += 1
                 yield blocks.asked([(block, -1, blocks.pack(np.asarray(ids.fill_null(0)), null, trained, blocks.least(counts), vocabulary[order], blocks.least(uses[order]), *blocks.planes(rank[inverse])))])
+                del tokens, inverse, uses, order, rank
+                blocks.give_back()
 
     own = cut(rows.mapInArrow(make, blocks.ASKED))
 
@@ -115,12 +117,11 @@ def score(docs: DataFrame, train, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         return ids, null, trained, counts.astype(np.int64), vocabulary, uses.astype(np.int64), blocks.from_planes(numbers)
 
     def ask_words(batches):
-        for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                _, _, _, _, vocabulary, uses, _ = words_of(payload)
-                bucket = (mix(vocabulary) % np.uint64(n)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                yield blocks.asked([(block, b, blocks.pack(vocabulary[order[s]], blocks.least(uses[order[s]]))) for b, s in _by_bucket(bucket[order], n)])
+        for block, payload in blocks.payloads(batches):
+            _, _, _, _, vocabulary, uses, _ = words_of(payload)
+            bucket = (mix(vocabulary) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            yield blocks.asked([(block, b, blocks.pack(vocabulary[order[s]], blocks.least(uses[order[s]]))) for b, s in _by_bucket(bucket[order], n)])
 
     def count_words(questions):
         parts = [blocks.unpack(p) for _, p in questions]
@@ -142,15 +143,14 @@ def score(docs: DataFrame, train, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     hot = np.sort(np.array([START, *(v for v, t in tops if t * HOT_SHARE > tokens_n)], dtype=np.uint64))
 
     def ask_bigrams(batches):
-        for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                _, _, trained, counts, vocabulary, _, numbers = words_of(payload)
-                context, pair, bucket, weights, _ = _bigrams(vocabulary[numbers], counts, trained, hot, n)
-                out = []
-                for b, s in _by_bucket(bucket, n):
-                    states, sizes = _runs(context[s])
-                    out.append((block, b, blocks.pack(states, blocks.least(sizes), pair[s], blocks.least(weights[s]))))
-                yield blocks.asked(out)
+        for block, payload in blocks.payloads(batches):
+            _, _, trained, counts, vocabulary, _, numbers = words_of(payload)
+            context, pair, bucket, weights, _ = _bigrams(vocabulary[numbers], counts, trained, hot, n)
+            out = []
+            for b, s in _by_bucket(bucket, n):
+                states, sizes = _runs(context[s])
+                out.append((block, b, blocks.pack(states, blocks.least(sizes), pair[s], blocks.least(weights[s]))))
+            yield blocks.asked(out)
 
     def count_bigrams(questions):
         parts = [blocks.unpack(p) for _, p in questions]
