@@ -648,6 +648,8 @@ def _resolve(own, cands, stores, refs, threshold, miles, max_rounds, settle_rows
         )
         every = h.unionByName(leaders.drop("cid"))
         moved = cut(_with_fills(every, _fills(decided.filter(F.col("tier").isNotNull()), c)).filter(F.col("placed_at").isNotNull()))
+        if moved.isEmpty():
+            break
         homes = stores_in.unionByName(leaders.select("cid", "store").join(comp_of, "cid").select("store", "comp"))
         # Pairs of one component are settled already; names of one block are paired only for what is left.
         near = _fuzzy_matches(unsure, _filled_offers(moved, miles).filter(F.col("block").startswith("cell:")), threshold, miles)
