@@ -29,9 +29,12 @@ SAMPLE_DOCS = 500
 ROUNDS = 3
 #: A model holds a number for each language and piece, and goes to every task.
 MAX_LANGUAGES = 256
-MAX_PIECE = 12
-#: Longer runs of letters are cut after so many bytes.
-MAX_RUN = 48
+#: Longer runs of letters are learned from in stretches of so many bytes; their own sums are never cut.
+TRAIN_RUN = 1024
+#: Starts of a run whose pieces are looked up at once, and places of the pieces of a chunk of runs.
+STRETCH, CHUNK_CELLS = 1024, 1 << 21
+#: Probabilities are brought back to the range of doubles after so many bytes.
+RESCALE = 8
 #: Words whose sums a worker keeps.
 KNOWN_WORDS = 1 << 18
 #: Probabilities are kept in range by this factor for each byte.
@@ -40,6 +43,8 @@ _SCALE = 8.0
 _STEP, _MARK_BITS = np.uint64(0x9E3779B97F4A7C15), 22
 _SHIFT = np.uint64(64 - _MARK_BITS)
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: What can stand in a run: a space, then bytes of letters, A-Z folded.
+_USABLE = regex.compile(rb" ?[a-z\x80-\xff]*")
 _KNOWN: dict[int, tuple[dict[str, int], np.ndarray]] = {}
 
 
@@ -49,13 +54,17 @@ class Model:
     pieces: dict[bytes, int]  # from 1; 0 is no piece
     probabilities: np.ndarray  # piece x language, scaled by the length of the piece; row 0 is 0
 
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.pieces), default=1)
+
     @cached_property
     def lookup(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pieces' hashes in order, their numbers, and which upper bits occur."""
         marks = np.zeros(1 << _MARK_BITS, dtype=bool)
         hashes = np.zeros(len(self.pieces), dtype=np.uint64)
         lengths = np.array([len(p) for p in self.pieces], dtype=np.int64)
-        for m, found in enumerate(_hashes(list(self.pieces), MAX_PIECE)):
+        for m, found in enumerate(_hashes(list(self.pieces), self.longest, self.longest)):
             hashes[lengths == m + 1] = found[lengths == m + 1, 0]
         order = np.argsort(hashes)
         hashes, numbers = hashes[order], np.fromiter(self.pieces.values(), np.int32, len(order))[order]
@@ -65,84 +74,123 @@ class Model:
         return hashes, numbers, marks
 
 
-def _hashes(strings: list[bytes], width: int):
-    """For each length up to MAX_PIECE, the hashes of the parts of that length: string x start."""
+def _hashes(strings: list[bytes], width: int, longest: int):
+    """For each length up to ``longest``, the hashes of the parts of that length: string x start."""
     data = np.array(strings, dtype=f"S{width}").view(np.uint8).reshape(len(strings), width).astype(np.uint64) + np.uint64(1)
     found = np.zeros_like(data)
-    for m in range(min(MAX_PIECE, width)):
+    for m in range(min(longest, width)):
         found = (found[:, : width - m] + data[:, m:]) * _STEP
         yield found
 
 
 def _runs(word: str) -> list[bytes]:
-    """The runs of letters of a word as bytes, each marked as a start by a space, long ones cut."""
-    out, low = [], word.lower()
-    for run in [low] if word.isalpha() else _LETTERS.findall(low):
-        raw = b" " + run.encode()
-        out += [raw[i : i + MAX_RUN] for i in range(0, len(raw), MAX_RUN)]
-    return out
-
-
-def _lattice(runs: list[bytes], model: Model) -> np.ndarray:
-    """ids[run, start, length - 1] of the pieces that fit there."""
+    """The runs of letters of a word as bytes, each marked as a start by a space."""
+    low = word.lower()
+    return [b" " + run.encode() for run in ([low] if word.isalpha() else _LETTERS.findall(low))]
+
+
+def _lattice(runs: list[bytes], model: Model, begin: int = 0, stretch: int | None = None) -> np.ndarray:
+    """ids[run, start, length - 1] of the pieces that fit there, for ``stretch`` starts from ``begin`` on."""
+    reach = model.longest
+    if stretch is None:
+        stretch = max(map(len, runs))
+    else:
+        runs = [r[begin : begin + stretch + reach - 1] for r in runs]
     lengths = np.array([len(r) for r in runs])
     width = int(lengths.max())
-    out = np.zeros((len(runs), width, MAX_PIECE), dtype=np.int32)
+    out = np.zeros((len(runs), stretch, min(reach, width)), dtype=np.int32)
     keys, numbers, marks = model.lookup
-    for m, found in enumerate(_hashes(runs, width)):
-        run, start = np.nonzero(marks[found >> _SHIFT] & (np.arange(width - m) + m < lengths[:, None]))
+    for m, found in enumerate(_hashes(runs, width, reach)):
+        found = found[:, :stretch]
+        run, start = np.nonzero(marks[found >> _SHIFT] & (np.arange(found.shape[1]) + m < lengths[:, None]))
         asked = found[run, start]
         at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
         out[run, start, m] = np.where(keys[at] == asked, numbers[at], 0)
     return out
 
 
-def _forward(ids: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
-    """alpha[run, position, language]: the summed products of all ways to cut what is before the position."""
-    runs, width, _ = ids.shape
-    alpha = np.zeros((runs, width + 1, probabilities.shape[1]))
-    alpha[:, 0] = 1.0
+def _forward(ids: np.ndarray, probabilities: np.ndarray, before: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """alpha[run, position, language]: the summed products of all ways to cut what is before the position, and their scale.
+
+    ``before`` has the sums that earlier stretches left, from the first position on, in the scale ``log``. The true sum at a
+    position is alpha times the exponential of the scale of its step of ``RESCALE`` positions.
+    """
+    runs, width, reach = ids.shape
+    alpha = np.zeros((runs, max(width + reach, before.shape[1]) + 1, probabilities.shape[1]))
+    alpha[:, : before.shape[1]] = before
+    scales, occurs = [], [np.flatnonzero(x).tolist() for x in ids.any(axis=0)]
     for i in range(width):
-        for m in range(min(MAX_PIECE, width - i)):
+        if i % RESCALE == 0:
+            filled = alpha[:, i : i + max(reach, before.shape[1])]
+            top = filled.max(axis=1)
+            top[top == 0] = 1.0
+            filled /= top[:, None]
+            log = log + np.log(top)
+            scales.append(log)
+        for m in occurs[i]:
             fits = np.flatnonzero(ids[:, i, m])
-            if len(fits):
-                alpha[fits, i + m + 1] += alpha[fits, i] * probabilities[ids[fits, i, m]]
-    return alpha
+            alpha[fits, i + m + 1] += alpha[fits, i] * probabilities[ids[fits, i, m]]
+    return alpha, np.array(scales)
 
 
-def _chunks(runs: list[bytes], size: int = 1024):
-    """Runs of like length together."""
+def _chunks(runs: list[bytes], model: Model):
+    """Runs of like length together, as many as have their pieces and sums in ``CHUNK_CELLS`` places; a longer run alone."""
     order = sorted(range(len(runs)), key=lambda k: len(runs[k]))
-    for at in range(0, len(order), size):
-        some = order[at : at + size]
-        yield np.array(some), [runs[k] for k in some]
+    some: list[int] = []
+    for k in order:
+        # The last run is the longest of its chunk.
+        cells = min(len(runs[k]), STRETCH) * max(min(len(runs[k]), model.longest), len(model.languages))
+        if some and (len(some) + 1) * cells > CHUNK_CELLS:
+            yield np.array(some), [runs[j] for j in some]
+            some = []
+        some.append(k)
+    if some:
+        yield np.array(some), [runs[j] for j in some]
 
 
 def run_logs(runs: list[bytes], model: Model) -> np.ndarray:
-    """Natural logarithms of the probability of each run in each language."""
+    """Natural logarithms of the probability of each run in each language; a long run is passed through in stretches."""
     out = np.zeros((len(runs), len(model.languages)))
-    for at, some in _chunks(runs):
+    for at, some in _chunks(runs, model):
         lengths = np.array([len(r) for r in some])
-        alpha = _forward(_lattice(some, model), model.probabilities)
-        out[at] = np.log(np.maximum(alpha[np.arange(len(some)), lengths], 1e-300)) - lengths[:, None] * np.log(_SCALE)
+        log = np.zeros((len(some), len(model.languages)))
+        alpha = np.ones((len(some), 1, len(model.languages)))
+        for begin in range(0, int(lengths.max()), STRETCH):
+            stretch = min(STRETCH, int(lengths.max()) - begin)
+            alpha, scales = _forward(_lattice(some, model, begin, stretch), model.probabilities, alpha, log)
+            own = np.flatnonzero((lengths > begin) & (lengths <= begin + stretch))
+            end = lengths[own] - begin
+            step = np.minimum(end // RESCALE, len(scales) - 1)
+            out[at[own]] = np.log(np.maximum(alpha[own, end], 1e-300)) + scales[step, own]
+            alpha, log = alpha[:, stretch:], scales[-1]
+        out[at] -= lengths[:, None] * np.log(_SCALE)
     return out
 
 
 def expected_counts(runs: list[bytes], weights: np.ndarray, model: Model) -> np.ndarray:
     """How often each piece is used in each language, over all segmentations. weights: run x language."""
     total = np.zeros_like(model.probabilities)
-    for at, some in _chunks(runs):
+    for at, some in _chunks(runs, model):
         ids = _lattice(some, model)
-        alpha = _forward(ids, model.probabilities)
+        shape = (len(some), total.shape[1])
+        alpha, scales = _forward(ids, model.probabilities, np.ones((shape[0], 1, shape[1])), np.zeros(shape))
         lengths = np.array([len(r) for r in some])
         ends = np.arange(len(some))
-        whole = np.maximum(alpha[ends, lengths], 1e-300)
+        last = scales[np.minimum(lengths // RESCALE, len(scales) - 1), ends]
+        whole = np.log(np.maximum(alpha[ends, lengths], 1e-300)) + last
         beta = np.zeros_like(alpha)
         beta[ends, lengths] = 1.0
-        width, share = ids.shape[1], weights[at] / whole
-        used, uses = [np.zeros(0, np.int32)], [np.zeros((0, total.shape[1]))]
-        for i in range(width - 1, -1, -1):
-            for m in range(min(MAX_PIECE, width - i)):
+        back = np.zeros(shape)
+        used, uses = [np.zeros(0, np.int32)], [np.zeros((0, shape[1]))]
+        for i in range(ids.shape[1] - 1, -1, -1):
+            if (i + 1) % RESCALE == 0:
+                filled = beta[:, i + 1 : i + 1 + ids.shape[2]]
+                top = filled.max(axis=1)
+                top[top == 0] = 1.0
+                filled /= top[:, None]
+                back = back + np.log(top)
+            share = weights[at] * np.exp(scales[i // RESCALE] + back - whole)
+            for m in range(ids.shape[2]):
                 fits = np.flatnonzero(ids[:, i, m])
                 if len(fits):
                     piece = ids[fits, i, m]
@@ -170,25 +218,26 @@ def train(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS,
     the model has no language, and every text is ``und``.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text", "doc_id").alias("hash")).filter("text is not null and lang is not null")
-    counts = sorted((r[0], r[1]) for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect())
+    counts = sorted(map(tuple, rows.groupBy("lang").agg(F.count(F.lit(1)), F.min("hash")).limit(MAX_LANGUAGES + 1).collect()))
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = tuple(name for name, _ in counts)
-    pieces = {b: i + 1 for i, b in enumerate(p for p in vocabulary(vocabulary_path) if len(p) <= MAX_PIECE)}
+    languages = tuple(name for name, _, _ in counts)
+    pieces = {b: i + 1 for i, b in enumerate(p for p in vocabulary(vocabulary_path) if _USABLE.fullmatch(p))}
     lengths = np.array([0, *map(len, pieces)], dtype=float)
     model = Model(languages, pieces, _normalised(np.ones((len(pieces) + 1, len(languages))), lengths))
     if not languages:
         return model
-    # Few more than are wanted pass the hash; then the smallest are taken.
-    share = F.create_map(*[F.lit(x) for name, n in counts for x in (name, min(1.0, 1.5 * sample_docs / n + 0.0))])
-    passed = rows.filter((F.col("hash") / 2.0**64 + 0.5) < share[F.col("lang")])
+    # Few more than are wanted pass the hash, in any case those of the smallest; then the smallest are taken.
+    share = F.create_map(*[F.lit(x) for name, n, _ in counts for x in (name, min(1.0, 1.5 * sample_docs / n + 0.0))])
+    least = F.create_map(*[F.lit(x) for name, _, low in counts for x in (name, low)])
+    passed = rows.filter(((F.col("hash") / 2.0**64 + 0.5) < share[F.col("lang")]) | (F.col("hash") == least[F.col("lang")]))
     ranked = passed.selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY hash, text) AS r").filter(F.col("r") <= sample_docs)
 
     def count(batches):
         for batch in batches:
             found = Counter()
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                found.update((lang, run) for run in _runs(text))
+                found.update((lang, run[i : i + TRAIN_RUN]) for run in _runs(text) for i in range(0, len(run), TRAIN_RUN))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), pa.int64())],
                 names=["lang", "run", "n"],

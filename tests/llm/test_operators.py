@@ -341,6 +341,54 @@ def test_forward_sums_all_segmentations():
     assert math.isclose(sum(uses[i] * len(b) for b, i in pieces.items()), 5, rel_tol=1e-9)
 
 
+def plain_logs(run, model):
+    """The same sum with Python's whole numbers, which never leave their range."""
+    from fractions import Fraction
+
+    longest = max(map(len, model.pieces))
+    sums = [Fraction(1)]
+    for end in range(1, len(run) + 1):
+        ids = [(k, model.pieces.get(run[k:end], 0)) for k in range(max(0, end - longest), end)]
+        sums.append(sum((sums[k] * Fraction(float(model.probabilities[i, 0])) for k, i in ids if i), Fraction(0)))
+    log = lambda n: math.log(n >> max(0, n.bit_length() - 900)) + max(0, n.bit_length() - 900) * math.log(2)
+    return log(sums[-1].numerator) - log(sums[-1].denominator) - len(run) * math.log(language_id._SCALE)
+
+
+def test_long_runs_and_pieces(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(2)
+    names = [" ", *"abcd", " ab", "abc", "dcba", "abcdabcdabcdabcdabcd", "d" * 33]
+    pieces = {b.encode(): i + 1 for i, b in enumerate(names)}
+    # Rare letters: the product leaves the range of doubles long before 200 bytes.
+    p = np.array([[0.0, 0.0], *[[10.0 ** -(3 + i), 10.0 ** -(3 + i) / 2] for i in range(len(names))]])
+    model = language_id.Model(("k", "l"), pieces, p)
+    runs = [b" " + "".join(rng.choice("abcd") for _ in range(n)).encode() for n in (5, 8, 20, 47, 48, 49, 200, 200, 333)]
+    runs += [b" " + b"abcd" * 40 + b"d" * 70, b" " + b"d" * 200]
+    want = [plain_logs(r, model) for r in runs]
+    for stretch in (7, 64, language_id.STRETCH):
+        monkeypatch.setattr(language_id, "STRETCH", stretch)
+        assert np.allclose(language_id.run_logs(runs, model)[:, 0], want, rtol=1e-9)
+    # The counts are how the logarithm grows with that of a piece's probability.
+    weights = np.array([[1.0 + i, 2.0] for i in range(len(runs))])
+    uses = language_id.expected_counts(runs, weights, model)
+    step = 1e-6
+    for piece in range(1, len(names) + 1):
+        near = [language_id.Model(model.languages, pieces, p * np.where(np.arange(len(p)) == piece, math.exp(d), 1.0)[:, None]) for d in (step, -step)]
+        slope = (language_id.run_logs(runs, near[0]) - language_id.run_logs(runs, near[1])) / (2 * step)
+        assert np.allclose(uses[piece], (slope * weights).sum(axis=0), rtol=1e-3, atol=1e-3)
+
+
+def test_languages_of_copies_and_long_runs(spark):
+    rng = random.Random(4)
+    word = {x: "".join(rng.choice(a) for _ in range(3000)) for x, a in (("aj", "abcdefghij"), ("kt", "klmnopqrst"))}
+    rows = [(1, " ".join(prose(rng, 200, "abcdefghij").split()), "aj")] * 3000 + [(2, prose(rng, 200, "klmnopqrst"), "kt")] * 20
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), RANKS, sample_docs=5)
+    new = spark.createDataFrame([(i, x) for i, x in enumerate(word.values())] + [(5, "abcde1" + word["kt"])], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score > 0.99) for r in language_id.identify(new, model).collect()}
+    assert got == {0: ("aj", True), 1: ("kt", True), 5: ("kt", True)}
+
+
 def test_statistics(docs, empty):
     want = []
     for r in ROWS:
