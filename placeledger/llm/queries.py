@@ -78,6 +78,13 @@ WITH split AS (
 ), shingled AS (
   SELECT DISTINCT kind, id, array_to_string(w[i : i + 4], ' ') AS s
   FROM (SELECT kind, id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM worded)
+  UNION
+  SELECT kind, id, array_to_string(w[i : i + short - 1], ' ')
+  FROM (
+    SELECT kind, id, w, short, unnest(generate_series(1, len(w) - short + 1)) AS i
+    FROM worded, (SELECT DISTINCT len(w) AS short FROM worded WHERE kind = 'b' AND len(w) BETWEEN 1 AND 4)
+    WHERE kind = 'd' AND len(w) >= short
+  )
 ), items AS (
   SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n_shingles FROM shingled WHERE kind = 'b'
 )

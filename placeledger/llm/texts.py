@@ -118,6 +118,20 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
     return out, bounds
 
 
+def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The number of words of each text."""
+    return np.diff(words(data, offsets)[2])
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words within a text, as :func:`shingles` has them, and the text of each."""
+    folded = LOWER[data]
+    starts, ends, first = words(folded, offsets)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    inside = np.flatnonzero(text[size - 1 :] == text[: len(text) - size + 1]) if len(text) >= size else np.zeros(0, np.int64)
+    return roll(span_hash(prefix_hash(folded), starts, ends), size)[inside], text[inside]
+
+
 def roll(hashes: np.ndarray, size: int) -> np.ndarray:
     """The hash of each run of ``size`` consecutive values; the size is part of the hash."""
     if len(hashes) < size:
