@@ -1,7 +1,7 @@
 """Quality rules and robust multivariate outliers.
 
-A text's statistics are transformed to a vector. For each language and source, and for each language and for all as a
-fallback of small groups, the minimum-covariance-determinant estimate of location and scatter is sought by concentration
+A text's statistics are transformed to a vector. For each language and source, and for each language and for all, towards
+which estimates of few rows lean, the minimum-covariance-determinant estimate of location and scatter is sought by concentration
 steps over all rows: the share of rows nearest by Mahalanobis distance gives the next estimate. Each step is one aggregation:
 rows are summed by group and distance bin, so that a group of any size is summed before the shuffle.
 """
@@ -15,15 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeledger.llm.texts import SPACE, prefix_hash, roll, slices, span_hash, words
-from placeledger.session import cut
+from placeledger.session import cut, small
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Share of a group's rows that its estimate rests on.
 SHARE = 0.75
 STEPS = 6
-#: Smaller groups use the estimate of their language, or of all rows.
-MIN_ROWS = 200
+#: An estimate leans towards that of its language, and a language's towards that of all rows, as if so many rows were added.
+PRIOR_ROWS = 25
 #: A row is rejected beyond this squared distance; the 0.999 quantile of chi-squared with 5 degrees of freedom.
 CUTOFF = 20.515
 #: Least spread of each number of the vector: log word length, log symbols, repeated lines, repeated words, capitals.
@@ -162,39 +162,66 @@ def estimate(rows: DataFrame, share_steps: int = STEPS) -> DataFrame:
     their squashed deviations, which gives weight to how the numbers go together.
     """
     mid = rows.groupBy("key").agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(P)]).alias("mid"))
-    apart = rows.join(mid, "key").groupBy("key", "mid").agg(F.array(*[
+    apart = rows.join(small(cut(mid)), "key").groupBy("key", "mid").agg(F.array(*[
         F.greatest(1.4826 * F.percentile_approx(F.abs(F.col("x")[i] - F.col("mid")[i]), 0.5, 1000), F.lit(FLOORS[i])) for i in range(P)]).alias("dev"))
     began = cut(apart)
     z = [(F.col("x")[i] - F.col("mid")[i]) / F.col("dev")[i] for i in range(P)]
-    first = rows.join(began, "key").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    first = rows.join(small(began), "key").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     far = F.when(F.col("start") == 0, sum((a * a for a in z), F.lit(0.0))).otherwise(
         sum((F.tanh(a) * F.tanh(a) for a in z), F.lit(0.0)) + sum((F.pow(F.tanh(z[i]) - F.tanh(z[j]), 2) for i in range(P) for j in range(i)), F.lit(0.0)))
     now = cut(_estimates(_concentrate(first, far, ["key", "start"])))
     for _ in range(share_steps):
         d = _distance([F.col("x")[i] for i in range(P)], [F.col("mean")[i] for i in range(P)], [F.col("inverse")[i] for i in range(P * P)])
-        joined = rows.join(now.select("key", "start", "mean", "inverse"), "key")
+        joined = rows.join(small(now.select("key", "start", "mean", "inverse")), "key")
         now = cut(_estimates(_concentrate(joined, d, ["key", "start"])))
     return now.groupBy("key").agg(F.min(F.struct("logdet", "start", "n", "mean", "inverse", "scale")).alias("e")).select("key", "e.*")
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -> DataFrame:
+def lean(own: DataFrame, wide: DataFrame, on: list[str], prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """The estimates ``own`` mixed with the wider estimate of the same ``on``, by rows against ``prior_rows``.
+
+    The scatter is that of the mixture: how far the two locations are apart is part of it.
+    """
+    names, numbers = own.columns, ["mean", "inverse", "scale"]
+    both = own.join(small(wide.select(*on, *[F.col(c).alias(f"wide_{c}") for c in numbers])), on)
+
+    def work(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                part = row.n / (row.n + prior_rows) if row.n + prior_rows else 1.0
+                apart = np.array(row.mean) - np.array(row.wide_mean)
+                scatter = [np.linalg.inv(np.array(x).reshape(P, P)) for x in (row.inverse, row.wide_inverse)]
+                mixed = part * scatter[0] + (1 - part) * scatter[1] + part * (1 - part) * np.outer(apart, apart)
+                scale = np.exp(part * np.log(row.scale) + (1 - part) * np.log(row.wide_scale))
+                out.append((part * apart + np.array(row.wide_mean), np.linalg.inv(mixed).ravel(), float(scale)))
+            if out:
+                pdf = pdf.drop(columns=numbers).join(pd.DataFrame(out, columns=numbers, index=pdf.index))
+            yield pdf[names]
+
+    return both.mapInPandas(work, own.schema)
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """The statistics of each row with ``base_failed``, ``distance`` and ``kept``.
 
     Rows that fail the base rules are not kept and take no part in the estimates. ``distance`` is the squared Mahalanobis
     distance from the row's group, divided by how far the group's median exceeds that of chi-squared (where it does); a row is
-    kept up to ``cutoff``. A null language or source is a group of its own. Groups of fewer than ``min_rows`` rows are judged by their
-    language, smaller languages by all rows. Rows may repeat; an empty table gives an empty result.
+    kept up to ``cutoff``. A null language or source is a group of its own. Each group has an estimate of its own, which leans
+    (:func:`lean`) towards its language's, that towards the estimate of all rows; a group none of whose rows passes the base rules
+    needs none. Rows may repeat; an empty table gives an empty result.
     """
     stats = cut(statistics(docs))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     keys = F.array(F.concat(F.lit("0"), name("lang"), F.lit("\n"), name("source")), F.concat(F.lit("1"), name("lang")), F.lit("2"))
     vectors = stats.filter(~F.col("base_failed")).select(F.explode(keys).alias("key"), F.array(*_vector()).alias("x"))
     best = cut(estimate(vectors))
-    own = stats.select("*", keys.alias("__keys"), F.array(*_vector()).alias("x"))
-    usable = best.filter((F.col("n") >= min_rows) | F.col("key").startswith("2")).select("key", F.struct("mean", "inverse", "scale").alias("e"))
-    for k in range(3):
-        own = own.join(usable.select(F.col("key").alias(f"__k{k}"), F.col("e").alias(f"__e{k}")), F.col("__keys")[k] == F.col(f"__k{k}"), "left")
-    own = own.withColumn("e", F.coalesce("__e0", "__e1", "__e2"))
+    level, kind = F.substring("key", 1, 1), F.concat(F.lit("1"), F.substring_index(F.expr("substring(key, 2)"), "\n", 1))
+    everything = best.filter(level == "2")
+    languages = cut(lean(best.filter(level == "1").withColumn("all", F.lit(1)), everything.withColumn("all", F.lit(1)), ["all"], prior_rows).drop("all"))
+    groups = lean(best.filter(level == "0").withColumn("language", kind), languages.withColumnRenamed("key", "language"), ["language"], prior_rows)
+    usable = cut(groups.select("key", F.struct("mean", "inverse", "scale").alias("e")))
+    own = stats.select("*", keys[0].alias("key"), F.array(*_vector()).alias("x")).join(small(usable), "key", "left")
     d = _distance([F.col("x")[i] for i in range(P)], [F.col("e.mean")[i] for i in range(P)], [F.col("e.inverse")[i] for i in range(P * P)])
     out = own.withColumn("distance", d / F.greatest(F.col("e.scale") / _CHI2_MEDIAN, F.lit(1.0)))
     return out.select(*stats.columns, "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"))

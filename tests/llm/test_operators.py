@@ -407,7 +407,7 @@ def test_statistics(docs, empty):
                 dups += line in seen
                 seen.add(line)
         want.append((r[0], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dups, len(again), len(w) < 50 or 100 * len(again) > 50 * len(w)))
-    got = outliers.judge(docs, min_rows=5).collect()
+    got = outliers.judge(docs).collect()
     same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got], want)
     assert not any(r.kept for r in got if r.base_failed)
     assert outliers.judge(empty).collect() == []
@@ -417,8 +417,43 @@ def test_outliers(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, 120), "l", "s") for i in range(120)]
     rows += [(1000 + i, " ".join(w + "$$$" for w in prose(rng, 120).split()), "l", "s") for i in range(20)]
-    got = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_rows=50).collect()
-    assert all(r.kept == (r.doc_id < 1000) for r in got)
+    rows += [(i, prose(rng, 120), "l", "t") for i in range(200, 500)]
+    # A rare source whose ordinary rows look like outliers of the language, and an outlier of it that others would not be.
+    rows += [(2000 + i, " ".join(w + "&&" for w in prose(rng, 120).split()), "l", "rare") for i in range(60)]
+    rows += [(1100, prose(rng, 120), None, "s"), (1101, prose(rng, 120, "ab"), None, None), (1102, "few", "m", "none of them")]
+    got = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r.kept for r in got}
+    assert all(by[i] == (i < 1000) for i in by if i < 1100) and all(by[i] for i in by if i >= 2000) and not by[1102]
+
+
+def test_verdicts(spark):
+    """Distances by numpy from the estimates' own numbers, and estimates that hold the least determinant found."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, outliers.P)) * np.array([0.3, 1.0, 0.5, 0.4, 0.2])
+    x[:40] += 6
+    rows = spark.createDataFrame([("g", v.tolist()) for v in x], "key string, x array<double>")
+    e = outliers.estimate(rows).first()
+    floor = np.diag(np.square(outliers.FLOORS))
+    clean = np.cov(x[40:].T, bias=True) + floor
+    assert e.logdet < np.linalg.slogdet(clean)[1] and np.abs(np.array(e["mean"]) - x[40:].mean(axis=0)).max() < 0.15
+    far = [(v - e["mean"]) @ np.array(e.inverse).reshape(outliers.P, -1) @ (v - e["mean"]) for v in x]
+    assert min(far[:40]) > 2 * max(far[40:])
+    # A concentration step cannot make the determinant of the nearest rows less by more than a bin holds.
+    nearest = x[np.argsort(far)[: int(outliers.SHARE * len(x))]]
+    assert abs(np.linalg.slogdet(np.cov(nearest.T, bias=True) + floor)[1] - e.logdet) < 0.25
+
+    def frame(key, n, mean, scatter):
+        return spark.createDataFrame([(key, n, mean, np.linalg.inv(scatter).ravel().tolist(), 1.0)], "key string, n long, mean array<double>, inverse array<double>, scale double")
+
+    a, b = np.eye(outliers.P), 4 * np.eye(outliers.P)
+    for n in (0, 1, 25, 10**9):
+        got = outliers.lean(frame("k", n, [0.0] * outliers.P, a), frame("k", 7, [2.0] * outliers.P, b), ["key"]).first()
+        part = n / (n + outliers.PRIOR_ROWS)
+        want = part * a + (1 - part) * b + part * (1 - part) * 4 * np.ones((outliers.P, outliers.P))
+        assert np.allclose(np.linalg.inv(np.array(got.inverse).reshape(outliers.P, -1)), want) and np.allclose(got["mean"], 2 * (1 - part))
 
 
 def test_chat(spark):
