@@ -254,6 +254,26 @@ def budget_gate(rows: DataFrame, flag: str, seq: str, budget: int, cost: int = 5
     return rows.withColumn("escalate", F.coalesce(F.col(flag) & (F.col(seq) <= cut.scalar()), F.lit(False)))
 
 
+def running_budget(rows: DataFrame, flag: str, seq: str, cost: str, budget: int) -> DataFrame:
+    """Adds ``spent`` and ``escalate``: flagged rows in run order until the next one would go over the budget.
+
+    Rows have costs of their own (null: 0, none negative). ``spent`` is the cost of the flagged rows up to the row. The rows
+    are dealt by ranges of ``seq`` and written once; each range begins with the sum of the ranges before, one number each.
+    Rows of one ``seq`` are paid for together. A null flag is not flagged; null turns come first.
+    """
+    price = F.when(F.col(flag), F.coalesce(F.col(cost), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    dealt = cut(rows.withColumn("__price", price).repartitionByRange(F.col(seq)).withColumn("__range", F.spark_partition_id()))
+    totals = dealt.groupBy("__range").agg(F.sum("__price").alias("__total"))
+    before = totals.select(
+        "__range", (F.sum("__total").over(Window.orderBy("__range")) - F.col("__total")).alias("__before")  # one row per range
+    )
+    inside = Window.partitionBy("__range").orderBy(seq)  # with ties, by value and not by row
+    spent = F.col("__before") + F.sum("__price").over(inside)
+    out = dealt.join(F.broadcast(before), "__range").withColumn("spent", spent)
+    escalate = F.coalesce(F.col(flag), F.lit(False)) & (F.col("spent") <= budget)
+    return out.withColumn("escalate", escalate).select(*rows.columns, "spent", "escalate")
+
+
 def grid_coverage(points: DataFrame, shards: int = 1, grid=cat.GRID) -> DataFrame:
     """Cells of the search grid with their centre, shard and number of points; empty cells show 0."""
     step = grid["step"]

@@ -165,6 +165,18 @@ def budget_gate(d):
     return lc.budget_gate(rows, "unsure", "seq", _BUDGET).select("seq", "escalate")
 
 
+@query(f"""
+SELECT seq, spent, unsure AND spent <= {_BUDGET} AS escalate FROM (
+  SELECT o_orderkey AS seq, o_orderstatus = 'P' AS unsure, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 + o_custkey % 9 ELSE 0 END)
+    OVER (ORDER BY o_orderkey) AS BIGINT) AS spent FROM orders)
+""")
+def running_budget(d):
+    rows = d.orders.select(
+        F.col("o_orderkey").alias("seq"), (F.col("o_orderstatus") == "P").alias("unsure"), (1 + F.col("o_custkey") % 9).alias("cost")
+    )
+    return lc.running_budget(rows, "unsure", "seq", "cost", _BUDGET).select("seq", "spent", "escalate")
+
+
 @query("""
 SELECT c.cell, lat, lng, shard, coalesce(p.points, 0) AS points FROM (
   SELECT range AS cell, (range // 30) * 2 + 24 + 1.0e0 AS lat, (range % 30) * 2 - 125 + 1.0e0 AS lng, range % 4 AS shard

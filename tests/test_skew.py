@@ -74,3 +74,21 @@ def test_radius_join_in_one_cell(spark):
     w = Window.partitionBy("point_id").orderBy("miles", "id")
     plain = pairs.withColumn("r", F.row_number().over(w)).filter("r <= 200").select("point_id", "id")
     assert same(got, plain) and plain.count() >= 200
+
+
+def test_running_budget_is_the_loop(spark):
+    made = [(None if i == 7 else i * 37 % 1000, None if i % 11 == 0 else i % 3 == 0, None if i % 13 == 0 else i * 7 % 10, "x") for i in range(1000)]
+    made += [(500, True, 4, "tie")]
+    table = spark.createDataFrame(made, "seq int, flag boolean, cost int, spent_on string").repartition(9)
+    for budget in (-1, 0, 90, 10**6):
+        want, total = {}, {}
+        for seq, flag, cost, _ in made:
+            total[seq] = total.get(seq, 0) + (cost or 0 if flag else 0)
+        run = 0
+        for seq in sorted(total, key=lambda k: -1 if k is None else k):
+            run += total[seq]
+            want[seq] = run
+        got = lc.running_budget(table, "flag", "seq", "cost", budget).collect()
+        expected = sorted((str(a), str(b), want[a], bool(b) and want[a] <= budget) for a, b, _, _ in made)
+        assert sorted((str(r.seq), str(r.flag), r.spent, r.escalate) for r in got) == expected
+    assert lc.running_budget(table.limit(0), "flag", "seq", "cost", 5).collect() == []
