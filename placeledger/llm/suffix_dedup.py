@@ -4,10 +4,12 @@ Whole corpora have no index that fits a task, so the text is dealt out such that
 window of that length is assigned to the k-gram in it with the smallest hash, and neighbouring windows with one such anchor
 make a piece. Anchors found in one document only cannot be part of a match; two Bloom filters leave them out. The pieces of
 the others go to the bucket of their anchor; where an anchor has many different pieces (at the ends of a passage that many
-documents share), these are cut into their windows, which go to the buckets of the windows' hashes. There a run-compressed Burrows-Wheeler transform of the distinct pieces is built,
-with the text positions of the run ends as samples. The pieces are streamed through it from right to left: backward steps
-give the matching statistics (the interval of the longest match, up to the wanted length, and the position of one
-occurrence). Where the match is long enough and its first document is smaller, the bytes are marked.
+documents share), these are cut into their windows, which go to the buckets of the windows' hashes. There a run-compressed
+Burrows-Wheeler transform of the distinct pieces is built, the documents that come first last in the text, with rows ordered by as
+many bytes as a window has but one, and equal rows by text position. The text positions of the run ends are its samples. The
+pieces are streamed through it from right to left: a backward step gives the rows that begin with a window, and the sample of
+the last run there is the last occurrence in the text, so one in the first document that has it. Where that document is
+smaller than an occurrence's own, the bytes are marked. Nothing of the index is as long as its text.
 """
 
 from __future__ import annotations
@@ -32,7 +34,17 @@ SEPARATOR = 0xFF
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = 1 << 28):
-    """Pieces of the texts: text, start, number of windows, anchor hash and content hash of each.
+    """Pieces of the texts: text, start, number of windows, anchor hash and content hash of each."""
+    return placed(data, offsets, length, limit)[:5]
+
+
+def gram(length: int) -> int:
+    """Bytes of an anchor."""
+    return max(1, min(24, length // 2))
+
+
+def placed(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = 1 << 28):
+    """As :func:`anchors`, and the position of each piece's anchor within the piece.
 
     Positions have 28 bits, so more than ``limit`` bytes are taken in parts, which overlap by less than a window.
     """
@@ -40,15 +52,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = 1 <
         parts = []
         for at in range(0, len(data) - length + 1, limit - length + 1):
             part = data[at : at + limit]
-            text, starts, *more = anchors(part, np.clip(offsets - at, 0, len(part)), length, limit)
+            text, starts, *more = placed(part, np.clip(offsets - at, 0, len(part)), length, limit)
             parts.append((text, starts + at, *more))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     none = np.zeros(0, np.int64)
-    k = max(1, min(24, length // 2))
+    k = gram(length)
     width = length - k + 1  # k-grams in a window
     windows = len(data) - length + 1
     if windows <= 0:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
     sums = prefix_hash(data)
     at = np.arange(len(data) - k + 1)
     grams = span_hash(sums, at, at + k)
@@ -65,63 +77,49 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = 1 <
     counts = np.maximum(sizes - length + 1, 0)
     at = np.repeat(offsets[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     if not len(at):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
     own = anchor[at]
     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])]))
     n = np.diff(np.append(first, len(at)))
     starts = at[first]
-    return text[first], starts, n, grams[own[first]], span_hash(sums, starts, starts + n + length - 1)
+    return text[first], starts, n, grams[own[first]], span_hash(sums, starts, starts + n + length - 1), own[first] - starts
 
 
 def split(found, sums: np.ndarray, length: int, hot: np.ndarray):
     """The pieces with those of ``hot`` anchors cut into single windows, each with its own hash as anchor."""
-    text, starts, windows, hashes, contents = found
+    text, starts, windows, hashes, contents, *inside = found
     some = hot[(hashes & np.uint64(len(hot) - 1)).astype(np.int64)]
     if not some.any():
         return found
     n = windows[some]
     at = np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     own = span_hash(sums, at, at + length)
-    parts = ((text, np.repeat(text[some], n)), (starts, at), (windows, np.ones(len(at), windows.dtype)), (hashes, own), (contents, own))
+    parts = [(text, np.repeat(text[some], n)), (starts, at), (windows, np.ones(len(at), windows.dtype)), (hashes, own), (contents, own)]
+    # The anchor stands where it stood in the text.
+    parts += [(x, np.repeat((x + starts)[some], n) - at) for x in inside]
     return tuple(np.concatenate([a[~some], b]) for a, b in parts)
 
 
 class RunIndex:
     """A run-compressed Burrows-Wheeler transform of pieces (each closed by a separator) with sampled run ends.
 
-    ``owners`` is the least document of each piece. Kept are the runs (start, byte, ranks, the text position at the end), the
-    intervals of suffixes that agree in ``length`` - 1 bytes (bounds, the text position at the end), and for each text position the least owner of the
-    ``length`` bytes there; the suffix array is not.
+    ``data`` has the pieces one after another, each with its separator, in falling order of their least documents ``owners``;
+    ``starts`` and ``sizes`` are without it. Rows are suffixes by their first ``length`` - 1 bytes, equal ones by text position.
+    Kept are the runs (start, byte, rank, the text position at the end), the classes of equal rows (end, the text position at
+    the end), and bounds and owners of the pieces; neither the order of the suffixes nor anything else by text position is.
     """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int):
-        # data: the pieces one after another, each with its separator; starts and sizes are without it.
         self.length, self.n = length, len(data)
+        self.starts, self.owners = starts, owners
         n = self.n
-        piece = np.repeat(np.arange(len(sizes)), sizes + 1)
-        left = (starts + sizes)[piece] - np.arange(n)  # bytes before the separator
-        order, rank = self._sorted(data, left, int(sizes.max(initial=0)))
-        sums = prefix_hash(data)
-
-        def classes(size: int) -> np.ndarray:
-            """Where intervals of suffixes that agree in ``size`` bytes begin; shorter suffixes are alone."""
-            long = left[order] >= size
-            ends = np.minimum(order + size, n)
-            hashes = span_hash(sums, order, ends)
-            new = np.ones(n, dtype=bool)
-            new[1:] = (hashes[1:] != hashes[:-1]) | ~long[1:] | ~long[:-1]
-            return np.flatnonzero(new)
-
-        wanted = classes(length)
-        least = np.minimum.reduceat(owners[piece[order]], wanted)
-        self.first_owner = np.empty(n, dtype=np.int64)
-        self.first_owner[order] = np.repeat(least, np.diff(np.append(wanted, n)))
-        self.parents = np.append(classes(length - 1), n)
-        self.parent_samples = order[self.parents[1:] - 1]
-        # Each piece enters the stream with its last window.
-        at = np.searchsorted(wanted, rank[starts + sizes - length], "right")
-        self.entries = np.append(wanted[1:], n)[at - 1]
-        self.entry_samples = order[self.entries - 1]
+        left = np.repeat(starts + sizes, sizes + 1) - np.arange(n)  # bytes before the separator
+        order, rank = self._sorted(data, left, length - 1)
+        ranked = rank[order]
+        self.ends = np.append(np.flatnonzero(ranked[1:] != ranked[:-1]) + 1, n)
+        self.end_samples = order[self.ends - 1]
+        # Each piece enters the stream with the class of its last bytes.
+        self.entries = rank[starts + sizes - (length - 1)]
         bwt = data[order - 1]  # before the first byte stands the last separator
         heads = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         run_ends = np.append(heads[1:], n)
@@ -130,15 +128,14 @@ class RunIndex:
         # Runs by byte and start: one search finds the last run of a byte that begins before a row.
         self.keys = byte[by] * np.int64(n + 1) + heads[by]
         self.heads, self.lengths = heads[by], (run_ends - heads)[by]
-        before = np.cumsum(self.lengths) - self.lengths
-        self.before = before  # rows of smaller bytes, and of this byte in earlier runs
+        self.before = np.cumsum(self.lengths) - self.lengths  # rows of smaller bytes, and of this byte in earlier runs
         self.samples = order[run_ends - 1][by]
 
     @staticmethod
-    def _sorted(data: np.ndarray, left: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes in order, equal ones by position, and the rank of each: by five bytes, then by doubling."""
-        n, span = len(data), 5
-        place = np.arange(n, dtype=np.uint64)
+    def _sorted(data: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes by their first ``depth`` bytes, equal ones by position, and the rank of each: by five bytes, then by doubling."""
+        n, span = len(data), min(5, depth)
+        place = np.arange(n)
         padded = np.concatenate([data, np.zeros(span, np.uint8)])
         key = np.zeros(n, dtype=np.uint64)
         for j in range(span):
@@ -147,54 +144,57 @@ class RunIndex:
         while True:
             if n < 1 << 21:
                 # The position fits behind the key, so plain numbers are sorted.
-                packed = np.sort((key << np.uint64(21)) | place)
+                packed = np.sort((key << np.uint64(21)) | place.astype(np.uint64))
                 order, ordered = (packed & np.uint64((1 << 21) - 1)).astype(np.int64), packed >> np.uint64(21)
             else:
                 order = np.argsort(key, kind="stable")
                 ordered = key[order]
-            rank = np.empty(n, dtype=np.uint64)
-            rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)])).astype(np.uint64)
-            if span > longest:
-                row = np.empty(n, dtype=np.int64)
-                row[order] = np.arange(n)
-                return order, row
-            second = np.where(span <= left, rank[np.minimum(np.arange(n) + span, n - 1)] + np.uint64(1), np.uint64(0))
-            key = (rank << np.uint64(22 if n < 1 << 21 else 32)) | second
-            span *= 2
-
-    def _step(self, rows: np.ndarray, byte: np.ndarray):
-        """Ends of intervals after a backward step with ``byte`` from intervals that end at ``rows``, and the last run of it there."""
-        at = np.searchsorted(self.keys, byte * np.int64(self.n + 1) + rows, "left") - 1
-        inside = np.minimum(rows - self.heads[at], self.lengths[at])
+            rank = np.empty(n, dtype=np.int64)
+            rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
+            if span == depth:
+                return order, rank
+            # The second half overlaps the first where the depth is not a double.
+            step = min(span, depth - span)
+            second = np.where(step <= left, rank[np.minimum(place + step, n - 1)] + 1, 0)
+            key = (rank.astype(np.uint64) << np.uint64(22 if n < 1 << 21 else 32)) | second.astype(np.uint64)
+            span += step
+
+    def _step(self, ends: np.ndarray, byte: np.ndarray):
+        """Ends of the rows reached by a backward step with ``byte`` from rows that end at ``ends``, and the last run of it there."""
+        at = np.searchsorted(self.keys, byte * np.int64(self.n + 1) + ends, "left") - 1
+        inside = np.minimum(ends - self.heads[at], self.lengths[at])
         return self.before[at] + inside, at
 
     def stream(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
-        """Matching statistics of pieces that are in the index: for each window of a piece, the position of an occurrence.
+        """Matching statistics of pieces that are in the index: for each window, the position of its last occurrence.
 
-        A piece has an interval (its last row, and that row's position) of the suffixes that begin with its window; all pieces
-        take a backward step at a time, from their last window to their first. Yields (pieces, window, position).
+        A match is as long as it may get, a window; its last byte goes before the next step, which widens the interval to the
+        class of equal rows that has it. All pieces take a step at a time, from their last window to their first. Yields
+        (pieces, window, position).
         """
-        high, place = self.entries.copy(), self.entry_samples.copy()
         windows = sizes - self.length + 1
-        yield np.arange(len(sizes)), windows - 1, place
-        for step in range(1, int(windows.max(initial=0))):
+        at = self.entries.copy()
+        for step in range(int(windows.max(initial=0))):
             on = np.flatnonzero(windows > step)
-            # The match is as long as it may get: its last byte goes, and the interval widens.
-            at = np.searchsorted(self.parents, high[on] - 1, "right")
-            wide, last = self.parents[at], self.parent_samples[at - 1]
+            wide, last = self.ends[at[on]], self.end_samples[at[on]]
             window = windows[on] - 1 - step
-            high[on], run = self._step(wide, data[starts[on] + window].astype(np.int64))
-            # The last row of the new interval comes from the last run of the byte: from its end, or from the interval's last row.
+            high, run = self._step(wide, data[starts[on] + window].astype(np.int64))
+            # The last occurrence comes from the last row of the byte: the end of its run, or of the class if the run goes on.
             whole = self.heads[run] + self.lengths[run] <= wide
-            place[on] = np.where(whole, self.samples[run], last) - 1
-            yield on, window, place[on]
+            at[on] = np.searchsorted(self.ends, high - 1, "right")
+            yield on, window, np.where(whole, self.samples[run], last) - 1
+
+    def first_owner(self, place: np.ndarray) -> np.ndarray:
+        """The document of the piece at a text position."""
+        return self.owners[np.searchsorted(self.starts, place, "right") - 1]
+
 
 def _index_bucket(got: list[tuple[np.ndarray, ...]], length: int):
     """First owners of the windows of a bucket's distinct pieces, their bounds, and the number of each block's pieces (or -1).
 
     Of an anchor that the filters let through by mistake, all pieces are of one document; such pieces are left out.
     """
-    hashes, sizes, owners, greatest, anchor, data = (np.concatenate([g[k] for g in got]) for k in (0, 1, 2, 3, 4, 5))
+    hashes, sizes, owners, greatest, anchor, data = (np.concatenate(x) for x in zip(*got, strict=True))
     sizes = sizes.astype(np.int64)
     starts = np.cumsum(sizes) - sizes
     order = np.argsort(anchor)
@@ -209,8 +209,12 @@ def _index_bucket(got: list[tuple[np.ndarray, ...]], length: int):
     _, first, inverse = np.unique(hashes[kept], return_index=True, return_inverse=True)
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, inverse, owners[kept])
-    first, numbers = kept[first], np.full(len(hashes), -1)
-    numbers[kept] = inverse
+    # The documents that come first stand last in the text.
+    falling = np.argsort(-least, kind="stable")
+    at = np.empty(len(first), dtype=np.int64)
+    at[falling] = np.arange(len(first))
+    first, least, numbers = kept[first[falling]], least[falling], np.full(len(hashes), -1)
+    numbers[kept] = at[inverse]
     own_sizes = sizes[first]
     own_starts = np.cumsum(own_sizes + 1) - (own_sizes + 1)
     total = int((own_sizes + 1).sum())
@@ -223,7 +227,7 @@ def _index_bucket(got: list[tuple[np.ndarray, ...]], length: int):
     bounds = np.cumsum(windows) - windows
     out = np.empty(int(windows.sum()), dtype=np.int64)
     for pieces, window, place in index.stream(text, own_starts, own_sizes):
-        out[bounds[pieces] + window] = index.first_owner[place]
+        out[bounds[pieces] + window] = index.first_owner(place)
     return out, bounds, windows, numbers
 
 
