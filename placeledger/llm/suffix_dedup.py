@@ -231,6 +231,18 @@ def _index_bucket(got: list[tuple[np.ndarray, ...]], length: int):
     return out, bounds, windows, numbers
 
 
+def received(sizes, inside, data, counts, doc, ids, length: int) -> tuple[np.ndarray, ...]:
+    """Content hash, size, least and greatest document and anchor of a block's pieces, and their bytes.
+
+    The block has their sizes, the places of the anchors in them, their bytes, how often each occurs, and the documents of the
+    occurrences (numbers into ``ids``), which are in order by piece and document.
+    """
+    ends = np.cumsum(sizes, dtype=np.int64)
+    starts, last, anchor = ends - sizes, np.cumsum(counts, dtype=np.int64), ends - sizes + inside
+    sums = prefix_hash(data)
+    return span_hash(sums, starts, ends), sizes, ids[doc[last - counts]], ids[doc[last - 1]], span_hash(sums, anchor, anchor + gram(length)), data
+
+
 def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """(doc_id, text_key, spans): byte ranges, as pairs of 32-bit numbers, covered by long strings of earlier documents."""
     spark = docs.sparkSession
@@ -259,14 +271,15 @@ def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS, hot_pie
                 raw, at = arrow_bytes(part)
                 found = []
                 for row, data, offsets in slices(part):
-                    text, starts, windows, hashes, contents = anchors(data, offsets, length)
+                    text, starts, windows, hashes, contents, inside = placed(data, offsets, length)
                     hit = np.flatnonzero(bloom.has(filters, hashes, PROBES))
                     base = at[row]
-                    text, starts, windows, hashes, contents = (x[hit] for x in (text, starts, windows, hashes, contents))
+                    pieces = tuple(x[hit] for x in (text, starts, windows, hashes, contents, inside))
                     if hot.any():
-                        text, starts, windows, hashes, contents = split((text, starts, windows, hashes, contents), prefix_hash(data), length, hot)
-                    found.append((text + begin + row, starts - offsets[text], starts + base, windows, hashes, contents))
-                text, start, place, windows, hashes, contents = (np.concatenate(x) for x in zip(*found, strict=True))
+                        pieces = split(pieces, prefix_hash(data), length, hot)
+                    text, starts, windows, hashes, contents, inside = pieces
+                    found.append((text + begin + row, starts - offsets[text], starts + base, windows, hashes, contents, inside))
+                text, start, place, windows, hashes, contents, inside = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(text):
                     continue
                 bucket = (mix(hashes) % np.uint64(n)).astype(np.int64)
@@ -280,20 +293,21 @@ def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS, hot_pie
                     sizes = windows[one] + length - 1
                     shift = np.cumsum(sizes) - sizes
                     data = raw[np.repeat(place[one] - shift, sizes) + np.arange(sizes.sum())]
-                    piece = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(some))))
                     names, doc = np.unique(text[some], return_inverse=True)
+                    # Hashes and documents of the pieces follow from the rest; see `received`.
                     out.append((0, int(b), blocks.pack(
-                        contents[one], blocks.least(sizes), ids[text[one]], ids[text[some[np.append(new[1:], len(some)) - 1]]], hashes[one], data, blocks.least(piece), blocks.least(doc), blocks.least(start[some]), ids[names], keys[names])))
+                        blocks.least(sizes), blocks.least(inside[one]), data, blocks.least(np.diff(np.append(new, len(some)))),
+                        blocks.least(doc), blocks.least(start[some]), ids[names], keys[names])))
                 yield blocks.asked(out)
 
     def work(group: pa.Table) -> pa.Table:
         got = [blocks.unpack(p) for p in group.column("payload").to_pylist()]
-        owner, bounds, windows, numbers = _index_bucket([g[:6] for g in got], length)
+        owner, bounds, windows, numbers = _index_bucket([received(*g[:5], g[6], length) for g in got], length)
         base = 0
         found: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
-        for hashes, _, _, _, _, _, piece, doc, start, ids, keys in got:
-            of = numbers[base : base + len(hashes)][piece]
-            base += len(hashes)
+        for _, _, _, counts, doc, start, ids, keys in got:
+            of = np.repeat(numbers[base : base + len(counts)], counts)
+            base += len(counts)
             here = np.flatnonzero(of >= 0)
             of, doc, start = of[here], doc[here], start[here]
             if not len(of):
