@@ -323,6 +323,26 @@ METRO_POINTS = [
     ("Boston", 42.36, -71.06),
 ]
 
+# Published questions and answers of a store page, fixed text. Names in braces are filled in.
+FAQ_TEXT = {
+    "where": ("Where is {name} located?", "{name} is located at {address}."),
+    "phone": ("What is {name}'s phone number?", "You can reach {name} by phone at {phone}."),
+    "hours": ("What are {name}'s hours?", "{name}'s hours are: {hours}."),
+    "website": ("Does {name} have a website?", "Yes, you can visit {name}'s website at {website}."),
+    "games": ("What games does {name} sell?", "{name} carries {products}."),
+    "mtg": ("Does {name} sell Magic: The Gathering cards?", "Yes, {name} sells Magic: The Gathering cards."),
+    "pokemon": ("Does {name} sell Pokemon cards?", "Yes, {name} sells Pokemon TCG cards."),
+    "miniatures": ("Does {name} have Warhammer products?", "Yes, {name} carries Warhammer and miniatures products."),
+    "events": ("Does {name} host events?", "Yes, {name} hosts in-store events.{schedule}"),
+    "singles": (
+        "Can I buy Magic: The Gathering singles from {name} online?",
+        "Yes, {name} sells Magic: The Gathering singles through their online presence.",
+    ),
+    "wpn": ("Is {name} a WPN store?", "Yes, {name} is a {level} member of Wizards Play Network."),
+    "rating": ("What is {name}'s rating?", "{name} has a {rating} out of 5 star rating on Google based on {reviews} reviews."),
+}
+FAQ_SCHEDULE = " Check their events schedule at {event_url}."
+
 # --- fixed values: limits and weights ------------------------------------------------------------------------
 EARTH_RADIUS_MILES = 3958.8
 FUZZY_NAME_THRESHOLD = 85
