@@ -220,11 +220,4 @@ def write_report(df: DataFrame, path: str, group: str | None = None) -> None:
     (writer.partitionBy(group) if group else writer).csv(path)
 
 
-def write_snapshot(df: DataFrame, root: str, version: str) -> str:
-    """Write the next version of a table beside the others; the path being read is never overwritten."""
-    path = f"{root.rstrip('/')}/version={version}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
-
-
 KNOWN_SOURCES = sorted(cat.DEFAULT_CATEGORIES)
