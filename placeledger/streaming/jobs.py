@@ -7,6 +7,7 @@ replaces its own files.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from placeledger.operators import ingest as ig
 
 FAILED = ("unreachable", "dead")
+# State rows that the presences of a check stream share.
+STATE_BUCKETS = 512
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -29,43 +32,63 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 # --- check failures ------------------------------------------------------------------------------------------
 
-def failure_changes(checks: DataFrame, n: int = 3, ttl_hours: int | None = None) -> DataFrame:
+def failure_changes(checks: DataFrame, n: int = 3, ttl_hours: int | None = None, buckets: int = STATE_BUCKETS) -> DataFrame:
     """(presence_id, change, failing, ts): a row whenever "the last ``n`` checks all failed" becomes true or false.
 
     ``checks`` has presence_id, status, ts and a tie column ``seq``. The state of a presence is its ``n`` newest outcomes by event
-    time, so late checks take their right place; only presences with new checks are read and written. ``change`` counts the
-    changes of a presence. With ``ttl_hours`` the watermark is so much behind the newest check of all: older checks are not read any
-    more, and presences whose newest check is older are forgotten.
+    time, so late checks take their right place. ``change`` counts the changes of a presence. Presences share ``buckets`` state rows
+    by hash, since a call and a state row for each presence cost far more than its checks; only buckets with new checks are read
+    and written. With ``ttl_hours`` the watermark is so much behind the newest check of all: older checks are not read any more, and
+    presences whose newest check is older are forgotten.
     """
     timed = checks.filter(F.col("presence_id").isNotNull()).withColumn("at", F.col("ts").cast("timestamp"))
     timed = timed if ttl_hours is None else timed.withWatermark("at", f"{ttl_hours} hours")
     rows = timed.select(
-        "presence_id", "at", F.unix_micros("at").alias("micros"), F.col("seq").cast("bigint").alias("seq"),
+        F.pmod(F.xxhash64("presence_id"), F.lit(buckets)).cast("int").alias("bucket"), "presence_id", "at",
+        F.unix_micros("at").alias("micros"), F.col("seq").cast("bigint").alias("seq"),
         F.coalesce(F.col("status").isin(*FAILED), F.lit(False)).alias("bad"),
     )
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        newest, was, change = [], False, 0
+        held, touched = {}, set()  # presence: [failing, change, newest checks]
         if state.exists:
-            micros, seqs, bads, was, change = state.get
-            newest = list(zip(micros, seqs, bads, strict=True))
-        for f in frames:  # a frame is a bounded batch
-            newest = sorted([*newest, *zip(f["micros"].tolist(), f["seq"].tolist(), f["bad"].tolist(), strict=True)])[-n:]
-        failing = len(newest) == n and all(bad for _, _, bad in newest)
-        change += failing != was
-        state.update((*map(list, zip(*newest, strict=True)), failing, change))
+            names, was, changes, sizes, *checks_of = state.get
+            flat = zip(*checks_of, strict=True)
+            held = {p: [f, c, list(islice(flat, size))] for p, f, c, size in zip(names, was, changes, sizes, strict=True)}
+        if not state.hasTimedOut:
+            for f in frames:  # a frame is a bounded batch
+                seen = f["presence_id"].tolist()
+                for p, *check in zip(seen, f["micros"].tolist(), f["seq"].tolist(), f["bad"].tolist(), strict=True):
+                    held.setdefault(p, [False, 0, []])[2].append(tuple(check))
+                for p in set(seen):
+                    held[p][2] = sorted(held[p][2])[-n:]
+                touched.update(seen)
+        out = []
+        for p in touched:
+            was, change, newest = held[p]
+            failing = len(newest) == n and all(bad for _, _, bad in newest)
+            if failing != was:
+                held[p][:2] = failing, change + 1
+                out.append((p, change + 1, failing, newest[-1][0]))
         if ttl_hours is not None:
-            state.setTimeoutTimestamp(max(newest[-1][0] // 1000, state.getCurrentWatermarkMs()) + 1)
-        if failing != was:
-            yield pd.DataFrame({"presence_id": [key[0]], "change": [change], "failing": [failing], "micros": [newest[-1][0]]})
+            now = state.getCurrentWatermarkMs()
+            held = {p: h for p, h in held.items() if h[2][-1][0] // 1000 + 1 >= now}
+        if held:
+            was, changes, lists = zip(*held.values(), strict=True)
+            flat = [check for newest in lists for check in newest]
+            state.update((list(held), list(was), list(changes), list(map(len, lists)), *map(list, zip(*flat, strict=True))))
+            if ttl_hours is not None:
+                state.setTimeoutTimestamp(max(min(newest[-1][0] for newest in lists) // 1000, now) + 1)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["presence_id", "change", "failing", "micros"])
 
     kind = dict(checks.dtypes)["presence_id"]
-    out = rows.groupBy("presence_id").applyInPandasWithState(
+    out = rows.groupBy("bucket").applyInPandasWithState(
         update, f"presence_id {kind}, change bigint, failing boolean, micros bigint",
-        "micros array<bigint>, seqs array<bigint>, bads array<boolean>, failing boolean, change bigint", "append",
+        f"names array<{kind}>, failing array<boolean>, changes array<bigint>, sizes array<int>, micros array<bigint>,"
+        " seqs array<bigint>, bads array<boolean>", "append",
         GroupStateTimeout.NoTimeout if ttl_hours is None else GroupStateTimeout.EventTimeTimeout,
     )
     return out.select("presence_id", "change", "failing", F.timestamp_micros("micros").alias("ts"))

@@ -47,6 +47,23 @@ def test_failures_follow_event_time(spark, tmp_path):
     assert {r.presence_id for r in jobs.failing_now(changes).collect()} == {p for p, (failing, _) in was.items() if failing}
 
 
+def test_failures_share_state_rows(spark, tmp_path):
+    """State rows and calls are bounded by the buckets, not by the presences; a presence past the watermark is forgotten."""
+    first = [(f"p{i}", "dead", START + datetime.timedelta(hours=h), h) for i in range(1500) for h in range(3)]
+    second = [(f"p{i}", "active" if i % 2 else "dead", START + datetime.timedelta(hours=300), 9) for i in range(700)]
+    last = [("p0", "dead", START + datetime.timedelta(hours=600), 10), ("p1400", "dead", START, 11)]
+    schema = "presence_id string, status string, ts timestamp, seq long"
+    jobs.stream_failures(drops(spark, tmp_path / "in", [first, second, last], schema), str(tmp_path / "out"), str(tmp_path / "state"), ttl_hours=100)
+    changes = spark.read.parquet(str(tmp_path / "out" / "changes"))
+    assert {r.presence_id for r in jobs.failing_now(changes).collect()} == {f"p{i}" for i in range(1500) if i >= 700 or i % 2 == 0}
+    held = spark.read.format("statestore").load(str(tmp_path / "state"))
+    assert held.count() == 1
+    jobs.stream_failures(drops(spark, tmp_path / "in2", [first], schema), str(tmp_path / "out2"), str(tmp_path / "state2"))
+    kept = spark.read.format("statestore").load(str(tmp_path / "state2"))
+    assert kept.count() <= jobs.STATE_BUCKETS
+    assert kept.select(F.explode("value.groupState.names")).count() == 1500
+
+
 def throttle(rows):
     out, last = {}, {}
     for event, store, email, at in sorted(rows, key=lambda r: (r[3], r[0])):
