@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from placeledger.plans.views import Directory, check_ctes
+from placeledger.session import BATCH_BYTES
 
 _QUERIES: dict[str, Callable[[Directory], DataFrame]] = {}
 _CHECKS: dict[str, str] = {}
@@ -51,6 +52,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # Times in the views have no zone; results must not depend on the machine's.
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            # Nor may a worker's memory grow with the table, whoever made the session.
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
             return fn(Directory(spark, sf_dir, tables=_STORED.get(sf_dir.rstrip("/"))))
 
         run.__name__ = fn.__name__

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 # A side is broadcast only when the optimizer's own size estimate is under this many bytes.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
+# Bytes of a batch that Python gets at once. A batch of page texts takes many times its bytes there, on each core; Spark's own
+# limits (10,000 rows, 64 MB) let a worker's memory grow with the table until batches are full.
+BATCH_BYTES = 2 * 1024 * 1024
+
 
 def build_session(app: str = "placeledger", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are written for. A cluster passes its own master and sizes."""
@@ -26,6 +30,7 @@ def build_session(app: str = "placeledger", master: str | None = None, **conf: s
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
         # Keyed stream state on the executors' disks, not in their heaps.
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | conf

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from placeledger import session
 from placeledger.functions import dates as dt
 from placeledger.functions import hours as hr
 from placeledger.functions import html as hm
@@ -27,6 +28,22 @@ def test_platform(spark, html, headers, url, want):
     assert df.select(pg.detect_platform("h", "m", "u")).first()[0] == want
 
 
+def test_python_gets_small_batches_of_pages(spark, data):
+    """A worker's memory must not grow with the table until 10,000 pages or 64 MB are in a batch."""
+    import pandas as pd
+
+    from placeledger.plans.registry import all_queries
+
+    @F.pandas_udf("long")
+    def batch_bytes(texts: pd.Series) -> pd.Series:
+        return pd.Series([texts.str.len().sum()] * len(texts))
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    all_queries()["extract_description"](spark, data)
+    pages = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("html"))
+    assert pages.select(F.max(batch_bytes("html"))).first()[0] < 2 * session.BATCH_BYTES
+
+
 def test_singles(spark):
     assert one(spark, pg.singles_by_keywords("html"), "MTG singles, Magic the Gathering")["confidence"] == 0.85
     assert one(spark, pg.singles_by_keywords("html"), "Magic the\nGathering here")["size"] == "small"
