@@ -76,6 +76,35 @@ def test_radius_join_in_one_cell(spark):
     assert same(got, plain) and plain.count() >= 200
 
 
+def test_radius_join_meets_positions(spark, monkeypatch):
+    """Copies of a position meet once, with the first stores of it; dense places are answered by the narrow search, thin ones by the wide."""
+    stores = spark.range(3000).select(
+        F.col("id").cast("string").alias("id"), F.lit("active").alias("status"), F.lit("x").alias("slug"), F.lit("W").alias("wpn_id"),
+        F.when(F.col("id") < 2400, 34.0 + F.col("id") % 12 / 50).otherwise(20.0 + F.col("id") % 600 / 60).alias("latitude"),
+        F.when(F.col("id") < 2400, -118.0).otherwise(-100.0 + F.col("id") % 7).alias("longitude"),
+    )
+    refs = spark.createDataFrame([], "store_id string, provider string, payload string")
+    points = spark.range(400).select(F.col("id").alias("point_id"), (20.0 + F.col("id") % 20).alias("latitude"), F.when(
+        F.col("id") % 20 == 14, -118.0).otherwise(-98.0).alias("longitude"))
+    met, real = [], near._nearest
+
+    def watched(spots, held, *rest):
+        met.append((spots.count(), held.groupBy("s_lat", "s_lng").count().agg(F.max("count")).first()[0]))
+        return real(spots, held, *rest)
+
+    monkeypatch.setattr(near, "_nearest", watched)
+    got = near.nearby_join(points, stores, refs, radius=100, limit=9).select("point_id", "rank", "id")
+    assert [n for n, _ in met] == [20, 19, 19] and max(m for _, m in met) == 9
+    p = points.select("point_id", F.col("latitude").alias("a"), F.col("longitude").alias("b"))
+    miles = geo.arc_miles(F.col("a"), F.col("b"), F.col("latitude"), F.col("longitude"))
+    dlat = 100 / geo.MILES_PER_DEGREE
+    pairs = p.crossJoin(stores).withColumn("miles", miles).filter("miles <= 100").filter(
+        (F.abs(F.col("latitude") - F.col("a")) <= dlat) & (F.abs(F.col("longitude") - F.col("b")) <= dlat / F.cos(F.radians("a"))))
+    w = Window.partitionBy("point_id").orderBy("miles", "id")
+    plain = pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 9").select("point_id", "rank", "id")
+    assert same(got, plain) and plain.count() > 400
+
+
 def test_running_budget_is_the_loop(spark):
     made = [(None if i == 7 else i * 37 % 1000, None if i % 11 == 0 else i % 3 == 0, None if i % 13 == 0 else i * 7 % 10, "x") for i in range(1000)]
     made += [(500, True, 4, "tie")]
