@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placeledger import catalogs as cat
 from placeledger import schemas
 from placeledger.functions import text as tx
+from placeledger.session import cut, small
 
 
 
@@ -217,11 +218,13 @@ def lookup_by_name_city(stores: DataFrame, closing: DataFrame) -> DataFrame:
     """Open stores whose name contains a listed fragment in the listed city and state (any case).
 
     A name that contains a fragment contains its first three letters, so names and fragments meet by city and those
-    letters instead of all with all; fragments of one or two letters use their one or two.
+    letters instead of all with all; fragments of one or two letters use their one or two. Only letters that begin some fragment
+    are moved: of the many pieces of a name few do.
     """
     keys = {"city_key": F.upper("city"), "state_key": F.upper("state")}
     c = closing.select("fragment", F.lower("fragment").alias("needle"), "city", "state").withColumns(keys).drop("city", "state")
-    c = c.withColumn("piece", F.substring("needle", 1, 3))
+    c = cut(c.withColumn("piece", F.substring("needle", 1, 3)))
+    begins = small(cut(c.select("piece").distinct()))
     s = stores.filter(F.col("status") != "closed").withColumns(keys)
     s = s.join(c.select("state_key", "city_key").distinct(), ["state_key", "city_key"], "left_semi")
     lower = F.lower("name")
@@ -229,5 +232,5 @@ def lookup_by_name_city(stores: DataFrame, closing: DataFrame) -> DataFrame:
     pieces = F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(lower, i, F.lit(n)) for n in (1, 2, 3)])))
     pieces = F.when(F.length("name") > 0, F.array_append(F.array_distinct(pieces), F.lit(""))).otherwise(F.array(F.lit("")))
     s = s.select("id", "name", "city", "state", "status", "state_key", "city_key", F.explode(pieces).alias("piece"))
-    met = s.join(c, ["state_key", "city_key", "piece"]).filter(F.contains(F.lower("name"), F.col("needle")))
+    met = s.join(begins, "piece", "left_semi").join(c, ["state_key", "city_key", "piece"]).filter(F.contains(F.lower("name"), F.col("needle")))
     return met.select("fragment", "id", "name", "city", "state", "status")

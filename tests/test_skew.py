@@ -121,3 +121,21 @@ def test_running_budget_is_the_loop(spark):
         expected = sorted((str(a), str(b), want[a], bool(b) and want[a] <= budget) for a, b, _, _ in made)
         assert sorted((str(r.seq), str(r.flag), r.spent, r.escalate) for r in got) == expected
     assert lc.running_budget(table.limit(0), "flag", "seq", "cost", 5).collect() == []
+
+
+def test_look_up_moves_only_beginnings(spark):
+    """Of a name's pieces only those that begin a fragment are moved."""
+    from placeledger.operators import filters as fl
+
+    stores = spark.createDataFrame(
+        [(str(i), f"Dragon Cave {i:05d} of Many Long Words", "Bend", "or", "active") for i in range(300)]
+        + [("x", "ab", "BEND", "OR", "active"), ("y", None, "Bend", "OR", "active"), ("z", "Dragon Cave", "Bend", "OR", "closed")],
+        "id string, name string, city string, state string, status string")
+    closing = spark.createDataFrame([("dragon cave 0001", "bend", "OR"), ("B", "Bend", "OR"), ("", "Bend", "OR"), ("Cave", "Salem", "OR")],
+                                    "fragment string, city string, state string")
+    got = fl.lookup_by_name_city(stores, closing)
+    found = {(r.fragment, r.id) for r in got.collect()}
+    names = [(str(i), f"dragon cave {i:05d} of many long words") for i in range(300)] + [("x", "ab")]
+    assert found == {(f, i) for f in ("dragon cave 0001", "B", "") for i, n in names if f.lower() in n}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2
