@@ -87,6 +87,15 @@ def test_claims_in_any_order(spark, tmp_path):
     assert {r.event_id: r.outcome for r in jobs.claim_verdicts(got).collect()} == throttle(rows)
 
 
+def test_claims_of_a_store_share_a_state_row(spark, tmp_path):
+    rows = [(i, f"s{i % 5}", None if i % 7 == 0 else f"{i % 7}@x", START + datetime.timedelta(hours=i * 13 % 500)) for i in range(300)]
+    schema = "event_id long, store_id string, email string, created_at timestamp"
+    out = jobs.stream_claims(drops(spark, tmp_path / "in", [rows[::2], rows[1::2]], schema), delay="30 days")
+    jobs.run_available(out, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert {r.event_id: r.outcome for r in jobs.claim_verdicts(spark.read.parquet(str(tmp_path / "out"))).collect()} == throttle(rows)
+    assert spark.read.format("statestore").load(str(tmp_path / "state")).count() == 5
+
+
 def test_claims_forget_what_is_settled(spark, tmp_path):
     """With a short delay, drops by day: late claims within the delay count, older ones are dropped, and state stays small."""
     rng = random.Random(5)
