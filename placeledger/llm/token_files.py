@@ -10,7 +10,6 @@ from __future__ import annotations
 import gc
 import json
 import os
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +24,14 @@ from placeledger.llm.texts import slices
 
 NULL_ID = -(1 << 63)
 #: Parts between single spaces whose ids a worker keeps.
-KNOWN_PARTS = 1 << 19
+KNOWN_PARTS = 1 << 21
+#: New parts that are encoded as one text.
+JOINED_PARTS = 128
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
 BLOCK_BYTES = 8 << 20
 #: Ids that a reader hands on at once.
 READ_IDS = 1 << 22
-_KNOWN: dict[int, dict[str, bytes]] = {}
+_KNOWN: dict[int, tuple[pa.Array, pa.Array]] = {}
 
 
 def _open(path: str):
@@ -41,27 +42,44 @@ def encoder(tokenizer_json: str, width: str):
     """Many texts to packed ids. Each distinct part of the texts is encoded once while the worker remembers it.
 
     A text is cut at single spaces between words, which no pre-token crosses (a text with other white space around them is
-    cut at :data:`GAPS`). The parts are numbered and their ids put in order by Arrow.
+    cut at :data:`GAPS`). The parts are numbered, looked up and their ids put in order by Arrow. New parts are encoded many at a time
+    as one text; each begins with its only space, so the ids whose bytes begin with a space say where they begin.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    letter = "H" if width == "<u2" else "I"
-    known = _KNOWN.setdefault(hash((tokenizer_json, width)), {})
-
-    def learn(parts: set[str]) -> None:
-        # set.difference(dict) costs by the set; a set less the keys of a dict costs by the dict.
-        new = list(parts.difference(known))
-        gc.disable()  # a million short-lived lists, none in a cycle
-        known.update(zip(new, [array(letter, c.ids).tobytes() for c in tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+    vocabulary = tokenizer.get_vocab()
+    spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+    spaced[[i for name, i in vocabulary.items() if name.startswith("\u0120")]] = True  # a space, as byte-level vocabularies write it
+    size = np.dtype(width).itemsize
+    state = hash((tokenizer_json, width))
+
+    def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, and where each text begins and ends."""
+        gc.disable()  # many short-lived lists, none in a cycle
+        ids = [np.array(c.ids, width) for c in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         gc.enable()
+        return np.concatenate([np.zeros(0, width), *ids]), np.cumsum([0, *map(len, ids)])
+
+    def packed(ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer((edges * size).astype("<i8").tobytes()), pa.py_buffer(ids.tobytes())])
+
+    def learn(parts: pa.Array) -> pa.Array:
+        """The ids of parts without a space or white space around them, each with a space before it."""
+        words = parts.to_pylist()
+        ids, _ = encoded([" " + " ".join(words[i : i + JOINED_PARTS]) for i in range(0, len(words), JOINED_PARTS)])
+        begin = np.flatnonzero(spaced[ids])
+        if len(begin) != len(words):  # a vocabulary that writes a space in another way
+            return packed(*encoded([" " + w for w in words]))
+        return packed(ids, np.append(begin, len(ids)))
 
     def encode(texts: pa.Array) -> tuple[memoryview, np.ndarray]:
         """The bytes of the ids, and where those of each text begin and end."""
-        if len(known) > KNOWN_PARTS:
-            known.clear()
+        names, codes = _KNOWN.get(state, (pa.array([], pa.string()), pa.array([], pa.large_binary())))
+        if len(names) > KNOWN_PARTS:
+            names, codes = names.slice(0, 0), codes.slice(0, 0)
         texts = texts.fill_null("")
         split = pc.split_pattern(texts, " ")
         edges = np.asarray(split.offsets).astype(np.int64)
@@ -78,13 +96,24 @@ def encoder(tokenizer_json: str, width: str):
         rest = ~head & ~np.repeat(loose_text, np.diff(edges))
         used = np.zeros(len(parts), dtype=bool)
         used[number[rest]] = True
-        after = pc.binary_join_element_wise(pa.scalar(""), parts.filter(pa.array(used)), " ").to_pylist()
-        learn({*after, *(p for some in own for p in some)})
-        pieces = pa.array([known[p] for p in after] + [b"".join(map(known.__getitem__, some)) for some in own], pa.large_binary())
-        number = (np.cumsum(used) - 1)[number]
-        number[head] = len(after) + np.arange(len(own))
+        after = parts.filter(pa.array(used)).cast(pa.string())
+        at = pc.index_in(after, value_set=names)
+        new = after.filter(at.is_null())
+        if len(new):
+            names, codes = pa.concat_arrays([names, new]), pa.concat_arrays([codes, learn(new)])
+            at = pc.index_in(after, value_set=names)
+        _KNOWN[state] = names, codes
+        # Pieces of a loose text are encoded once for the block.
+        pieces = {p: i for i, p in enumerate(dict.fromkeys(p for some in own for p in some))}
+        ids, cuts = encoded(list(pieces))
+        data, cuts = ids.tobytes(), (cuts * size).tolist()
+        of = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        places = np.empty(len(parts), dtype=np.int64)
+        places[used] = np.asarray(at)
+        number = places[number]
+        number[head] = len(codes) + np.arange(len(own))
         keep = rest | head
-        out = pieces.take(pa.array(number[keep]))
+        out = pa.concat_arrays([codes, pa.array([b"".join([of[pieces[p]] for p in some]) for some in own], pa.large_binary())]).take(pa.array(number[keep]))
         _, ends, data = out.buffers()
         bounds = np.concatenate([[0], np.cumsum(keep)])[edges]
         return memoryview(data if data is not None else b""), np.frombuffer(ends, np.int64)[bounds]

@@ -257,6 +257,42 @@ def test_bpe(docs, empty):
     assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_new_parts_are_encoded_many_at_a_time(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    import tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        source = file.read()
+    real, given = tokenizers.Tokenizer.from_str(source), []
+    real.encode_special_tokens = True
+
+    class Counting:
+        from_str = staticmethod(lambda source: Counting())
+
+        def encode_batch_fast(self, texts, **options):
+            given.append(len(texts))
+            return real.encode_batch_fast(texts, **options)
+
+        def get_vocab(self):
+            return real.get_vocab()
+
+    rng = random.Random(3)
+    odd = ["a", "Z", "'s", "'", "9", "12", "\n", "\t", " ", "  ", "\x1c", "\x85", "\xa0", "\u200b", "\u3000", "\u0301", "é", "語", "🙂", "<|endoftext|>", "Ġ", "\x00", "!"]
+    texts = ["".join(rng.choices(odd + [" "] * 8, k=rng.randrange(40))) for _ in range(2000)]
+    texts += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(2000)), "", None]
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    monkeypatch.setattr(token_files, "_KNOWN", {})
+    monkeypatch.setattr(token_files, "KNOWN_PARTS", 50)
+    encode = token_files.encoder(source, "<u2")
+    for some in (texts[:1000], texts[1000:2000], texts[2000:]):
+        given.clear()
+        data, edges = encode(pa.array(some, pa.string()))
+        want = [c.ids for c in real.encode_batch_fast([t or "" for t in some], add_special_tokens=False)]
+        assert [list(np.frombuffer(data[a:b], "<u2")) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())] == want
+    assert sum(given) < 100  # some 2000 new parts
+
+
 def test_token_files(spark, docs, empty):
     import uuid
 
