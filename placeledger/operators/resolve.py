@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 import pyarrow as pa
@@ -34,13 +35,15 @@ from placeledger import catalogs as cat
 from placeledger.functions import geo
 from placeledger.functions import text as tx
 from placeledger.operators.graph import components
-from placeledger.session import cut, scratch
+from placeledger.session import cut, deal, scratch
 
 # Before and after every turn.
 ALWAYS = -(2**63)
 NEVER = 2**63 - 1
 # Rows of a component that one task settles in turn.
 SETTLE_ROWS = 2000
+# Stores of a block that candidates are compared with at first, and how many times as many at each further step.
+FIRST_LOOK, FURTHER = 16, 8
 # Tier numbers order the matches; names and confidence are what callers see.
 TIERS = {0: ("external_ref", 1.0), 1: ("google_place_id", 1.0), 2: ("wpn_id", 1.0), 3: ("name_zip", 0.95), 4: ("address", 0.90)}
 FUZZY = 5
@@ -71,71 +74,81 @@ def indel_ratio(a: str, b: str) -> int:
     return round(200 * lcs / total)
 
 
-@F.pandas_udf(T.IntegerType())
-def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
+# The optimizer would move a deterministic test on the ratio before the removal of repeated pairs, and run it for each of them.
+name_ratio = F.pandas_udf(_ratios, T.IntegerType()).asNondeterministic()
+
+
 def _least_share(threshold: int) -> float:
     """Pairs reach ``threshold`` after rounding only if LCS > share · (len a + len b)."""
     return (threshold - 0.5) / 200
 
 
-def name_tokens(name: Column) -> Column:
-    """Characters numbered by occurrence ("B", second "B", ...), sorted from rare to common."""
-
-    def token(ch: Column, i: Column) -> Column:
-        upto = F.substring(name, F.lit(1), i + 1)
-        nth = F.least(F.length(upto) - F.length(F.replace(upto, ch, F.lit(""))), F.lit(99))
-        return F.concat(
-            F.lpad((F.lit(99) - nth).cast("string"), 2, "0"), F.lpad(F.instr(F.lit(RARE_FIRST), ch).cast("string"), 2, "0"),
-            ch, nth.cast("string"),
-        )
-
-    return F.sort_array(F.transform(F.filter(F.split(name, ""), lambda c: c != ""), token))
+def name_tokens(name: str) -> list[int]:
+    """Characters numbered by occurrence ("B", second "B", ...), sorted from rare to common; each is one integer of 28 bits."""
+    count, keyed = {}, []
+    for ch in name:
+        nth = count[ch] = min(count.get(ch, 0) + 1, 99)
+        keyed.append((-nth, RARE_FIRST.find(ch), ord(ch) << 7 | nth))
+    keyed.sort()
+    return [token for _, _, token in keyed]
 
 
-def name_signatures(name: Column, threshold: int) -> Column:
-    """Keys of a name: each pair out of its first tokens.
+def name_marks(name: str, threshold: int) -> tuple[list[int], int, int]:
+    """(signatures, low, high): the keys of a name, each a pair out of its first tokens, and a set of all its tokens in 126 bits.
 
     A partner has at least ``share / (1 - share)`` of this name's length, so at most ``spare`` characters of the name
     are not shared. Two names above the threshold then have two common tokens among their first ``spare + 2``. Names of
     at most two characters can only be equal.
     """
-    share = _least_share(threshold)
-    spare = F.length(name) - (F.floor(F.length(name) * (share / (1 - share))) + 1)
-    first = F.slice(name_tokens(name), F.lit(1), (F.greatest(spare, F.lit(0)) + 2).cast("int"))
+    share, tokens, bits = _least_share(threshold), name_tokens(name), 0
+    for token in tokens:
+        bits |= 1 << (token * 0x9E3779B1 >> 8) % 126
+    if len(name) <= 2:
+        signatures = [-1 - sum(ord(ch) + 1 << 21 * i for i, ch in enumerate(name))]
+    else:
+        spare = len(name) - (math.floor(len(name) * (share / (1 - share))) + 1)
+        signatures = list({t << 28 | u for t, u in combinations(tokens[: max(spare, 0) + 2], 2)})
+    return signatures, bits & 2**63 - 1, bits >> 63
+
 
-    def pairs(tokens: Column) -> Column:
-        return F.flatten(F.transform(
-            tokens, lambda t, i: F.transform(F.slice(tokens, i + 2, F.size(tokens)), lambda u: F.xxhash64(t, u))
-        ))
+def _marks(threshold: int):
+    def marks(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([name_marks(n, threshold) for n in names], columns=["sigs", "low", "high"])
 
-    return F.when(F.length(name) <= 2, F.array(F.xxhash64(F.lit("="), name))).otherwise(tx.let(first, pairs))
+    return F.pandas_udf(marks, "sigs array<bigint>, low bigint, high bigint")
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: int = cat.FUZZY_NAME_THRESHOLD) -> DataFrame:
     """(block, l_name, r_name, score) for all names of a block with a ratio of at least ``threshold``.
 
-    Both inputs have (block, name). Names meet by signature; lengths and the edit distance are bounds that hold for
+    Both inputs have (block, name). Names meet by signature; common characters and the edit distance are bounds that hold for
     every pair above the threshold and run as expressions; the ratio itself runs on what is left. Two characters and three
     can reach a ratio of 80, but short names only meet equal ones: ``threshold`` must be over 80.
     """
     if threshold <= 80:
         raise ValueError("the threshold must be over 80")
-    share = _least_share(threshold)
+    share, marks = _least_share(threshold), _marks(threshold)
 
-    def keyed(df: DataFrame, as_name: str) -> DataFrame:
-        rows = df.select("block", F.col("name").alias(as_name)).distinct()
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        rows = df.select("block", F.col("name").alias(side + "_name")).distinct().withColumn("m", marks(side + "_name"))
         # Every name has a signature; the outer form spares the optimizer's extra test of the array.
-        return rows.withColumn("sig", F.explode_outer(F.array_distinct(name_signatures(F.col(as_name), threshold))))
+        return rows.select("block", side + "_name", F.col("m.low").alias(side + "_low"), F.col("m.high").alias(side + "_high"), F.explode_outer("m.sigs").alias("sig"))
+
+    def shared(side: str, other: str) -> Column:
+        """At most so many characters of a name are in the other: each bit that only this one has is a character of it alone."""
+        lacks = [F.bit_count(F.col(side + half).bitwiseAND(F.bitwise_not(F.col(other + half)))) for half in ("_low", "_high")]
+        return F.length(side + "_name") - lacks[0] - lacks[1]
 
     total = F.length("l_name") + F.length("r_name")
     least = total * share
-    long_enough = (F.least(F.length("l_name"), F.length("r_name")) > least) | (F.col("l_name") == F.col("r_name"))
-    # Most cells around a candidate are empty: only blocks that hold an offer get signatures.
-    held = left.join(right.select("block").distinct(), "block", "left_semi")
-    met = keyed(held, "l_name").join(keyed(right, "r_name"), ["block", "sig"]).filter(long_enough)
+    enough = ((shared("l", "r") > least) & (shared("r", "l") > least)) | (F.col("l_name") == F.col("r_name"))
+    # Only blocks that both sides have get signatures: most cells around a candidate are empty, most ZIPs have no unplaced candidate.
+    left, right = (df.join(other.select("block").distinct(), "block", "left_semi") for df, other in ((left, right), (right, left)))
+    met = keyed(left, "l").join(keyed(right, "r"), ["block", "sig"]).filter(enough)
     pairs = met.select("block", "l_name", "r_name").distinct().filter(F.levenshtein("l_name", "r_name") <= total - 2 * least)
     return pairs.withColumn("score", name_ratio("l_name", "r_name")).filter(F.col("score") >= threshold)
 
@@ -158,7 +171,7 @@ def _candidates(cands: DataFrame) -> DataFrame:
     for c in ("provider", "external_id"):
         if c not in cands.columns:
             cands = cands.withColumn(c, F.lit(None).cast("string"))
-    return normalized(cands).select(
+    return normalized(deal(cands)).select(
         F.col("candidate_id").alias("cid"), F.col("seq").cast("bigint").alias("seq"), *_NAMES, "latitude", "longitude",
         "wpn_id", "google_place_id", "provider", "external_id",
     )
@@ -169,7 +182,7 @@ def _holders(stores: DataFrame) -> DataFrame:
     order = F.struct(
         F.lit(0).alias("kind"), F.unix_micros(F.col("first_seen").cast("timestamp")).alias("at"), F.col("id").alias("id")
     )
-    return normalized(stores).select(
+    return normalized(deal(stores)).select(
         F.col("id").alias("store"), order.alias("ord"), F.lit(ALWAYS).cast("bigint").alias("born"), *_NAMES, "latitude",
         "longitude", "wpn_id", "google_place_id",
     )
@@ -284,6 +297,41 @@ def _fuzzy_matches(asks: DataFrame, offers: DataFrame, threshold: int, miles: fl
     return met.filter(ok).select("cid", F.lit(FUZZY).alias("tier"), "ord", "store", "score")
 
 
+def _looks(offers: DataFrame) -> list[int]:
+    """Times in store order up to which candidates look, one step after the other; the last step has no end.
+
+    The first step has about ``FIRST_LOOK`` offers of the block that an offer is in on average, each further one ``FURTHER`` times as many.
+    """
+    crowd = offers.groupBy("block").count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0
+    shares, share = [], FIRST_LOOK / max(crowd, 1)
+    while share < 1 / 2:
+        shares.append(share)
+        share *= FURTHER
+    times = offers.agg(F.percentile_approx(_born(), shares, 10000)).first()[0] if shares else []
+    return sorted(set(times or []))
+
+
+def _born() -> Column:
+    return F.coalesce(F.col("ord.at"), F.lit(ALWAYS))
+
+
+def _first_similar(asks: DataFrame, offers: DataFrame, threshold: int, miles: float) -> DataFrame:
+    """The best match of each candidate among given stores (all of one ``kind`` of order).
+
+    Stores come in steps of their order, and a candidate that has found one looks no further. Where very many stores share a place
+    or ZIP, the pairs to compare then grow with the candidates, but for those that have no similar store at all.
+    """
+    offers = cut(offers)
+    found, ends = [], [*_looks(offers), None]
+    for start, end in zip([None, *ends], ends, strict=False):
+        some = offers if start is None else offers.filter(_born() > start)
+        some = some if end is None else some.filter(_born() <= end)
+        found.append(cut(_best(_fuzzy_matches(asks, some, threshold, miles))))
+        if end is not None:
+            asks = cut(asks.join(found[-1].select("cid"), "cid", "left_anti"))
+    return reduce(DataFrame.unionByName, found)
+
+
 # --- public tiers --------------------------------------------------------------------------------------------
 
 def _public(best: DataFrame) -> DataFrame:
@@ -317,7 +365,7 @@ def match_fuzzy_geo(cands: DataFrame, stores: DataFrame, threshold: int = cat.FU
                     miles: float = cat.PROXIMITY_MILES) -> DataFrame:
     """First store per candidate with a similar name within ``miles``, or in the same ZIP if a position is missing."""
     offers = _fuzzy_offers(_holders(stores), miles, ("zip", "unplaced", "cell"))
-    return _public(_best(_fuzzy_matches(cut(_fuzzy_asks(_candidates(cands), miles)), offers, threshold, miles)))
+    return _public(_first_similar(cut(_fuzzy_asks(_candidates(cands), miles)), offers, threshold, miles))
 
 
 # --- the whole batch -----------------------------------------------------------------------------------------
@@ -614,7 +662,7 @@ def _resolve(own, cands, stores, refs, threshold, miles, max_rounds, settle_rows
     # Against the given stores, once.
     exact = cut(_best(_exact_matches(free, _exact_entries(h))))
     unsure = cut(_fuzzy_asks(free.join(exact, "cid", "left_anti"), miles))
-    fuzzy = _best(_fuzzy_matches(unsure, _fuzzy_offers(h, miles, ("zip", "cell")), threshold, miles))
+    fuzzy = _first_similar(unsure, _fuzzy_offers(h, miles, ("zip", "cell")), threshold, miles)
     static = cut(exact.unionByName(fuzzy))
 
     # Components of candidates that can bear on each other; a candidate without links is one of its own.

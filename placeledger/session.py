@@ -132,3 +132,8 @@ def spread(df: DataFrame, per_core: int = 32 * 1024 * 1024) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if estimated_bytes(df) < per_core * cores else df
+
+
+def deal(df: DataFrame) -> DataFrame:
+    """Deal rows that cost much work each evenly over the cores: a table derived from a file or two comes in as many tasks."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -260,3 +260,30 @@ def test_low_thresholds_are_refused(spark):
     rows = spark.createDataFrame([("b", "AB")], "block string, name string")
     with pytest.raises(ValueError):
         rs.similar_names(rows, rows, 80)
+
+
+def test_ratio_is_taken_once_for_a_pair(spark):
+    rows = spark.createDataFrame([("b", f"GOLDEN DRAGON {i:06d}") for i in range(40)], "block string, name string")
+    plan = rs.similar_names(rows, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [_ratios(") == 1  # and not once more for each signature that the names share
+
+
+@pytest.mark.parametrize("first", [1, 3])
+def test_first_similar_store_in_steps(spark, monkeypatch, first):
+    rng = random.Random(first)
+    name = lambda: rng.choice(["GOLDEN DRAGON", "SILVER CRANE", "OLD MILL"]) + f" {rng.randrange(10**4):04d}"
+    seen = [datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=rng.randrange(60)) for _ in range(120)]
+    stores = [(f"s{i}", t, name(), "1 A St", "X", "TX", "75001", None, None, None, None) for i, t in enumerate(seen)]
+    stores[7] = (stores[7][0], None, *stores[7][2:])
+    cands = [(f"c{i}", i, name(), "2 B St", "X", "TX", "75001", None, None, None, None, None, None) for i in range(80)]
+    want = {}
+    for c in cands:
+        similar = [s for s in stores if ratio(norm_name(c[2]), norm_name(s[2])) >= cat.FUZZY_NAME_THRESHOLD]
+        if similar:
+            want[c[0]] = min(similar, key=lambda s: (s[1] is not None, s[1], s[0]))[0]
+    monkeypatch.setattr(rs, "FIRST_LOOK", first)
+    monkeypatch.setattr(rs, "FURTHER", 3)
+    s, c = spark.createDataFrame(stores, STORE), spark.createDataFrame(cands, CAND)
+    assert len(rs._looks(rs._fuzzy_offers(rs._holders(s), 0.5, ("zip",)))) > 2
+    assert {r.candidate_id: r.store_id for r in rs.match_fuzzy_geo(c, s).collect()} == want
+    assert 0 < len(want)
