@@ -11,7 +11,7 @@ from placeledger.operators import filters as fl
 from placeledger.operators import lifecycle as lc
 from placeledger.operators import resolve as rs
 from placeledger.operators import sets as st
-from placeledger.session import cut
+from placeledger.session import cut, deal
 
 OUTCOMES = ["inserted", "updated", "skipped", "errors"]
 # Fields that a match may fill: (store column, record column, whether an empty text counts as missing).
@@ -104,7 +104,7 @@ def ingest(raw: DataFrame, stores: DataFrame, refs: DataFrame, categories: DataF
     (``tier`` is then "repeated").
     """
     now = F.lit(as_of).cast("timestamp_ntz")
-    rows, again = _once(screen(raw).withColumn("candidate_id", _candidate_id()))
+    rows, again = _once(screen(deal(raw)).withColumn("candidate_id", _candidate_id()))
     good = rows.filter(F.col("reject").isNull())
     tracked = _refs_of(F.col("source"))
     cands = good.select(

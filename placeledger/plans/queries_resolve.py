@@ -11,6 +11,7 @@ from placeledger.operators import sets as st
 from placeledger.plans import queries_text as qt
 from placeledger.plans.registry import query
 from placeledger.plans.views import AS_OF
+from placeledger.session import deal
 from placeledger.sources import raw as rw
 
 _ID = "CAST(substr(candidate_id, 2) AS BIGINT)"
@@ -117,8 +118,8 @@ def fill_missing(d):
 
 def _crawl(d):
     """The locator and places records of the views as one crawl; the places come after the locator."""
-    places = rw.parse_google(qt.google(d)).withColumn("seq", F.substring("external_id", 2, 20).cast("bigint") + 10**9)
-    return rw.parse_wpn(qt.wpn(d)).unionByName(places)
+    places = rw.parse_google(deal(qt.google(d))).withColumn("seq", F.substring("external_id", 2, 20).cast("bigint") + 10**9)
+    return rw.parse_wpn(deal(qt.wpn(d))).unionByName(places)
 
 
 def _ingest(d):

@@ -229,3 +229,11 @@ def test_dossier_files(spark, tmp_path):
     (tmp_path / "2.json").write_text('{"store_id": "s2", "pages_fetched": ["u"]}')
     got = {r.store_id: (r.action, r.confidence, r.products) for r in rw.read_dossiers(spark, str(tmp_path)).collect()}
     assert got == {"s1": ("auto_apply", "0.70", "mtg"), "s2": ("not_lgs_or_manual_review", "0.00", "")}
+
+
+def test_rows_of_one_file_are_dealt_to_all_cores(spark):
+    from placeledger.session import deal
+
+    out = deal(spark.range(0, 800, 1, 1))
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in out.collect()) == list(range(800))
