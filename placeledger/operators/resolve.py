@@ -8,6 +8,7 @@ itself. Here that is done with joins:
   and a key that very many rows share costs no pairs.
 * The fuzzy tier compares distinct names inside a block (grid cell or ZIP). Names meet only if they share two of their
   rarest characters, which every pair above the threshold must (prefix filtering); no block is compared all with all.
+* Names that are alike by the hundred in a block are linked by few pairs: which pairs there are does not matter to what follows.
 * Matches against the given stores are found once. What is left depends on the batch itself: stores that candidates become, and
   ids and positions that they bring to stores. Candidates that could meet in such a way are linked, and each connected
   component is settled on its own, in turn, within a task; the others are settled at once. A chain of candidates costs as many
@@ -44,6 +45,8 @@ NEVER = 2**63 - 1
 SETTLE_ROWS = 2000
 # Stores of a block that candidates are compared with at first, and how many times as many at each further step.
 FIRST_LOOK, FURTHER = 16, 8
+# With more pairs of names in blocks than so many times the names, only what links them is looked for.
+FEW_PAIRS = 8
 # Tier numbers order the matches; names and confidence are what callers see.
 TIERS = {0: ("external_ref", 1.0), 1: ("google_place_id", 1.0), 2: ("wpn_id", 1.0), 3: ("name_zip", 0.95), 4: ("address", 0.90)}
 FUZZY = 5
@@ -122,21 +125,23 @@ def _marks(threshold: int):
     return F.pandas_udf(marks, "sigs array<bigint>, low bigint, high bigint")
 
 
-def similar_names(left: DataFrame, right: DataFrame, threshold: int = cat.FUZZY_NAME_THRESHOLD) -> DataFrame:
-    """(block, l_name, r_name, score) for all names of a block with a ratio of at least ``threshold``.
-
-    Both inputs have (block, name). Names meet by signature; common characters and the edit distance are bounds that hold for
-    every pair above the threshold and run as expressions; the ratio itself runs on what is left. Two characters and three
-    can reach a ratio of 80, but short names only meet equal ones: ``threshold`` must be over 80.
-    """
+def _marked(df: DataFrame, threshold: int) -> DataFrame:
+    """(block, name, sigs, low, high): the distinct names of blocks with their marks."""
     if threshold <= 80:
         raise ValueError("the threshold must be over 80")
-    share, marks = _least_share(threshold), _marks(threshold)
+    rows = df.select("block", "name").distinct().withColumn("m", _marks(threshold)("name"))
+    return rows.select("block", "name", "m.sigs", "m.low", "m.high")
 
-    def keyed(df: DataFrame, side: str) -> DataFrame:
-        rows = df.select("block", F.col("name").alias(side + "_name")).distinct().withColumn("m", marks(side + "_name"))
-        # Every name has a signature; the outer form spares the optimizer's extra test of the array.
-        return rows.select("block", side + "_name", F.col("m.low").alias(side + "_low"), F.col("m.high").alias(side + "_high"), F.explode_outer("m.sigs").alias("sig"))
+
+def _signed(names: DataFrame, side: str, *more: str) -> DataFrame:
+    """A row for each signature of a name."""
+    # Every name has a signature; the outer form spares the optimizer's extra test of the array.
+    return names.select("block", *more, *[F.col(c).alias(f"{side}_{c}") for c in ("name", "low", "high")], F.explode_outer("sigs").alias("sig"))
+
+
+def _alike(met: DataFrame, threshold: int) -> DataFrame:
+    """(block, l_name, r_name, score) of the pairs of ``met`` with a ratio of at least ``threshold``."""
+    share = _least_share(threshold)
 
     def shared(side: str, other: str) -> Column:
         """At most so many characters of a name are in the other: each bit that only this one has is a character of it alone."""
@@ -146,13 +151,53 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: int = cat.FUZZY_
     total = F.length("l_name") + F.length("r_name")
     least = total * share
     enough = ((shared("l", "r") > least) & (shared("r", "l") > least)) | (F.col("l_name") == F.col("r_name"))
-    # Only blocks that both sides have get signatures: most cells around a candidate are empty, most ZIPs have no unplaced candidate.
-    left, right = (df.join(other.select("block").distinct(), "block", "left_semi") for df, other in ((left, right), (right, left)))
-    met = keyed(left, "l").join(keyed(right, "r"), ["block", "sig"]).filter(enough)
-    pairs = met.select("block", "l_name", "r_name").distinct().filter(F.levenshtein("l_name", "r_name") <= total - 2 * least)
+    pairs = met.filter(enough).select("block", "l_name", "r_name").distinct().filter(F.levenshtein("l_name", "r_name") <= total - 2 * least)
     return pairs.withColumn("score", name_ratio("l_name", "r_name")).filter(F.col("score") >= threshold)
 
 
+def _shared_blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, ...]:
+    """Only blocks that both sides have get signatures: most cells around a candidate are empty, most ZIPs have no unplaced candidate."""
+    return tuple(df.join(other.select("block").distinct(), "block", "left_semi") for df, other in ((left, right), (right, left)))
+
+
+def similar_names(left: DataFrame, right: DataFrame, threshold: int = cat.FUZZY_NAME_THRESHOLD) -> DataFrame:
+    """(block, l_name, r_name, score) for all names of a block with a ratio of at least ``threshold``.
+
+    Both inputs have (block, name). Names meet by signature; common characters and the edit distance are bounds that hold for
+    every pair above the threshold and run as expressions; the ratio itself runs on what is left. Two characters and three
+    can reach a ratio of 80, but short names only meet equal ones: ``threshold`` must be over 80.
+    """
+    left, right = (_marked(df, threshold) for df in _shared_blocks(left, right))
+    return _alike(_signed(left, "l").join(_signed(right, "r"), ["block", "sig"]), threshold)
+
+
+def linking_names(left: DataFrame, right: DataFrame, threshold: int = cat.FUZZY_NAME_THRESHOLD) -> DataFrame:
+    """(block, l_name, r_name): pairs of :func:`similar_names` that link all names which its pairs link, a name of both sides being one.
+
+    Where blocks have many names, each is compared with the first name of the other side that has its signature. Others with
+    that signature are compared only if those pairs have not linked the two, so names that are all alike do not cost their square.
+    """
+    left, right = (cut(_marked(df, threshold)) for df in _shared_blocks(left, right))
+    crowds = left.groupBy("block").agg(F.count("*").alias("l")).join(right.groupBy("block").agg(F.count("*").alias("r")), "block")
+    pairs, names = crowds.agg(F.sum(F.col("l") * F.col("r")), F.sum(F.col("l") + F.col("r"))).first()
+    by = ["block", "sig"]
+    if not names or pairs <= FEW_PAIRS * names:
+        return _alike(_signed(left, "l").join(_signed(right, "r"), by), threshold).drop("score")
+    first = lambda df, side: _signed(df, side).groupBy(by).agg(
+        F.min(F.struct(*[f"{side}_{c}" for c in ("name", "low", "high")])).alias("f")).select(*by, "f.*")
+    met = _signed(left, "l").join(first(right, "r"), by).unionByName(first(left, "l").join(_signed(right, "r"), by))
+    linked = cut(_alike(met.filter("l_name <> r_name"), threshold).drop("score"))
+    groups = components(linked.select(_node("name", "block", "l_name").alias("a"), _node("name", "block", "r_name").alias("b")))
+    left, right = (
+        cut(df.withColumn("node", _node("name", "block", "name")).join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")))
+        for df in (left, right)
+    )
+    l_rows, r_rows = _signed(left, "l", "group"), _signed(right, "r", "group")
+    others = l_rows.withColumnRenamed("group", "own").join(r_rows.select(*by, "group").distinct(), by).filter("own <> group")
+    same = left.select("block", "name").join(right.select("block", "name"), ["block", "name"]).select("block", F.col("name").alias("l_name"), F.col("name").alias("r_name"))
+    return same.unionByName(linked).unionByName(_alike(others.join(r_rows, [*by, "group"]), threshold).drop("score"))
+
+
 # --- inputs --------------------------------------------------------------------------------------------------
 
 def normalized(df: DataFrame) -> DataFrame:
@@ -486,16 +531,16 @@ def _links(c: DataFrame, free: DataFrame, h: DataFrame, static: DataFrame, unsur
     waiting = h.filter(~_placed()).select(_node("store", "store").alias("node"), F.col("n_name").alias("name"), _zip_block("zip-unplaced:").alias("block"))
     offers = cut(offered.unionByName(waiting).filter(F.col("name").isNotNull() & F.col("block").isNotNull()))
     asks = unsure.select(own.alias("node"), "name", "block")
-    pairs = similar_names(asks.select("block", "name"), offers.select("block", "name"), threshold)
+    pairs = linking_names(asks.select("block", "name"), offers.select("block", "name"), threshold)
     ends = lambda df, side: df.groupBy("block", F.col("name").alias(side)).agg(
         F.min("node").alias(side + "_lo"), F.max("node").alias(side + "_hi"))
     met = pairs.join(ends(asks, "l_name"), ["block", "l_name"]).join(ends(offers, "r_name"), ["block", "r_name"])
     alone = (F.col("l_name_lo") == F.col("l_name_hi")) & (F.col("r_name_lo") == F.col("r_name_hi")) & (F.col("l_name_lo") == F.col("r_name_lo"))
     met = cut(met.filter(~alone).select("block", "l_name", "r_name"))
-    links.append(met.select(_node("ask", "block", "l_name").alias("a"), _node("offer", "block", "r_name").alias("b")))
-    for rows, side, kind in ((asks, "l_name", "ask"), (offers, "r_name", "offer")):
+    links.append(met.select(_node("name", "block", "l_name").alias("a"), _node("name", "block", "r_name").alias("b")))
+    for rows, side in ((asks, "l_name"), (offers, "r_name")):
         there = met.select("block", F.col(side).alias("name")).distinct()
-        links.append(rows.join(there, ["block", "name"], "left_semi").select(F.col("node").alias("a"), _node(kind, "block", "name").alias("b")))
+        links.append(rows.join(there, ["block", "name"], "left_semi").select(F.col("node").alias("a"), _node("name", "block", "name").alias("b")))
 
     # A match that brings something to its store.
     to_store = static.select("cid", "store") if by_ref is None else static.select("cid", "store").unionByName(by_ref)

@@ -240,6 +240,49 @@ def test_similar_names_finds_every_pair(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("few", [0, 8])
+def test_linking_names_link_the_same(spark, monkeypatch, few):
+    """Fewer pairs than all similar ones, but the same names hang together; names of one side only meet through the other."""
+    rng = random.Random(11)
+    words = ["RED DRAGON", "BLUE MOX", "KNIGHT", "ZQ"]
+    sides = []
+    for _ in range(2):
+        names = {(b, f"{rng.choice(words)} {rng.choice(words)} {rng.randrange(10**n):0{n}d}") for b in "xy" for n in (2, 4, 6) for _ in range(40)}
+        sides.append(sorted(names | {("x", ""), ("y", "A"), ("x", "AB"), ("z", "ALONE HERE")}))
+    sides[1].remove(("z", "ALONE HERE"))
+
+    def groups(pairs):
+        group = {}
+
+        def find(x):
+            while group.setdefault(x, x) != x:
+                x = group[x]
+            return x
+
+        for block, a, b in pairs:
+            low, high = sorted((find((block, a)), find((block, b))))
+            group[high] = low
+        return {x: find(x) for x in group}
+
+    monkeypatch.setattr(rs, "FEW_PAIRS", few)
+    left, right = (spark.createDataFrame(s, "block string, name string") for s in sides)
+    want = {(b, x, y) for b, x in sides[0] for c, y in sides[1] if b == c and ratio(x, y) >= 85}
+    got = [tuple(r) for r in rs.linking_names(left, right, 85).collect()]
+    assert set(got) <= want and groups(got) == groups(want)
+    assert len(set(groups(want).values())) > 20
+    assert len(got) < len(want)
+
+
+def test_links_of_similar_names_stay_linear(spark, monkeypatch):
+    """Three hundred names of one ZIP that are all alike have 90,000 pairs, but are linked by few; the result is as one by one."""
+    cands = [_row(candidate_id=f"c{i}", seq=i, name=f"Golden Dragon Castle {i:03d}", street=f"{i} Far Rd") for i in range(300)]
+    store = {f.split()[0]: None for f in STORE.split(",")} | {"id": "s0", "first_seen": datetime.datetime(2024, 1, 1), "name": "Elsewhere", "street": "9 X", "city": "Salem", "state": "OR", "zip_code": "97009"}
+    seen = []
+    monkeypatch.setattr(rs, "components", lambda links, real=rs.components: seen.append(links.count()) or real(links))
+    assert resolved(spark, cands, [store]) == one_by_one(cands, [store], [])
+    assert 300 <= max(seen) < 9000
+
+
 def test_hot_name_and_zip_stays_linear(spark):
     """A third of all rows share one empty name and ZIP; they meet one holder each, not one another."""
     n = 3000
