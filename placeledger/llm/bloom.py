@@ -37,6 +37,15 @@ def positions(hashes: np.ndarray, bits: int, probes: int) -> Iterator[np.ndarray
         yield ((hashes + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def _ascending(values: Iterator[np.ndarray]) -> np.ndarray:
+    """All different values in order."""
+    out = np.concatenate(list(values))
+    out.sort()
+    new = np.ones(len(out), dtype=bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
+
+
 def has(bitmap: np.ndarray, hashes: np.ndarray, probes: int) -> np.ndarray:
     """Which hashes the filter may hold."""
     found = np.ones(len(hashes), dtype=bool)
@@ -69,9 +78,8 @@ def repeated(rows: DataFrame, hashes_of: Callable, bits: int, probes: int, times
             values, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             if not len(values):
                 continue
-            once = np.unique(np.concatenate(list(positions(values, bits, probes))))
-            again = values[counts > 1]
-            twice = np.unique(np.concatenate(list(positions(again, bits, probes))))
+            once = _ascending(positions(values, bits, probes))
+            twice = _ascending(positions(values[counts > 1], bits, probes))
             cuts = np.arange(SLICES + 1) * width
             a, b = np.searchsorted(once, cuts), np.searchsorted(twice, cuts)
             keep = [i for i in range(SLICES) if a[i] < a[i + 1]]

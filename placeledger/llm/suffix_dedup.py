@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeledger.llm import blocks, bloom
-from placeledger.llm.texts import arrow_bytes, mix, prefix_hash, slices, span_hash, with_text_key
+from placeledger.llm.texts import arrow_bytes, gram_hash, mix, prefix_hash, slices, span_hash, with_text_key
 
 #: Bits of the filters: 64 MB.
 FILTER_BITS = 1 << 29
@@ -62,27 +62,32 @@ def placed(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = 1 <<
     if windows <= 0:
         return none, none, none, none.view(np.uint64), none.view(np.uint64), none
     sums = prefix_hash(data)
-    at = np.arange(len(data) - k + 1)
-    grams = span_hash(sums, at, at + k)
-    least = (grams & ~np.uint64((1 << 28) - 1)) | at.astype(np.uint64)
+    grams = gram_hash(sums, k)
+    least = grams & ~np.uint64((1 << 28) - 1)
+    least |= np.arange(len(grams), dtype=np.uint64)
     span = 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < width:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    anchor = (least[:windows] & np.uint64((1 << 28) - 1)).astype(np.int64)
-    sizes = np.diff(offsets)
-    text = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
-    counts = np.maximum(sizes - length + 1, 0)
-    at = np.repeat(offsets[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    if not len(at):
+    # A piece begins with a text, or where the anchor is another one; no window goes over the end of a text.
+    counts = np.maximum(np.diff(offsets) - length + 1, 0)
+    full = np.flatnonzero(counts)
+    if not len(full):
         return none, none, none, none.view(np.uint64), none.view(np.uint64), none
-    own = anchor[at]
-    first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])]))
-    n = np.diff(np.append(first, len(at)))
-    starts = at[first]
-    return text[first], starts, n, grams[own[first]], span_hash(sums, starts, starts + n + length - 1), own[first] - starts
+    new = np.ones(windows, dtype=bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    begins, ends = offsets[full], offsets[full] + counts[full]
+    new[begins] = True
+    inside = np.zeros(windows + 1, dtype=np.int8)
+    inside[begins], inside[ends] = 1, -1
+    new &= np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    starts = np.flatnonzero(new)
+    text = np.repeat(full, np.diff(np.append(np.searchsorted(starts, begins), len(starts))))
+    n = np.minimum(np.append(starts[1:], windows), (offsets[:-1] + counts)[text]) - starts
+    own = (least[starts] & np.uint64((1 << 28) - 1)).astype(np.int64)
+    return text, starts, n, grams[own], span_hash(sums, starts, starts + n + length - 1), own - starts
 
 
 def split(found, sums: np.ndarray, length: int, hot: np.ndarray):
@@ -100,68 +105,142 @@ def split(found, sums: np.ndarray, length: int, hot: np.ndarray):
     return tuple(np.concatenate([a[~some], b]) for a, b in parts)
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different hash, and the number of each hash among these."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(order), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+class Marks:
+    """Marked positions of a sequence, a bit for each position, and how many there are up to any of them."""
+
+    def __init__(self, marked: np.ndarray):
+        bits = np.packbits(marked, bitorder="little")
+        self.words = np.append(bits, np.zeros(-len(bits) % 8, np.uint8)).view("<u8")
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        self.before = np.cumsum(ones) - ones
+
+    def up_to(self, at: np.ndarray) -> np.ndarray:
+        """How many marks there are at the positions 0..at."""
+        word = at >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] << (~at & 63).astype(np.uint64))
+
+
 class RunIndex:
     """A run-compressed Burrows-Wheeler transform of pieces (each closed by a separator) with sampled run ends.
 
     ``data`` has the pieces one after another, each with its separator, in falling order of their least documents ``owners``;
-    ``starts`` and ``sizes`` are without it. Rows are suffixes by their first ``length`` - 1 bytes, equal ones by text position.
-    Kept are the runs (start, byte, rank, the text position at the end), the classes of equal rows (end, the text position at
-    the end), and bounds and owners of the pieces; neither the order of the suffixes nor anything else by text position is.
+    ``starts`` and ``sizes`` are without it. Rows are the suffixes that have ``length`` - 1 bytes before a separator, by these
+    bytes, equal ones by text position; no step comes from or leads to a shorter one. Kept are the runs (start, byte, rank, the
+    text position at the end), the classes of equal rows (end, the text position and the run at the end), where the classes
+    change among the rows that steps lead to, in bits, and bounds and owners of the pieces; neither the order of the suffixes
+    nor anything else by text position is.
     """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int):
-        self.length, self.n = length, len(data)
+        self.length = length
         self.starts, self.owners = starts, owners
-        n = self.n
-        left = np.repeat(starts + sizes, sizes + 1) - np.arange(n)  # bytes before the separator
-        order, rank = self._sorted(data, left, length - 1)
+        counts = sizes - (length - 2)
+        lasts = np.cumsum(counts) - 1
+        rows = np.repeat(starts - (lasts + 1 - counts), counts) + np.arange(counts.sum())
+        n = self.n = len(rows)
+        # A step does not come from the separators, which are the greatest bytes.
+        left = np.repeat(starts + sizes, sizes + 1) - np.arange(len(data))  # bytes before the separator
+        order, rank = self._sorted(data, left, rows, length - 1)
         ranked = rank[order]
         self.ends = np.append(np.flatnonzero(ranked[1:] != ranked[:-1]) + 1, n)
-        self.end_samples = order[self.ends - 1]
+        self.end_samples = rows[order[self.ends - 1]]
         # Each piece enters the stream with the class of its last bytes.
-        self.entries = rank[starts + sizes - (length - 1)]
-        bwt = data[order - 1]  # before the first byte stands the last separator
+        self.entries = rank[lasts]
+        bwt = data[rows[order] - 1]  # before the first byte stands the last separator
         heads = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         run_ends = np.append(heads[1:], n)
-        byte = bwt[heads].astype(np.int64)
-        by = np.argsort(byte, kind="stable")
+        self.bytes = bwt[heads].astype(np.int64)
+        by = np.argsort(self.bytes, kind="stable")
+        self.bytes = self.bytes[by]
         # Runs by byte and start: one search finds the last run of a byte that begins before a row.
-        self.keys = byte[by] * np.int64(n + 1) + heads[by]
+        self.keys = self.bytes * np.int64(n + 1) + heads[by]
         self.heads, self.lengths = heads[by], (run_ends - heads)[by]
         self.before = np.cumsum(self.lengths) - self.lengths  # rows of smaller bytes, and of this byte in earlier runs
-        self.samples = order[run_ends - 1][by]
+        self.samples = rows[order[run_ends - 1]][by]
+        number = np.empty(len(by), dtype=np.int64)
+        number[by] = np.arange(len(by))
+        self.end_runs = number[np.searchsorted(heads, self.ends - 1, "right") - 1]
+        # The rows that steps lead to, by a byte more, and their classes.
+        reached = order[np.argsort(bwt, kind="stable")][: n - int((bwt == SEPARATOR).sum())] - 1
+        classes = rank[reached]
+        change = np.ones(len(classes), dtype=bool)
+        change[1:] = classes[1:] != classes[:-1]
+        self.changes, self.classes = Marks(change), classes[change]
 
     @staticmethod
-    def _sorted(data: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes by their first ``depth`` bytes, equal ones by position, and the rank of each: by five bytes, then by doubling."""
+    def _ranks(key: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+        """The rank of each key, from 1, and how many bits a rank has. Keys have ``bits`` bits."""
+        n = len(key)
+        low = n.bit_length()
+        if bits + low <= 64:
+            # The position fits behind the key, so plain numbers are sorted.
+            ordered = (key << np.uint64(low)) | np.arange(n, dtype=np.uint64)
+            ordered.sort()
+            order = (ordered & np.uint64((1 << low) - 1)).view(np.int64)
+            ordered >>= np.uint64(low)
+        else:
+            order = np.argsort(key)
+            ordered = key[order]
+        new = np.ones(n, dtype=bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        numbers = np.cumsum(new, dtype=np.uint32)
+        rank = np.empty(n, dtype=np.uint32)
+        rank[order] = numbers
+        return rank, int(numbers[-1]).bit_length()
+
+    @classmethod
+    def _sorted(cls, data: np.ndarray, left: np.ndarray, rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes at ``rows`` by their first ``depth`` bytes, equal ones by position, and the rank of each.
+
+        All suffixes are ranked by five bytes, then by doubling until a few of these parts make up the depth; the rows by those.
+        """
         n, span = len(data), min(5, depth)
-        place = np.arange(n)
         padded = np.concatenate([data, np.zeros(span, np.uint8)])
         key = np.zeros(n, dtype=np.uint64)
         for j in range(span):
-            # What stands behind a separator does not count.
-            key = (key << np.uint64(8)) | np.where(j <= left, padded[j : j + n], 0).astype(np.uint64)
-        while True:
-            if n < 1 << 21:
-                # The position fits behind the key, so plain numbers are sorted.
-                packed = np.sort((key << np.uint64(21)) | place.astype(np.uint64))
-                order, ordered = (packed & np.uint64((1 << 21) - 1)).astype(np.int64), packed >> np.uint64(21)
-            else:
-                order = np.argsort(key, kind="stable")
-                ordered = key[order]
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
-            if span == depth:
-                return order, rank
-            # The second half overlaps the first where the depth is not a double.
-            step = min(span, depth - span)
-            second = np.where(step <= left, rank[np.minimum(place + step, n - 1)] + 1, 0)
-            key = (rank.astype(np.uint64) << np.uint64(22 if n < 1 << 21 else 32)) | second.astype(np.uint64)
-            span += step
-
-    def _step(self, ends: np.ndarray, byte: np.ndarray):
-        """Ends of the rows reached by a backward step with ``byte`` from rows that end at ``ends``, and the last run of it there."""
-        at = np.searchsorted(self.keys, byte * np.int64(self.n + 1) + ends, "left") - 1
+            key <<= np.uint64(8)
+            key |= padded[j : j + n]
+        # What stands behind a separator does not count.
+        seen = [(1 << 8 * span) - (1 << 8 * (span - 1 - j)) for j in range(span)]
+        short = np.flatnonzero(left < span - 1)
+        key[short] &= np.array(seen, np.uint64)[left[short]]
+        rank, bits = cls._ranks(key, 8 * span)
+        while span * 5 < depth:
+            key = rank.astype(np.uint64)
+            key <<= np.uint64(bits)
+            key[:-span] |= np.where(left[:-span] >= span, rank[span:], np.uint32(0))
+            (rank, bits), span = cls._ranks(key, 2 * bits), 2 * span
+        # The last part overlaps the one before where the depth is not a multiple; all of them lie within the piece.
+        key, wide = rank[rows].astype(np.uint64), bits
+        for at in range(span, depth, span):
+            if wide + bits > 64:
+                key, wide = cls._ranks(key, wide)
+                key = key.astype(np.uint64)
+            key = (key << np.uint64(bits)) | rank[rows + min(at, depth - span)]
+            wide += bits
+        rank, _ = cls._ranks(key, wide)
+        rank -= np.uint32(1)
+        order = (rank.astype(np.uint64) << np.uint64(32)) | np.arange(len(rows), dtype=np.uint64)
+        order.sort()
+        return (order & np.uint64((1 << 32) - 1)).view(np.int64), rank
+
+    def _step(self, of: np.ndarray, byte: np.ndarray):
+        """Ends of the rows reached by a backward step with ``byte`` from the rows of classes, and the last run of it there."""
+        ends, at = self.ends[of], self.end_runs[of]
+        # Most classes end in a run of the byte.
+        other = np.flatnonzero(self.bytes[at] != byte)
+        at[other] = np.searchsorted(self.keys, byte[other] * np.int64(self.n + 1) + ends[other], "left") - 1
         inside = np.minimum(ends - self.heads[at], self.lengths[at])
         return self.before[at] + inside, at
 
@@ -176,13 +255,13 @@ class RunIndex:
         at = self.entries.copy()
         for step in range(int(windows.max(initial=0))):
             on = np.flatnonzero(windows > step)
-            wide, last = self.ends[at[on]], self.end_samples[at[on]]
+            of = at[on]
             window = windows[on] - 1 - step
-            high, run = self._step(wide, data[starts[on] + window].astype(np.int64))
+            high, run = self._step(of, data[starts[on] + window].astype(np.int64))
             # The last occurrence comes from the last row of the byte: the end of its run, or of the class if the run goes on.
-            whole = self.heads[run] + self.lengths[run] <= wide
-            at[on] = np.searchsorted(self.ends, high - 1, "right")
-            yield on, window, np.where(whole, self.samples[run], last) - 1
+            whole = self.heads[run] + self.lengths[run] <= self.ends[of]
+            at[on] = self.classes[self.changes.up_to(high - 1) - 1]
+            yield on, window, np.where(whole, self.samples[run], self.end_samples[of]) - 1
 
     def first_owner(self, place: np.ndarray) -> np.ndarray:
         """The document of the piece at a text position."""
@@ -206,7 +285,7 @@ def _index_bucket(got: list[tuple[np.ndarray, ...]], length: int):
         none = np.zeros(0, np.int64)
         return none, none, none, np.full(len(hashes), -1)
     kept = np.flatnonzero(keep)
-    _, first, inverse = np.unique(hashes[kept], return_index=True, return_inverse=True)
+    first, inverse = distinct(hashes[kept])
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, inverse, owners[kept])
     # The documents that come first stand last in the text.
@@ -252,13 +331,18 @@ def marked(docs: DataFrame, length: int, filter_bits: int = FILTER_BITS, hot_pie
     def hashes_of(batch):
         for _, data, offsets in slices(batch.column("text")):
             text, _, _, hashes, contents = anchors(data, offsets, length)
-            _, first = np.unique(contents, return_index=True)
-            different = hashes[first]
-            order = np.lexsort((hashes, text))
-            text, hashes = text[order], hashes[order]
-            new = np.ones(len(text), dtype=bool)
-            new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
-            yield hashes[new], different
+            different = hashes[distinct(contents)[0]]
+            # Most anchors are in one text only; of the others, each text's first one counts.
+            order = np.argsort(hashes)
+            ordered = hashes[order]
+            same = np.zeros(len(order) + 1, dtype=bool)
+            np.equal(ordered[1:], ordered[:-1], out=same[1:-1])
+            several = same[1:] | same[:-1]
+            some, single = order[several], ordered[~several]
+            some = some[np.lexsort((text[some], hashes[some]))]
+            new = np.ones(len(some), dtype=bool)
+            new[1:] = (text[some][1:] != text[some][:-1]) | (hashes[some][1:] != hashes[some][:-1])
+            yield np.concatenate([single, hashes[some[new]]]), different
 
     bitmap = spark.sparkContext.broadcast(bloom.repeated(rows.select("text"), hashes_of, filter_bits, PROBES, heavy=(HOT_SLOTS, hot_pieces)))
 

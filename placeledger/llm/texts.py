@@ -39,10 +39,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection, so equality is kept)."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -57,6 +58,13 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * _powers(_BACK, len(sums))[starts])
 
 
+def gram_hash(sums: np.ndarray, k: int) -> np.ndarray:
+    """:func:`span_hash` of all spans of ``k`` bytes."""
+    out = sums[k:] - sums[:-k]
+    out *= _powers(_BACK, len(sums))[: len(out)]
+    return mix(out)
+
+
 def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets of a string or binary column; null counts as empty."""
     if column.null_count:
