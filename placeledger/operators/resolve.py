@@ -45,8 +45,8 @@ NEVER = 2**63 - 1
 SETTLE_ROWS = 2000
 # Stores of a block that candidates are compared with at first, and how many times as many at each further step.
 FIRST_LOOK, FURTHER = 16, 8
-# With more pairs of names in blocks than so many times the names, only what links them is looked for.
-FEW_PAIRS = 8
+# With more pairs of names in blocks than so many, and than so many times the names, only what links them is looked for.
+ALL_PAIRS, FEW_PAIRS = 20_000, 8
 # Tier numbers order the matches; names and confidence are what callers see.
 TIERS = {0: ("external_ref", 1.0), 1: ("google_place_id", 1.0), 2: ("wpn_id", 1.0), 3: ("name_zip", 0.95), 4: ("address", 0.90)}
 FUZZY = 5
@@ -181,7 +181,7 @@ def linking_names(left: DataFrame, right: DataFrame, threshold: int = cat.FUZZY_
     crowds = left.groupBy("block").agg(F.count("*").alias("l")).join(right.groupBy("block").agg(F.count("*").alias("r")), "block")
     pairs, names = crowds.agg(F.sum(F.col("l") * F.col("r")), F.sum(F.col("l") + F.col("r"))).first()
     by = ["block", "sig"]
-    if not names or pairs <= FEW_PAIRS * names:
+    if not names or pairs <= max(ALL_PAIRS, FEW_PAIRS * names):
         return _alike(_signed(left, "l").join(_signed(right, "r"), by), threshold).drop("score")
     first = lambda df, side: _signed(df, side).groupBy(by).agg(
         F.min(F.struct(*[f"{side}_{c}" for c in ("name", "low", "high")])).alias("f")).select(*by, "f.*")
